@@ -6,23 +6,48 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import imatch, secrets_scan, simhash, token_counts
+from quire.llm import decontaminate, imatch, language, mixing, quality, secrets_scan, simhash, token_counts
 from quire.session import ship, table
 
 SPECIAL = {"<|endoftext|>": 50256}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: the text, the declared language (lang) and the host (source); they have no address."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train_text_model(docs), text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+
+
+def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages: text, declared markup language, address suffix, and host priors smoothed through the domain; the text model is that of documents."""
+    pages = table(spark, sf_dir, "pages")
+    return language.identify(pages, language.train_text_model(table(spark, sf_dir, "documents")), id_col="page_id", **language.page_columns(F.col("html"), F.col("url")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = imatch.IMatch(imatch.lexicon(docs, docs.count()))
     return imatch.edited_fingerprints(docs, model)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_digest(table(spark, sf_dir, "documents"), secrets_scan.MarkovPair.train(secrets_scan.labelled_samples()))
 
@@ -39,7 +64,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op3_fingerprints, op6_simhash, op8_secret_scan, op9_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts)}
 
 #: Queries without an entry aren't expressible in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
