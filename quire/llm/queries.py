@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, imatch, language, mixing, quality, secrets_scan, simhash, token_counts
+from quire.llm import decontaminate, imatch, language, lm_score, mixing, quality, secrets_scan, simhash, token_counts
 from quire.session import ship, table
 
 SPECIAL = {"<|endoftext|>": 50256}
@@ -40,6 +40,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) == 2)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts)}
 
 #: Queries without an entry aren't expressible in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
