@@ -24,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import raw_texts
 from quire.llm.elias_fano import NgramTrie
+from quire.llm.packing import pack, unpack
 from quire.session import materialize
 
 END = b""  # no word is empty
@@ -104,26 +104,6 @@ def totals(docs: DataFrame, training: Column, text_col: str = "text", context_bi
     return Totals(int(n), int(v), texts, n1 / (n1 + 2 * n2) if n1 else 0.5, hashes[order], counts[order], smoothing)
 
 
-_TYPES = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i8", "f8")]
-
-
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    head = np.array([len(arrays), *[len(x) for x in arrays], *[_TYPES.index(x.dtype) for x in arrays]], np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    k = int(np.frombuffer(raw, np.int32, 1)[0])
-    head = np.frombuffer(raw, np.int32, 2 * k + 1)
-    at, out = 4 * (2 * k + 1), []
-    for n, kind in zip(head[1 : k + 1].tolist(), head[k + 1 :].tolist(), strict=True):
-        dtype = _TYPES[kind]
-        out.append(np.frombuffer(raw, dtype, n, at))
-        at += n * dtype.itemsize
-    return out
-
-
 def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashes, shards: int):
     """(shard, packed n-grams) of a block of texts: arrays word (each once), rows of each word, context, row of the text, count, training flags."""
     lists = []
@@ -154,7 +134,7 @@ def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashe
     for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])), strict=True):
         first = np.flatnonzero(np.concatenate([[True], h[lo + 1 : hi] != h[lo : hi - 1]]))
         rows = np.diff(np.concatenate([first, [hi - lo]]))
-        yield int(shard[lo]), _pack([h[lo:hi][first], rows.astype(np.uint32), context[lo:hi].astype(np.uint32), doc[lo:hi].astype(np.uint16), tf[lo:hi].astype(np.uint32), flags])
+        yield int(shard[lo]), pack([h[lo:hi][first], rows.astype(np.uint32), context[lo:hi].astype(np.uint32), doc[lo:hi].astype(np.uint16), tf[lo:hi].astype(np.uint32), flags])
 
 
 def score_shard(blocks: list[list[np.ndarray]], held: Totals) -> tuple[NgramTrie, list[tuple[np.ndarray, ...]]]:
@@ -210,7 +190,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             block = (part << 32) + number
             n_tokens = np.array([len(t.split()) + 1 for t in texts], np.int64)
             got = list(_block(texts, [not x for x in held_rows], shared.value, cache, shards))
-            about = _pack([np.array(ids, np.int64), np.array(nulls, np.uint8), np.array(held_rows, np.uint8), n_tokens])
+            about = pack([np.array(ids, np.int64), np.array(nulls, np.uint8), np.array(held_rows, np.uint8), n_tokens])
             got_shards = [*[s for s, _ in got], hash(block) % shards]
             number, ids, held_rows, texts, nulls, size = number + 1, [], [], [], [], 0
             if len(cache) > 1_000_000:
@@ -234,21 +214,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         kinds, blocks = group.column("kind").to_numpy(), group.column("block").to_numpy()
         payloads = group.column("payload").to_pylist()
         mine = np.flatnonzero(kinds == 0).tolist()
-        found = score_shard([_unpack(payloads[k]) for k in mine], shared.value)[1] if mine else []
+        found = score_shard([unpack(payloads[k]) for k in mine], shared.value)[1] if mine else []
         through = np.flatnonzero(kinds == 1).tolist()
         return pa.table({
             "block": pa.array([*blocks[mine].tolist(), *blocks[through].tolist()], pa.int64()),
             "kind": pa.array([0] * len(mine) + [1] * len(through), pa.int8()),
-            "payload": pa.array([*[_pack(list(x)) for x in found], *[payloads[k] for k in through]], pa.binary()),
+            "payload": pa.array([*[pack(list(x)) for x in found], *[payloads[k] for k in through]], pa.binary()),
         })
 
     def add_up(group: pa.Table) -> pa.Table:
         kinds, payloads = group.column("kind").to_pylist(), group.column("payload").to_pylist()
-        ids, nulls, held_rows, n_tokens = _unpack(next(p for k, p in zip(kinds, payloads, strict=True) if k == 1))
+        ids, nulls, held_rows, n_tokens = unpack(next(p for k, p in zip(kinds, payloads, strict=True) if k == 1))
         known, base, logp = (np.zeros(len(ids)) for _ in range(3))
         for k, p in sorted(zip(kinds, payloads, strict=True)):  # one order of addition
             if k == 0:
-                at, a, b, c = _unpack(p)
+                at, a, b, c = unpack(p)
                 known[at] += a
                 base[at] += b
                 logp[at] += c

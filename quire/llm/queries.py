@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, imatch, language, lm_score, mixing, quality, secrets_scan, simhash, token_counts
+from quire.llm import decontaminate, imatch, language, lm_score, mixing, quality, secrets_scan, simhash, suffix_dedup, token_counts
 from quire.session import ship, table
 
 SPECIAL = {"<|endoftext|>": 50256}
@@ -60,6 +60,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -68,7 +72,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts, op10_suffix_dedup)}
 
 #: Queries without an entry aren't expressible in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
