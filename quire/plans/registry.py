@@ -1,6 +1,8 @@
-"""Queries over the driver tables and their SQL; filled by the plan modules."""
+"""Queries over the driver tables and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quire.plans import hierarchy, retrieval, sectioning, training
+from quire.plans.common import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "hierarchy", "retrieval", "sectioning", "training"]
