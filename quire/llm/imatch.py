@@ -24,6 +24,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
 
     The order is made without a global window: ids are cut into ranges of about `group_chars` characters (`most_groups`
     ranges at most), by a table of the ids' lengths alone; each range is one sorted stretch of a task's stream, followed by the first document after it
-    (and, after the last range, the first of all). Texts are shuffled once; a task holds two of them at a time.
+    (and, after the last range, the first of all). Texts are shuffled once, compressed one by one; a task holds two of them at a time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -165,8 +166,10 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
     cast = spark.sparkContext.broadcast({(None if no else -down, tie): to for (no, down, tie), to in sent.items()})
 
     def copies(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             ids = b.column(0)
+            b = pa.RecordBatch.from_arrays([ids, pa.array([squeeze(t) for t in raw_texts(b.column(1))], pa.binary()), b.column(2)], names=["id", "text", "tie"])
             at = number - np.searchsorted(edges.value, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(np.zeros(b.num_rows, np.int8))], names=["id", "text", "tie", "range", "context"])
             extra = [(k, cast.value[key]) for k, key in enumerate(zip(ids.to_pylist(), b.column(2).to_pylist(), strict=True)) if key in cast.value]
@@ -179,6 +182,7 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
 
     def run(batches):
         m, held = shared.value, None
+        expand = zstandard.ZstdDecompressor().decompress
 
         def row(own, following):
             (_, key, text, print_), (nkey, ntext, nprint) = own, following
@@ -190,8 +194,9 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
 
         for b in batches:
             out = []
-            for range_, context, key, text in zip(*(b.column(c).to_pylist() for c in ("range", "context", "id", "text")), strict=True):
-                now = (range_, key, text, m.fingerprint(text.encode()))
+            for range_, context, key, small in zip(*(b.column(c).to_pylist() for c in ("range", "context", "id", "text")), strict=True):
+                raw = expand(small)
+                now = (range_, key, raw.decode(), m.fingerprint(raw))
                 if held is not None and held[0] == range_:
                     out.append(row(held, now[1:]))
                 held = None if context else now
@@ -199,6 +204,6 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     down = [F.col("range"), F.col("context"), F.col("id").desc_nulls_last(), F.col("tie")]
-    spread = rows.mapInArrow(copies, "id long, text string, tie long, range int, context tinyint")
+    spread = rows.mapInArrow(copies, "id long, text binary, tie long, range int, context tinyint")
     dealt = spread.repartitionById(number + 1, F.col("range")).sortWithinPartitions(*down)
     return dealt.select("range", "context", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
