@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: TextModel, *, text: Column, declared: Colum
     sides = [none if c is None else c for c in (declared, suffix, domain, host)]
     evidence = gather_evidence(_rows(docs, text, *sides), model, dependence, smoothing, most_hosts)
     shared = docs.sparkSession.sparkContext.broadcast((model, evidence))
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(id_col)]
+    kept = [docs[f"`{c}`"].alias(f"__quire_{k}") for k, c in enumerate(docs.columns)] if keep else [F.col(id_col)]  # no name clashes with the evidence's
     schema = docs.schema if keep else None
 
     def decide(b):

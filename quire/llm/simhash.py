@@ -173,11 +173,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int =
 
 
 def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one of each group: the row with the smallest id (of equal ids one). Of a group whose ids are all null one row stays, by its fingerprint."""
-    groups = near_duplicates(docs, radius, size, seed, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_least"), F.col("fingerprint").alias("_fp"))
-    kept = groups.filter("_id = _least").select("_id").distinct()
-    with_id = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    """docs, one of each group: the row with the smallest id (of equal ids one). Of rows without ids in groups without ids one for each fingerprint stays."""
+    names = ("__quire_id", "__quire_least", "__quire_fp")
+    groups = near_duplicates(docs, radius, size, seed, id_col, text_col).toDF(names[0], names[2], names[1])
+    kept = groups.filter(F.col(names[0]) == F.col(names[1])).select(names[0]).distinct()
+    with_id = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(names[0]), "left_semi").dropDuplicates([id_col])
     without = docs.filter(F.col(id_col).isNull())
-    if not groups.filter("_least is null").limit(1).count():
+    alone = groups.filter(F.col(names[1]).isNull()).select(names[2]).distinct()
+    if not alone.limit(1).count():
         return with_id
-    return with_id.unionByName(without.dropDuplicates([text_col]))
+    # groups without any id: one row of each, found by its fingerprint's component
+    own = fingerprints(without.withColumn(names[0], F.col(text_col)), size, seed, names[0], text_col).dropDuplicates([names[0]])
+    own = own.withColumn(names[2], F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(alone, names[2])
+    first = own.groupBy(names[2]).agg(F.min(F.coalesce(names[0], F.lit(""))).alias(names[0]))
+    return with_id.unionByName(without.join(first, F.coalesce(F.col(text_col), F.lit("")) == F.col(names[0]), "left_semi").dropDuplicates([text_col]))
