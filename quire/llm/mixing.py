@@ -77,7 +77,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, entropy_share: float = 0.
     alpha = exponent(shares, budget_share, entropy_share, most_repeats)
     z = shares.agg(F.coalesce(F.sum(F.pow("p", F.lit(alpha))), F.lit(1.0))).first()[0]
     p = F.col("t") / F.lit(float(max(whole, 1)))
-    quota = F.floor(F.col("weight") * whole * budget_share).cast("long")
+    quota = F.floor(F.col("weight") * whole * budget_share + 1e-6).cast("long")  # a sum of shares may miss 1 by a rounding
     plan = (
         totals.withColumn("weight", F.when(F.col("t") > 0, F.pow(p, F.lit(alpha)) / F.lit(z)).otherwise(0.0))
         .withColumn("q", quota)

@@ -74,5 +74,50 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts, op10_suffix_dedup)}
 
+#: op10: windows as strings of hexadecimal digits, so that they are bytes.
+OP10_SQL = """WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT row_id, doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT row_id, doc_id, h, unnest(range(0, n - 49)) AS p FROM docs WHERE n >= 50)),
+firsts AS (SELECT *, min(doc_id) OVER (PARTITION BY w) AS first_id FROM windows),
+hits AS (SELECT row_id, p FROM firsts WHERE first_id < doc_id),
+marked AS (SELECT row_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new_span FROM hits),
+numbered AS (SELECT row_id, p, sum(new_span) OVER (PARTITION BY row_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT row_id, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (
+  SELECT row_id, coalesce(lag(b) OVER (PARTITION BY row_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT d.row_id, coalesce(max(s.b), 0), any_value(d.n) FROM docs d LEFT JOIN spans s USING (row_id) GROUP BY 1),
+kept AS (SELECT g.row_id, string_agg(substr(d.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS k FROM gaps g JOIN docs d USING (row_id) GROUP BY 1),
+counted AS (SELECT row_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(k.k)) AS kept_sha256
+FROM docs d JOIN kept k USING (row_id) LEFT JOIN counted c USING (row_id)"""
+
+#: op7: the exponent by bisection, then the same hashes, quotas, blocks and orders.
+OP7_SQL = """WITH RECURSIVE trimmed AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '[\\x09-\\x0D]', ' ', 'g')) AS x FROM documents),
+counted AS (SELECT doc_id, source, coalesce('s' || source, '') AS key, CAST(CASE WHEN x = '' THEN 0 ELSE len(regexp_split_to_array(x, ' +')) END AS BIGINT) AS n FROM trimmed),
+totals AS (SELECT key, CAST(sum(n) AS BIGINT) AS t FROM counted GROUP BY 1),
+whole AS (SELECT greatest(1, sum(t)) AS w FROM totals),
+shares AS (SELECT key, t / CAST(w AS DOUBLE) AS p FROM totals, whole WHERE t > 0),
+goal AS (SELECT 0.95::DOUBLE * ln(count(*)) AS target, count(*) AS c FROM shares),
+flat(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT i, lo, hi, (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM shares) >= (SELECT target FROM goal) AS ok FROM flat WHERE i < 40)),
+rare(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT i, lo, hi, (SELECT max(pow(p, (lo + hi) / 2 - 1)) / sum(pow(p, (lo + hi) / 2)) FROM shares) > 4 AS ok FROM rare WHERE i < 40)),
+warm AS (SELECT CASE WHEN (SELECT c FROM goal) < 2 OR (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) FROM shares) >= (SELECT target FROM goal) THEN 1.0::DOUBLE ELSE (SELECT lo FROM flat WHERE i = 40) END AS a),
+chosen AS (SELECT CASE WHEN (SELECT c FROM goal) < 2 OR (SELECT max(pow(p, a - 1)) / sum(pow(p, a)) FROM shares) <= 4 THEN a ELSE least(1.0, (SELECT lo FROM rare WHERE i = 40) + pow(2.0, -40)) END AS alpha FROM warm),
+norm AS (SELECT coalesce(sum(pow(p, alpha)), 1.0) AS z FROM shares, chosen),
+weighted AS (SELECT key, t, w, CASE WHEN t > 0 THEN pow(t / CAST(w AS DOUBLE), alpha) / z ELSE 0.0 END AS weight FROM totals, whole, chosen, norm),
+quotas AS (SELECT *, CAST(floor(weight * w + 1e-6) AS BIGINT) AS q, least(65536, greatest(1, CAST(ceil(t / 65536.0::DOUBLE) AS BIGINT))) AS nb FROM weighted),
+plan AS (SELECT *, CASE WHEN t > 0 THEN q // t ELSE 0 END AS whole_epochs FROM quotas),
+placed AS (SELECT c.*, CAST(CAST('0x' || substr(md5(concat_ws(':', '17', c.key, coalesce(CAST(doc_id AS VARCHAR), '-'))), 1, 8) AS BIGINT) % nb AS INTEGER) AS block FROM counted c JOIN plan p ON p.key = c.key),
+blocks AS (SELECT key, block, sum(n) AS bt FROM placed GROUP BY 1, 2),
+dealt AS (SELECT b.key, b.block, b.bt, p.*  EXCLUDE (key), CAST(unnest(range(0, whole_epochs + 1)) AS INTEGER) AS epoch FROM blocks b JOIN plan p ON p.key = b.key),
+started AS (SELECT *, coalesce(sum(bt) OVER (PARTITION BY key, epoch ORDER BY CAST('0x' || substr(md5(concat_ws(':', '17', key, CAST(epoch AS VARCHAR), CAST(block AS VARCHAR))), 1, 8) AS BIGINT), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM dealt),
+stood AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY key, block ORDER BY CAST('0x' || substr(md5(concat_ws(':', '17', 'doc', coalesce(CAST(doc_id AS VARCHAR), '-'))), 1, 8) AS BIGINT), doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
+SELECT d.doc_id, d.source, d.n AS n_tokens, round(s.weight, 9) AS weight, s.epoch, d.block, round(CASE WHEN q > 0 THEN (s.epoch * s.t + start + before) / CAST(q AS DOUBLE) ELSE 0.0 END, 9) AS at
+FROM stood d JOIN started s ON s.key = d.key AND s.block = d.block WHERE s.epoch < whole_epochs OR start + before + d.n <= q - whole_epochs * t"""
+
 #: Queries without an entry aren't expressible in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
