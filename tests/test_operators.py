@@ -193,16 +193,12 @@ def test_cache_backend_and_stats(spark):
     parsed = querygen.questions(asked.join(answers, "key"))
     assert querygen.generation_stats(parsed).first().queries == 2
     assert [r.qid for r in querygen.with_ids(parsed).orderBy("qid").collect()] == ["b:0:0", "b:0:1"]
-    failed = querygen.respond(asked, failing).first()
+    failed = querygen.respond(asked, lambda p: 1 / 0).first()
     assert failed.response is None and failed.error.startswith("ZeroDivisionError")
     stored = spark.createDataFrame([(0, "k", "old"), (1, "k", "new"), (2, None, "x"), (3, "j", None)], "seq int, key string, response string")
     assert [tuple(r) for r in querygen.load_cache(stored).collect()] == [("k", "new")]
 
 
-def failing(prompt):
-    return 1 / 0
-
-
 def test_early_stop(spark):
     h = spark.createDataFrame([("b", "v", e, s) for e, s in enumerate([1.0, 2.0, 2.0, 1.5, 1.0, 9.0])], "book string, variant string, epoch int, dev_r1 double")
     rows = reports.early_stop(h, 3).orderBy("epoch").collect()
