@@ -46,3 +46,24 @@ def orphans(questions: DataFrame, leaves: DataFrame) -> DataFrame:
 def macro(metrics: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Means over books of the books' metrics."""
     return metrics.groupBy(*(by or [])).agg(*[F.round(F.avg(c), 2).alias(f"macro_{c}") for c in columns])
+
+
+def orphan_rates(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Percent of published questions without a section, over what orphans() counted."""
+    return counted.groupBy(*(by or [])).agg(F.sum("orphans").alias("orphans"), F.sum("total").alias("total"), F.round(100 * F.sum("orphans") / F.sum("total"), 2).alias("orphan_pct"))
+
+
+def shared_coverage(queries: DataFrame, old: DataFrame, least: float = 0.8) -> DataFrame:
+    """Old runs (system, qid) that answer at least that share of the queries (qid)."""
+    n = queries.select(F.countDistinct("qid").alias("n_queries"))
+    shared = old.join(queries.select("qid").distinct(), "qid", "left_semi").groupBy("system").agg(F.countDistinct("qid").alias("n_shared"))
+    return shared.join(F.broadcast(n)).filter(F.col("n_shared") >= least * F.col("n_queries"))
+
+
+def compare(predictions: DataFrame, gold: DataFrame, k: int = 1) -> DataFrame:
+    """Every pair of systems (system, sys_seq) on gold (book_id, qid, docid): the exact test on hits at k."""
+    from quire.operators import significance
+
+    systems = predictions.select("system", "sys_seq").distinct()
+    scores = per_query(predictions, gold.join(F.broadcast(systems)), ["system", "sys_seq", "book_id", "qid"], k)
+    return significance.exact(significance.pairs(scores.withColumn("qid", F.concat_ws(":", "book_id", "qid")))).withColumn("k", F.lit(k))

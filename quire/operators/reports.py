@@ -47,3 +47,15 @@ def comparison_lines(compared: DataFrame) -> DataFrame:
     verdict = F.when(F.col("significant"), "SIGNIFICANT").otherwise("not significant — consistent with noise")
     sign = F.when(F.col("observed_diff") < 0, "").otherwise("+")
     return compared.select("a", "b", F.concat(F.rpad(F.concat_ws(" vs ", "a", "b"), 26, " "), F.lpad(F.concat(sign, F.format_string("%.2f", "observed_diff")), 9, " "), F.lpad(F.format_string("%.4f", "p_value"), 9, " "), F.lit("  "), verdict).alias("line"))
+
+
+def audit(rendered: DataFrame, budgets: tuple[int, ...] = (14_000, 8_000, 4_000)) -> DataFrame:
+    """rendered (book_id, toc): estimated tokens and whether they are below each budget."""
+    from quire.functions.text import est_tokens
+
+    rows = rendered.select("book_id", est_tokens(F.col("toc")).alias("tokens"))
+    return rows.select("*", *[(F.col("tokens") < b).alias(f"below_{b}") for b in budgets])
+
+
+def cache_counts(probed: DataFrame) -> DataFrame:
+    return probed.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

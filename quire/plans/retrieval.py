@@ -185,3 +185,35 @@ def constrained_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_lengths(text: str, prefix: tuple[int, ...], nexts: list[int]) -> list[float]:
     own = [len(w) for w in text.split()] or [0]
     return [-abs(own[len(prefix) % len(own)] - t) for t in nexts]
+
+
+@query(f"WITH {ORPHANS} SELECT sum(orphans) AS orphans, sum(total) AS total, round(100.0::DOUBLE * sum(orphans) / sum(total), 2) AS orphan_pct FROM counted")
+def orphan_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.orphan_rates(metrics.orphans(*_questions(spark, sf_dir)))
+
+
+@query(f"""WITH {RANKINGS}, asked AS (SELECT DISTINCT qid FROM gold WHERE CAST(qid AS BIGINT) % 4 <> 0),
+old AS (SELECT DISTINCT system, qid FROM predictions WHERE sys_seq < 2 OR CAST(qid AS BIGINT) % 2 = 0), n AS (SELECT count(*) AS n_queries FROM asked)
+SELECT system, count(*) AS n_shared, max(n_queries) AS n_queries FROM old JOIN asked USING (qid), n GROUP BY 1 HAVING count(*) >= 0.8 * max(n_queries)""")
+def shared_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions, gold, _ = rankings(spark, sf_dir)
+    old = predictions.filter("sys_seq < 2 OR cast(qid as long) % 2 = 0").select("system", "qid")
+    return metrics.shared_coverage(gold.filter("cast(qid as long) % 4 <> 0").select("qid"), old)
+
+
+@query(f"""WITH {RANKINGS}, pairs AS (SELECT g.book_id, g.qid FROM gold g WHERE CAST(g.qid AS BIGINT) % 3 = 0)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE qid IN (SELECT qid FROM predictions)) AS n_answered FROM pairs""")
+def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold restricted to a split, and how many of it have predictions."""
+    predictions, gold, _ = rankings(spark, sf_dir)
+    kept = gold.join(gold.filter("cast(qid as long) % 3 = 0").select("qid"), "qid", "left_semi")
+    answered = predictions.select("qid", F.lit(True).alias("a")).distinct()
+    return kept.join(answered, "qid", "left").agg(F.count("*").alias("n_queries"), F.count("a").alias("n_answered"))
+
+
+@query(f"""WITH {RANKINGS}, hits AS (SELECT system, sys_seq, book_id || ':' || qid AS qid, CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM judged)
+SELECT a.system AS a, b.system AS b, 3 AS k, count(*) AS n_queries, count(*) FILTER (WHERE a.score <> b.score) AS n_discordant, round(100 * avg(a.score - b.score), 2) AS observed_diff
+FROM hits a JOIN hits b ON a.qid = b.qid AND a.sys_seq < b.sys_seq GROUP BY 1, 2""")
+def compare_systems_at_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions, gold, _ = rankings(spark, sf_dir)
+    return metrics.compare(predictions, gold, 3).select("a", "b", "k", "n_queries", "n_discordant", "observed_diff")

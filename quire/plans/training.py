@@ -152,3 +152,19 @@ def generation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     answered = rows.withColumn("response", F.concat(F.lit('["'), say(1, 6), F.lit('?", "'), say(8, 3), F.lit('?"]')))
     return querygen.generation_stats(querygen.questions(answered))
+
+
+@query(f"WITH {RENDERED} SELECT book_id, CAST(floor(length(toc) / 3.8::DOUBLE) AS INTEGER) AS tokens, floor(length(toc) / 3.8::DOUBLE) < 900 AS below_900, floor(length(toc) / 3.8::DOUBLE) < 700 AS below_700 FROM full_toc")
+def audit_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.audit(render.full(sections(spark, sf_dir)), (900, 700))
+
+
+@query(f"WITH {CACHED} SELECT count(*) FILTER (WHERE response IS NOT NULL) AS hits, count(*) FILTER (WHERE response IS NULL) AS misses FROM prompts p LEFT JOIN cache c ON c.key = p.key")
+def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_counts(cache_probe(spark, sf_dir))
+
+
+@query(f"""WITH {MASKED}, kept AS (SELECT doc_id, len(p) + len(t) AS n FROM masked) SELECT doc_id // 100 AS part, max(n) AS longest, round(avg(n), 4) AS mean FROM kept GROUP BY 1""")
+def example_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size("input_ids")
+    return _masked(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.max(n).cast("long").alias("longest"), F.round(F.avg(n), 4).alias("mean"))

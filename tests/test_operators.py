@@ -219,3 +219,53 @@ def test_readers(spark, tmp_path):
     assert dict(readers.settings(env).collect()) == {"A": "x=1", "B": "z"}
     heads = readers.html_headings(spark.createDataFrame([("b", "<h1>A <b>c</b></h1><p/><h2 id=x>B</h2>")], "book_id string, html string")).collect()
     assert [(r.level, r.title.split()) for r in heads] == [(1, ["A", "c"]), (2, ["B"])]
+
+
+def test_token_trie_and_callback():
+    from quire.operators.retriever import TokenTrie, allowed_tokens, paced, retrying
+
+    t = TokenTrie([[5, 6, 7], [5, 6, 9], [1, 2], [1, 2]])
+    assert (t.next_tokens([5]), t.next_tokens([5, 6]), t.next_tokens([9]), len(t)) == ([6], [7, 9], [], 3)
+    assert t.is_complete([1, 2]) and not t.is_complete([5, 6]) and not t.is_complete([9])
+    allowed = allowed_tokens(t, [2, 3])
+    assert allowed(0, [8, 8, 5]) == [6] and allowed(1, [8, 8, 8]) == [1, 5] and allowed(0, [8, 8, 5, 4]) == [4]
+    seen = []
+
+    def flaky(p):
+        seen.append(p)
+        if len(seen) < 3:
+            raise OSError
+        return p
+
+    assert retrying(paced(flaky, 0), 5, lambda e: isinstance(e, OSError), sleep=lambda s: None)("x") == "x" and len(seen) == 3
+    with pytest.raises(OSError):
+        retrying(lambda p: flaky(seen.clear() or p), 2, lambda e: True, sleep=lambda s: None)("x")
+
+
+def test_retriever_never_invents(spark):
+    from quire.operators import retriever
+
+    rows = sections(spark, [("Alpha beta", ["Alpha beta"], "x"), ("Alpha", ["Alpha"], "y"), ("Gamma", ["Gamma"], "z")])
+    queries = spark.createDataFrame([("b", "q1", "alpha?"), ("b", "q2", "")], "book_id string, qid string, text string")
+    tok = lambda d: [len(w) * 10 + ord(w[0]) % 7 for w in d.split()]
+    got = {r.qid: r.ranked for r in retriever.run(rows, queries, tok, lambda text, prefix, nexts: [-0.1 * t for t in nexts], 3).collect()}
+    assert set(got) == {"q1", "q2"} and all(set(x) <= {"Alpha beta", "Alpha", "Gamma"} for x in got.values())
+    vocabulary = spark.createDataFrame([(1, " a"), (2, "b ")], "token int, piece string")
+    seqs = spark.createDataFrame([("b", [1, 2])], "book_id string, toks array<int>")
+    assert retriever.decode(seqs, vocabulary).first().docid == "ab"
+    assert "Table of contents:\nAlpha beta" in retriever.prompts(queries, rows, "I").first().prompt
+
+
+def test_sinks(spark, tmp_path):
+    from quire.sources import sinks
+
+    rows = sections(spark, BOOK)
+    sinks.write_queries(rows, str(tmp_path / "q"))
+    sinks.write_manifest(rows, str(tmp_path / "m"))
+    sinks.write_run(rows, rows, rows, str(tmp_path / "r"))
+    sinks.append_history(rows, str(tmp_path / "h"))
+    sinks.append_history(rows, str(tmp_path / "h"))
+    assert spark.read.json(str(tmp_path / "h")).count() == 6 and spark.read.json(str(tmp_path / "q")).count() == 3
+    readers.save_sections(rows.drop("seq"), str(tmp_path / "s"))
+    assert readers.read_lines(spark, str(tmp_path / "s"), readers.SECTIONS).count() == 3
+    assert readers.read_state(spark, str(tmp_path / "none")) == {"done": [], "failed": []}
