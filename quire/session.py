@@ -46,3 +46,5 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(ROOT))
     context.addPyFile(archive)
     context._quire_shipped = True
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: texts can be long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
