@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import utf8
+from quire.llm.arrow import trim, utf8
 from quire.llm.packing import pack, unpack
 from quire.llm.pfp import PrefixFreeParse, rolling, same_windows
 
@@ -175,6 +175,22 @@ def least_ids(sent: list[list[np.ndarray]], length: int) -> list[list[np.ndarray
     return out
 
 
+def least_ids_in_parts(sent: list[list[np.ndarray]], length: int, part: int = 8_000) -> list[list[np.ndarray]]:
+    """least_ids(), for ranges of hashes with about `part` fragments each, so that sorting needs little memory. Fragments are sent in order of their hashes."""
+    hashes = np.sort(np.concatenate([s[0] for s in sent]))
+    cuts = np.unique(hashes[part::part])
+    out: list[list[list[np.ndarray]]] = [[] for _ in sent]
+    where = [np.concatenate([[0], np.searchsorted(s[0], cuts), [len(s[0])]]) for s in sent]
+    ends = [np.concatenate([[0], np.cumsum(s[1].astype(np.int64))]) for s in sent]
+    for k in range(len(cuts) + 1):
+        mine = [j for j, w in enumerate(where) if w[k] < w[k + 1]]
+        slices = [slice(where[j][k], where[j][k + 1]) for j in mine]
+        parts = [[sent[j][0][x], sent[j][1][x], sent[j][2][x], sent[j][3][ends[j][x.start] : ends[j][x.stop]]] for j, x in zip(mine, slices, strict=True)]
+        for j, found in zip(mine, least_ids(parts, length) if parts else [], strict=True):
+            out[j].append(found)
+    return [[np.concatenate(x) for x in zip(*found, strict=True)] for found in out]
+
+
 def removed(block: Block, where: list[np.ndarray], answers: dict[int, list[np.ndarray]], length: int) -> np.ndarray:
     """A flag for each byte of the block."""
     steps = np.zeros(len(block.data) + 1, np.int64)
@@ -209,7 +225,7 @@ def tell(block: Block, gone: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(block.ids, mask=~block.known), "n_bytes": n, "n_removed": cut, "n_spans": sums(starts), "kept_sha256": digests})
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6_000_000, shard_anchors: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2_000_000, shard_anchors: int = 500_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -222,6 +238,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
         columns = list(zip(*found, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int8()), pa.array([p if isinstance(p, bytes) else pack(p) for p in columns[3]], pa.binary())], names=names)
 
+    def lean(f):
+        """What a group took goes back to the system before the next one comes: workers live on between tasks."""
+
+        def run(*tables):
+            try:
+                return f(*tables)
+            finally:
+                trim()
+
+        return run
+
     def number(table: pa.Table) -> int:
         return table.column("block")[0].as_py()
 
@@ -248,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
         found = list(zip(*(table.column(c).to_pylist() for c in names), strict=True))
         through = [x for x in found if x[2] == 1]
         mine = [x for x in found if x[2] == 0]
-        answers = least_ids([unpack(p) for *_, p in mine], length) if mine else []
+        answers = least_ids_in_parts([unpack(p) for *_, p in mine], length) if mine else []
         return made([*[(b, s, 0, a) for (b, s, _, _), a in zip(mine, answers, strict=True)], *through])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -258,8 +285,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
         gone = removed(block, where, {s: unpack(p) for _, s, k, p in found if k == 0}, length) if where is not None else np.zeros(len(block.data), bool)
         return tell(block, gone)
 
-    bits = texts.groupBy("block").applyInArrow(hashes, kind).groupBy("shard").applyInArrow(sift, kind)
-    pieces = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(fragments, kind)
-    least = pieces.groupBy("shard").applyInArrow(order, kind)
-    out = texts.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # a number of partitions that adaptive execution doesn't lower: shards are small on the wire and long to work on
+    by_shard = lambda rows: rows.repartition(shards, "shard").groupBy("shard")
+    bits = by_shard(texts.groupBy("block").applyInArrow(lambda t: lean(hashes)(t), kind)).applyInArrow(lambda t: lean(sift)(t), kind)
+    pieces = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(lambda t, u: lean(fragments)(t, u), kind)
+    least = by_shard(pieces).applyInArrow(lambda t: lean(order)(t), kind)
+    out = texts.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(lambda t, u: lean(cut)(t, u), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

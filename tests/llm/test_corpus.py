@@ -105,7 +105,7 @@ def test_language_model_matches_naive_counts(spark):
             out += math.log10((pairs[a, w] + m * p1(w)) / ((starts if a is None else c[a]) + m)) if a is None or a in contexts else math.log10(p1(w))
         return out
 
-    got = lm_score.score_texts(df, quality.remainder("doc_id", 7) == 2, shard_tokens=2000, block_bytes=3000).collect()
+    got = lm_score.score_texts(df, quality.remainder("doc_id", 7) == 2, shard_tokens=9000, part_rows=700, block_bytes=3000).collect()
     want = sorted((str(i), h, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), score(t)) for (i, _, _), h, t in zip(rows, held, toks, strict=True))
     seen = sorted((str(x.doc_id), *x[1:]) for x in got)
     assert [x[:5] for x in seen] == [x[:5] for x in want]
@@ -165,6 +165,18 @@ def test_prefix_free_order():
         assert heads == sorted(heads)
 
 
+def test_least_ids_do_not_depend_on_parts():
+    r = np.random.default_rng(3)
+    pool = [bytes(r.integers(97, 99, 80).astype(np.uint8)) for _ in range(20)]
+    sent = []
+    for _ in range(4):
+        own = sorted({(int(k), pool[k][: r.integers(50, 80)]) for k in r.integers(0, 20, 40)})
+        sent.append([np.array([h for h, _ in own], np.uint64), np.array([len(t) for _, t in own], np.uint32), r.integers(0, 50, len(own)), np.frombuffer(b"".join(t for _, t in own), np.uint8)])
+    whole = suffix_dedup.least_ids(sent, 50)
+    for part in (1, 7, 1000):
+        assert all((a == b).all() for x, y in zip(whole, suffix_dedup.least_ids_in_parts(sent, 50, part), strict=True) for a, b in zip(x, y, strict=True))
+
+
 def brute_repeats(rows, length=50):
     first = {}
     key = lambda i: (i is None, i or 0)
