@@ -80,20 +80,23 @@ class PrefixFreeParse:
         self.parse = np.array([seen.setdefault((whole[a:b], z), len(seen)) for a, b, z in zip(starts.tolist(), stops.tolist(), last.tolist(), strict=True)], np.int64)
         self.phrases = list(seen)
 
-    def dictionary_ranks(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of every suffix of every phrase (equal ones share it), by its first `depth` bytes at least; offsets of the phrases."""
-        lengths = np.array([len(p) for p, _ in self.phrases])
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.frombuffer(b"".join(p for p, _ in self.phrases), np.uint8)
-        left = np.repeat(at[1:], lengths) - np.arange(at[-1])
+    def dictionary_ranks(self, depth: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of every suffix of the phrases used (equal ones share it), by its first `depth` bytes at least; where each phrase begins."""
+        texts = [self.phrases[k][0] for k in used.tolist()]
+        lengths = np.array([len(p) for p in texts])
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        left = np.repeat(begins[1:], lengths) - np.arange(len(flat))
         padded = np.concatenate([flat, np.zeros(7, np.uint8)])
-        key = np.zeros(at[-1], np.uint64)
+        key = np.zeros(len(flat), np.uint64)
         for k in range(7):
-            key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + at[-1]], 0).astype(np.uint64)
+            key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + len(flat)], 0).astype(np.uint64)
         key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
+        at = np.zeros(len(self.phrases), np.int64)
+        at[used] = begins[:-1]
         return _double(_dense(key), left, 7, depth), at
 
-    def parse_ranks(self, dictionary: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    def parse_ranks(self, depth: int) -> np.ndarray:
         """Rank of the parse's suffix at each phrase; texts end the sequence. A phrase adds a byte at least, so `depth` phrases hold as many bytes."""
         order = sorted(range(len(self.phrases)), key=self.phrases.__getitem__)
         rank = np.empty(len(order), np.int64)
@@ -104,9 +107,9 @@ class PrefixFreeParse:
 
     def order(self, positions: np.ndarray, depth: int) -> np.ndarray:
         """positions sorted by the text that follows; positions with the same `depth` bytes are neighbours."""
-        dictionary, at = self.dictionary_ranks(depth)
-        parse = self.parse_ranks(dictionary, at, depth)
         phrase = np.searchsorted(self.starts, positions, "right") - 1
+        dictionary, at = self.dictionary_ranks(depth, np.unique(self.parse[phrase]))
+        parse = self.parse_ranks(depth)
         own = dictionary[at[self.parse[phrase]] + positions - self.starts[phrase]]
         after = np.where(self.last[phrase], 0, parse[np.minimum(phrase + 1, len(parse) - 1)])
         return positions[np.argsort(own.astype(np.uint64) * np.uint64(len(parse) + 2) + after.astype(np.uint64), kind="stable")]
