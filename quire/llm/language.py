@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import utf8
+from quire.llm.arrow import lean, utf8
+from quire.session import materialize
 
 BUCKETS = 1 << 16
 #: ASCII letters in lower case, bytes of other characters as they are, anything else a space.
@@ -92,7 +93,7 @@ def train_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "do
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["label", "bucket", "n"])
 
-    got = sample.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
+    got = sample.mapInArrow(lean(count), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
     table = np.full((len(languages) + 1, BUCKETS), smoothing)
     rows = np.searchsorted(np.array(languages), np.array(got.column("label").to_pylist(), dtype=str)) if len(got) else np.zeros(0, np.int64)
     table[rows, got.column("bucket").to_numpy()] += got.column("n").to_numpy()
@@ -144,10 +145,11 @@ def gather_evidence(rows: DataFrame, model: TextModel, dependence: float, smooth
             sums["all", ""] += p.sum(axis=0)
             for kind, column in zip(KINDS, b.columns[1:5], strict=True):
                 codes = column.dictionary_encode()
+                at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+                found = np.stack([np.bincount(at, p[:, k], len(codes.dictionary) + 1) for k in range(width)], axis=1)
                 for j, value in enumerate(codes.dictionary.to_pylist()):
-                    mine = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False) == j
                     if value is not None:
-                        sums[kind, value] += p[mine].sum(axis=0)
+                        sums[kind, value] += found[j]
             for h, d in set(zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if h is not None and d is not None:
                     parent[h] = d
@@ -157,8 +159,8 @@ def gather_evidence(rows: DataFrame, model: TextModel, dependence: float, smooth
                 parent.clear()
         yield out()
 
-    each = rows.select("_text", "_declared", "_suffix", "_domain", "_host").mapInArrow(run, "kind string, value string, parent string, p array<double>")
-    summed = each.groupBy("kind", "value").agg(F.max("parent").alias("parent"), *[F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(width)]).withColumn("n", sum((F.col(f"p{k}") for k in range(width)), F.lit(0.0)))
+    each = rows.select("_text", "_declared", "_suffix", "_domain", "_host").mapInArrow(lean(run), "kind string, value string, parent string, p array<double>")
+    summed = materialize(each.groupBy("kind", "value").agg(F.max("parent").alias("parent"), *[F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(width)]).withColumn("n", sum((F.col(f"p{k}") for k in range(width)), F.lit(0.0))), "language-evidence")
     everything = np.array([x or 0.0 for x in summed.filter("kind = 'all'").agg(*[F.sum(f"p{k}") for k in range(width)]).first()])
     n = everything.sum()
     # at most most_hosts rows of each kind can hold such a share of all
@@ -217,8 +219,8 @@ def identify(docs: DataFrame, model: TextModel, *, text: Column, declared: Colum
 
     rows = _rows(docs, text, *sides, *kept)
     if keep:
-        return rows.mapInArrow(run, schema)
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, language string, posterior double, text_language string, accepted boolean").withColumnRenamed("id", id_col)
+        return rows.mapInArrow(lean(run), schema)
+    return rows.mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, language string, posterior double, text_language string, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def page_columns(html: Column, url: Column) -> dict[str, Column]:
