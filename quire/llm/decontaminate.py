@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.arrow import lean
+
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _WORDS = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
@@ -171,7 +173,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, l
                     items, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(items, pa.int64()), *[pa.array(x, pa.int32()) for x in rest]], names=names)
 
-        return rows.mapInArrow(run, f"id {kinds[0]}, item long, start int, end int, distance int")
+        return rows.mapInArrow(lean(run), f"id {kinds[0]}, item long, start int, end int, distance int")
 
     out = reduce(DataFrame.unionAll, [search(f) for f in passage_blocks(benchmark, rate, least_chars, item_col, item_text_col, block_bytes)])
     return out.select(F.col("id").alias(id_col), F.col("item").cast(kinds[1]).alias(item_col), "start", "end", "distance")
@@ -187,5 +189,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 1
             for b in batches:
                 yield b.filter(pa.array([not (t and shared.value.find(normalise(t))) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import raw_texts
+from quire.llm.arrow import lean, raw_texts
 from quire.session import materialize
 
 LEVELS = 24
@@ -54,7 +54,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2
                     counts.clear()
         yield from out()
 
-    return docs.select(text_col).mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select(text_col).mapInArrow(lean(run), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, n_docs: int, text_col: str = "text", least_share: float = 1e-4, most_share: float = 0.05, least_df: int = 2) -> list[bytes]:
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id", text_co
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.fingerprint(t) for t in raw_texts(b.column(1))], pa.string())], names=["id", "fingerprint"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 4_000_000, most_groups: int = 20_000) -> DataFrame:
@@ -159,7 +159,7 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "range"])
 
     first = F.struct(F.col("id").isNull().alias("no"), (-F.coalesce("id", F.lit(0))).alias("down"), "tie")
-    heads = {r["range"]: r["first"] for r in sizes.mapInArrow(place, "id long, tie long, n int, range int").groupBy("range").agg(F.min(first).alias("first")).collect()}  # a row for each range
+    heads = {r["range"]: r["first"] for r in sizes.mapInArrow(lean(place), "id long, tie long, n int, range int").groupBy("range").agg(F.min(first).alias("first")).collect()}  # a row for each range
     order = sorted(heads)
     # the head of each range is also sent, as context, to the range before it (that of the first to the last)
     sent = {tuple(heads[r]): order[k - 1] for k, r in enumerate(order)}
@@ -204,6 +204,6 @@ def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     down = [F.col("range"), F.col("context"), F.col("id").desc_nulls_last(), F.col("tie")]
-    spread = rows.mapInArrow(copies, "id long, text binary, tie long, range int, context tinyint")
+    spread = rows.mapInArrow(lean(copies), "id long, text binary, tie long, range int, context tinyint")
     dealt = spread.repartitionById(number + 1, F.col("range")).sortWithinPartitions(*down)
-    return dealt.select("range", "context", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    return dealt.select("range", "context", "id", "text").mapInArrow(lean(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import utf8
+from quire.llm.arrow import lean, utf8
 from quire.session import materialize
 
 FEATURES = (
@@ -179,7 +179,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), f], names=["id", "f"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, f array<double>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, f array<double>").withColumnRenamed("id", id_col)
 
 
 def remainder(id_col: str, by: int):
@@ -210,5 +210,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["id", "score"])
 
     kind = table.schema[id_col].dataType.simpleString()
-    scored = table.select(F.col(id_col).alias("id"), "f").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    scored = table.select(F.col(id_col).alias("id"), "f").mapInArrow(lean(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
     return scored.select(id_col, (remainder(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

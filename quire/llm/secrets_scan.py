@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import batch, utf8
+from quire.llm.arrow import batch, lean, utf8
 
 #: The base patterns and the order of kinds.
 ASSIGN = rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -196,7 +196,7 @@ def scan_secrets(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", tex
                 out[i] = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in code_points(data[offsets[i] : offsets[i + 1]], spans)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, to)], names=["id", "spans"])
 
-    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), kind).withColumnRenamed("id", id_col)
 
 
 def scan_digest(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,6 +243,6 @@ def redact_secrets(docs: DataFrame, model: MarkovPair, text_col: str = "text", c
                 b = pa.RecordBatch.from_arrays(columns, names=b.schema.names)
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import raw_texts
+from quire.llm.arrow import lean, raw_texts
 from quire.llm.components import components
 from quire.session import materialize
 
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhashes(raw_texts(b.column(1)), size, seed).view(np.int64))], names=["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def _offsets(radius: int) -> list[int]:

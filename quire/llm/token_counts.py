@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import batch
+from quire.llm.arrow import batch, lean
 
 #: A position between a character that isn't white space and white space.
 STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
@@ -122,4 +122,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, special: dict[str, in
             done = batch(schema, [sizes, counts])
             yield pa.RecordBatch.from_arrays([b.column(0), *done.columns], names=["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {id_type.simpleString()}, n_bytes long, n_tokens long").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(lean(run), f"id {id_type.simpleString()}, n_bytes long, n_tokens long").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
