@@ -9,8 +9,8 @@ context. Contexts are the begin of a text and the words with at least N / 2^`con
 Both models are spread over shards by the predicted word (a context word's hot rows by its context too), so that neither a model nor a vocabulary
 is ever gathered: a task gets its shard's n-grams of all documents, training and held out, builds the shard's trie
 from the training ones, looks all of them up, and returns sums by document, which a last step adds up. N-grams travel
-as packed blocks, each (word, context, document) once with its count; the number of shards follows the tokens, so a
-task's memory doesn't grow with the input.
+as packed blocks, each (word, context, document) once with its count; the number of shards follows the tokens, and a shard is
+worked off in ranges of word hashes, so a task's memory doesn't grow with the input.
 
 Tokens: runs of characters other than ASCII white space, A-Z lower-cased, then one end. Null and empty texts are one
 end. Words are told apart by a 64-bit hash. Repeated rows count, and are scored, each. Null ids are training rows.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import raw_texts
+from quire.llm.arrow import lean, raw_texts
 from quire.llm.elias_fano import NgramTrie
 from quire.llm.packing import pack, unpack
 from quire.session import materialize
@@ -64,7 +64,7 @@ def unigrams(docs: DataFrame, training: Column, text_col: str = "text", flush: i
                     counts.clear()
         yield from out()
 
-    return docs.filter(training).select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.filter(training).select(text_col).mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -138,10 +138,9 @@ def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashe
 
 
 def score_shard(blocks: list[list[np.ndarray]], held: Totals) -> tuple[NgramTrie, list[tuple[np.ndarray, ...]]]:
-    """The shard's trie, and for each block: rows of texts, known tokens, sum of log10(c + 1), sum of log10 p."""
+    """A trie of these n-grams, and for each of them, block by block: row of its text, known tokens, log10(c + 1) and log10 p, times its count."""
     h = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
     context, tf = (np.concatenate([b[k] for b in blocks]).astype(np.int64) for k in (2, 4))
-    size = np.array([len(b[2]) for b in blocks])
     training = np.concatenate([b[5][b[3]].astype(bool) for b in blocks])
     words, word = np.unique(h, return_inverse=True)
     counts = np.bincount(word, np.where(training, tf, 0), len(words)).astype(np.int64)
@@ -158,19 +157,39 @@ def score_shard(blocks: list[list[np.ndarray]], held: Totals) -> tuple[NgramTrie
     trie = NgramTrie.build(held.contexts, words, np.log10(uni), pair_word, pair_context, np.log10((pair + m * uni[pair_word]) / (of_context[pair_context] + m)))
     first, second = trie.lookup(word, context)
     back = np.where(context > 0, np.log10(m / (of_context + m))[context], 0.0)
-    logp = np.where(np.isnan(second), first + back, second) * tf
-    base = np.log10(counts[word] + 1.0) * tf
-    known = np.where(counts[word] > 0, tf, 0)
-    out, at = [], 0
-    for b, n in zip(blocks, size.tolist(), strict=True):
-        rows, back_to = np.unique(b[3], return_inverse=True)
-        sums = [np.bincount(back_to, x[at : at + n], len(rows)) for x in (known, base, logp)]
-        out.append((rows, *sums))
-        at += n
-    return trie, out
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context_bits: int = 16, smoothing: float = 200.0, shard_tokens: int = 1_000_000, block_bytes: int = 8_000_000) -> DataFrame:
+    sums = np.where(counts[word] > 0, tf, 0), np.log10(counts[word] + 1.0) * tf, np.where(np.isnan(second), first + back, second) * tf
+    cuts = np.cumsum([len(b[3]) for b in blocks])[:-1]
+    return trie, list(zip([b[3] for b in blocks], *(np.split(x, cuts) for x in sums), strict=True))
+
+
+def score_in_parts(blocks: list[list[np.ndarray]], held: Totals, part_rows: int) -> list[list[np.ndarray]]:
+    """score_shard() for ranges of word hashes with about `part_rows` n-grams each; for each block: rows of its texts, known tokens, and both sums in units of 1e-7."""
+    words = np.concatenate([b[0] for b in blocks])
+    order = np.argsort(words)
+    passed = np.cumsum(np.concatenate([b[1] for b in blocks])[order].astype(np.int64))
+    cuts = np.unique(words[order][np.minimum(np.searchsorted(passed, np.arange(part_rows, passed[-1], part_rows)), len(words) - 1)])
+    at = [np.concatenate([[0], np.searchsorted(b[0], cuts), [len(b[0])]]) for b in blocks]
+    rows = [np.concatenate([[0], np.cumsum(b[1].astype(np.int64))]) for b in blocks]
+    totals = [np.zeros((4, len(b[5]))) for b in blocks]
+    for k in range(len(cuts) + 1):
+        mine = [j for j, w in enumerate(at) if w[k] < w[k + 1]]
+        parts = []
+        for j in mine:
+            x, y = at[j][k], at[j][k + 1]
+            u, v = rows[j][x], rows[j][y]
+            b = blocks[j]
+            parts.append([b[0][x:y], b[1][x:y], b[2][u:v], b[3][u:v], b[4][u:v], b[5]])
+        for j, (text, *sums) in zip(mine, score_shard(parts, held)[1] if parts else [], strict=True):
+            for row, x in zip(totals[j], (np.ones(len(text)), *sums), strict=True):
+                row += np.bincount(text, x, len(row))
+    out = []
+    for t in totals:
+        texts = np.flatnonzero(t[0])
+        out.append([texts.astype(np.uint16), t[1][texts].astype(np.int64), *(np.rint(t[k][texts] * 1e7).astype(np.int64) for k in (2, 3))])
+    return out
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context_bits: int = 16, smoothing: float = 200.0, shard_tokens: int = 6_000_000, part_rows: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text. Two passes over the texts."""
     spark = docs.sparkSession
     held = totals(docs, ~held_out, text_col, context_bits, smoothing)
@@ -214,12 +233,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         kinds, blocks = group.column("kind").to_numpy(), group.column("block").to_numpy()
         payloads = group.column("payload").to_pylist()
         mine = np.flatnonzero(kinds == 0).tolist()
-        found = score_shard([unpack(payloads[k]) for k in mine], shared.value)[1] if mine else []
+        found = score_in_parts([unpack(payloads[k]) for k in mine], shared.value, part_rows) if mine else []
         through = np.flatnonzero(kinds == 1).tolist()
         return pa.table({
             "block": pa.array([*blocks[mine].tolist(), *blocks[through].tolist()], pa.int64()),
             "kind": pa.array([0] * len(mine) + [1] * len(through), pa.int8()),
-            "payload": pa.array([*[pack(list(x)) for x in found], *[payloads[k] for k in through]], pa.binary()),
+            "payload": pa.array([*[pack(x) for x in found], *[payloads[k] for k in through]], pa.binary()),
         })
 
     def add_up(group: pa.Table) -> pa.Table:
@@ -230,12 +249,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             if k == 0:
                 at, a, b, c = unpack(p)
                 known[at] += a
-                base[at] += b
-                logp[at] += c
+                base[at] += b / 1e7
+                logp[at] += c / 1e7
         t = shared.value
         base -= n_tokens * np.log10(t.tokens + t.vocabulary + 1)
         return pa.table({"id": pa.array(ids, mask=nulls.astype(bool)), "held_out": pa.array(held_rows.astype(bool)), "n_tokens": n_tokens, "n_known": known.astype(np.int64), "train_tokens": np.full(len(ids), t.tokens), "base_score": base, "score": np.round(logp, 6)})
 
-    sent = rows.mapInArrow(spread, "shard int, block long, kind tinyint, payload binary")
+    sent = rows.mapInArrow(lean(spread), "shard int, block long, kind tinyint, payload binary")
     summed = sent.groupBy("shard").applyInArrow(shard, "block long, kind tinyint, payload binary")
     return summed.groupBy("block").applyInArrow(add_up, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
