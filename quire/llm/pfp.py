@@ -19,6 +19,14 @@ def mix_bytes(b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def mix_words(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit numbers."""
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def rolling(b: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k bytes (len - k + 1 of them), by doubling: k = 2^a + ... is put together from halves."""
     if len(b) < k:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrow import trim, utf8
 from quire.llm.packing import pack, unpack
-from quire.llm.pfp import PrefixFreeParse, rolling, same_windows
+from quire.llm.pfp import PrefixFreeParse, mix_words, rolling, same_windows
 
 NO_ID = np.iinfo(np.int64).max
 CHUNK = 1 << 17
@@ -53,7 +53,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
         at, start, row = at[inside], start[inside], row[inside]
         if len(at):
             first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
-            found.append((h[at[first]], row[first], start[first], np.diff(np.concatenate([first, [len(at)]]))))
+            # the smallest of many hashes are small numbers: mixed again, they spread over the shards' ranges
+            found.append((mix_words(h[at[first]]), row[first], start[first], np.diff(np.concatenate([first, [len(at)]]))))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
 
 
