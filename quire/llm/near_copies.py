@@ -1,0 +1,200 @@
+"""Near copies of the pipeline: pairs of texts whose sets of word shingles have a Jaccard similarity of `least` or more.
+
+The search is complete. With all shingles in one order, two sets that share o members share at least two of their
+first |x| - o + 2 (prefix filtering), and similarity t needs o >= t |x|. So each distinct set sends its first
+|x| - ceil(t |x|) + 2 shingles; sets that meet in two of them, and whose sizes allow t, are compared exactly. Any
+order will do: shingles that a bounded sample of texts holds repeatedly come last, the others by their hash, so common
+passages are seldom sent. No bucket is capped: candidates grow with the square of a group of near copies.
+
+Texts are lower-cased and split at ASCII white space; a text of fewer words than a shingle has one shingle, all of it.
+Shingles are told apart by 64-bit hashes, sets by a hash of theirs. Equal sets are copies. Null texts count as empty;
+texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.arrow import lean, raw_texts
+from quire.llm.components import components
+from quire.llm.packing import pack, unpack
+from quire.session import materialize
+
+SEED = 11
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_set(text: bytes, size: int = 5, cache: dict | None = None) -> np.ndarray:
+    """The distinct hashes (uint64, increasing) of every run of `size` words; of the whole sequence if there are fewer."""
+    cache = _Words() if cache is None else cache
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.array([cache[x] for x in words], np.uint64)
+    width = min(size, len(w))
+    n = len(w) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def least_overlap(n: np.ndarray, least: float) -> np.ndarray:
+    """ceil(least * n), safe against rounding up."""
+    return np.ceil(np.asarray(n) * least - 1e-9).astype(np.int64)
+
+
+def prefix(members: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first |x| - ceil(least |x|) + 2 members in the order: those not in `common` by hash, then the common by rank."""
+    n = len(members)
+    take = min(n, n - int(least_overlap(n, least)) + 2)
+    if not len(common):
+        return members[:take]
+    at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+    late = np.where(common[at] == members, rank[at], 0)
+    return members[np.argsort(late, kind="stable")[:take]]
+
+
+def meetings(h: np.ndarray, size: np.ndarray, key: np.ndarray, least: float, at_once: int = 2_000_000):
+    """Arrays (a, b), a < b, of keys that share a hash and whose sizes allow `least`; a row for each hash shared."""
+    order = np.lexsort((key, size, h))
+    h, size, key = h[order], size[order], key[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
+    h, size, key = h[new], size[new], key[new]
+    first, d = np.arange(len(h)), 1
+    held, count = [], 0
+    while len(first):
+        first = first[first + d < len(h)]
+        # sizes increase within a hash: a row whose partner is too large has no further one
+        first = first[(h[first] == h[first + d]) & (size[first] >= least_overlap(size[first + d], least))]
+        if len(first):
+            a, b = key[first], key[first + d]
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+            count += len(a)
+            if count > at_once:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, count = [], 0
+        d += 1
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def shingle_rows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, key (of the shingle set), members (the set, packed) of every whole text. One pass, no shuffle."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+    def run(batches):
+        cache = _Words()
+        for b in batches:
+            sets = [shingle_set(t, size, cache) for t in raw_texts(b.column(2))]
+            if len(cache) > 1_000_000:
+                cache.clear()
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "text_hash", "key", "members"])
+
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, key long, members binary")
+
+
+def common_shingles(rows: DataFrame, n_rows: int, sample: int = 10_000, repeated: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least `repeated` of about `sample` distinct sets chosen by hash, increasing, and their numbers of sets. They only order the search."""
+    share = min(1.0, sample / max(1, n_rows))
+    chosen = rows.filter(F.pmod(F.col("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["key"]).select("members")
+
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    got = chosen.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= repeated).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def similar(rows: DataFrame, n_rows: int, least: float = 0.8, part_rows: int = 400_000) -> DataFrame:
+    """rows as shingle_rows() has them. a, b (keys): every pair of differing sets with a Jaccard similarity of `least` or more."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(common_shingles(rows, n_rows))
+    members = rows.agg(F.coalesce(F.sum(F.length("members")), F.lit(0))).first()[0] / 8
+    parts = max(1, int(-(-(members * (1 - least) + 2 * n_rows) // part_rows)))
+
+    def spread(batches):
+        held: list[np.ndarray] = []
+        keys: list[int] = []
+        sizes: list[int] = []
+        count = 0
+
+        def out():
+            n = [len(x) for x in held]
+            h, key, size = np.concatenate(held), np.repeat(np.array(keys, np.int64), n), np.repeat(np.array(sizes, np.uint32), n)
+            part = ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, h, key, size = part[order], h[order], key[order], size[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            blobs = [pack([h[a:b], key[a:b], size[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "payload"])
+
+        for b in batches:
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if len(own):
+                    held.append(prefix(own, *shared.value, least))
+                    keys.append(key)
+                    sizes.append(len(own))
+                    count += len(held[-1])
+            if count > 1_000_000:
+                yield out()
+                held, keys, sizes, count = [], [], [], 0
+        if held:
+            yield out()
+
+    def meet(group: pa.Table) -> pa.Table:
+        h, key, size = (np.concatenate(x) for x in zip(*[unpack(p) for p in group.column("payload").to_pylist()], strict=True))
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in meetings(h, size, key, least):
+            pairs, counts = np.unique(np.stack([x, y], axis=1), axis=0, return_counts=True)
+            a.append(pairs[:, 0])
+            b.append(pairs[:, 1])
+            n.append(counts)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n)})
+
+    def check(batches):
+        for t in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in c.to_pylist()] for c in t.columns[2:4])
+            o = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            whole = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - o
+            t = pa.RecordBatch.from_arrays(t.columns[:2], names=["a", "b"])
+            yield t.filter(pa.array(o >= least_overlap(whole, least), pa.bool_()))
+
+    sent = rows.select("key", "members").mapInArrow(lean(spread), "part int, payload binary")
+    met = sent.groupBy("part").applyInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n >= 2").select("a", "b")
+    met = materialize(met, "copies-candidates")
+    wanted = materialize(met.select(F.col("a").alias("key")).union(met.select("b")).distinct(), "copies-wanted")
+    sets = materialize(rows.select("key", "members").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "copies-sets")
+    both = met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lean(check), "a long, b long")
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, one row of each group of near copies (connected pairs): that with the smallest id, null ids last; of one
+    group's rows of that id the text with the smallest hash, and of rows equal in both one. Groups are of texts, so rows of one id and of
+    different groups are judged each in its own."""
+    rows = materialize(shingle_rows(docs, size, id_col, text_col), "copies")
+    labels = components(similar(rows, rows.count(), least), "copies-links")
+    named = rows.select("id", "text_hash", "key").join(labels, rows["key"] == labels["node"], "left").select("id", "text_hash", F.coalesce("label", "key").alias("label"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("k"))
+    kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash")), "copies-kept")
+    own = docs.withColumn("__quire_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = own.join(kept, own[id_col].eqNullSafe(kept["__quire_id"]) & (own["__quire_text"] == kept["__quire_hash"]), "left_semi")
+    return found.dropDuplicates([id_col, "__quire_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
