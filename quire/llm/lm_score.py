@@ -3,11 +3,14 @@
 Counts cover all training texts. The unigram is discounted absolutely: p(w) = (c - d) / N for the V known words, and the
 one class of unknown words gets d * V / N, d = n1 / (n1 + 2 * n2) from the numbers of words seen once and twice. The
 bigram is smoothed towards it: p(w | v) = (c(v, w) + m * p(w)) / (c(v) + m), so probabilities sum to one in every
-context. Contexts are the begin of a text and the words with at least N / 2^`context_bits` occurrences (at most
-2^`context_bits` words can have that many, whatever the input); any other word as context says nothing, p(w) holds.
+context. Contexts are the begin of a text and, with `every_context`, every word: each pair seen is kept. Without it only words with
+at least N / 2^16 occurrences are contexts; any other word as context says nothing, p(w) holds.
 
-Both models are spread over shards by the predicted word (a context word's hot rows by its context too), so that neither a model nor a vocabulary
-is ever gathered: a task gets its shard's n-grams of all documents, training and held out, builds the shard's trie
+log p(w | v) is log(c(v, w) + m * p(w)), which the shard of w knows, less log(c(v) + m), which the shard of v knows where
+v itself is predicted; as sums over a text are wanted, each adds its own part, and no context's count is sent anywhere.
+
+Both models are spread over shards by the predicted word (a frequent word's by its context too), so that neither a model nor a vocabulary
+is ever gathered (only words with N / 2^`spread_bits` occurrences or more, at most 2^`spread_bits`, are known to all, to spread their rows): a task gets its shard's n-grams of all documents, training and held out, builds the shard's trie
 from the training ones, looks all of them up, and returns sums by document, which a last step adds up. N-grams travel
 as packed blocks, each (word, context, document) once with its count; the number of shards follows the tokens, and a shard is
 worked off in ranges of word hashes, so a task's memory doesn't grow with the input.
@@ -69,22 +72,21 @@ def unigrams(docs: DataFrame, training: Column, text_col: str = "text", flush: i
 
 @dataclass
 class Totals:
-    """What all shards share: corpus numbers and the contexts' counts (bounded, see the module's docstring)."""
+    """What all shards share: corpus numbers and the frequent words' counts (bounded, see the module's docstring)."""
 
     tokens: int
     vocabulary: int
     texts: int
     discount: float
-    hashes: np.ndarray  # of the context words, increasing
+    hashes: np.ndarray  # of the frequent words, increasing
     counts: np.ndarray
     smoothing: float
+    every_context: bool = False
 
-    @property
-    def contexts(self) -> int:
-        return len(self.hashes) + 2  # none, begin, words
-
-    def context_counts(self) -> np.ndarray:
-        return np.concatenate([[0, self.texts], self.counts])
+    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are frequent words, and their indexes."""
+        at = np.minimum(np.searchsorted(self.hashes, words), max(0, len(self.hashes) - 1))
+        return (self.hashes[at] == words if len(self.hashes) else np.zeros(len(words), bool)), at
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """p of words seen c times; that of the unknown class for 0."""
@@ -92,16 +94,16 @@ class Totals:
         return np.where(c > 0, (c - self.discount) / n, max(self.discount * self.vocabulary / n, 1 / (n + self.vocabulary + 1)))
 
 
-def totals(docs: DataFrame, training: Column, text_col: str = "text", context_bits: int = 16, smoothing: float = 200.0) -> Totals:
+def totals(docs: DataFrame, training: Column, text_col: str = "text", spread_bits: int = 16, smoothing: float = 200.0, every_context: bool = False) -> Totals:
     counted = materialize(unigrams(docs, training, text_col), "lm-unigrams")
     n, v, n1, n2 = (x or 0 for x in counted.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first())
-    got = counted.filter(F.col("c") >= max(2.0, n / (1 << context_bits))).toArrow()
+    got = counted.filter(F.col("c") >= max(2.0, n / (1 << spread_bits))).toArrow()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in got.column("word").to_pylist()), np.uint64, len(got))
     counts = got.column("c").to_numpy()
     order = np.argsort(hashes)
     end = hashes == xxhash.xxh64_intdigest(END, SEED)
     texts = int(counts[end][0]) if end.any() else docs.filter(training).count()
-    return Totals(int(n), int(v), texts, n1 / (n1 + 2 * n2) if n1 else 0.5, hashes[order], counts[order], smoothing)
+    return Totals(int(n), int(v), texts, n1 / (n1 + 2 * n2) if n1 else 0.5, hashes[order], counts[order], smoothing, every_context)
 
 
 def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashes, shards: int):
@@ -116,13 +118,12 @@ def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashe
     sizes = np.array([len(x) for x in lists])
     h = np.concatenate(lists)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    at = np.minimum(np.searchsorted(held.hashes, h), max(0, len(held.hashes) - 1))
-    known = held.hashes[at] == h if len(held.hashes) else np.zeros(len(h), bool)
-    own = np.where(known, at + 2, 0)
-    context = np.concatenate([[0], own[:-1]])
-    context[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 1
-    # a word outside the contexts is rare: all of its rows go to one shard
-    mixed = h ^ np.where(known, (context.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+    known, _ = held.frequent(h)
+    own = h if held.every_context else np.where(known, h, np.uint64(0))  # 0: no context
+    context = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
+    context[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = end  # begin: what follows an end
+    # a word that isn't frequent: all of its rows go to one shard
+    mixed = h ^ np.where(known, (context ^ (context >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), np.uint64(0))
     mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((doc, context, h, shard))
@@ -134,30 +135,35 @@ def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashe
     for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])), strict=True):
         first = np.flatnonzero(np.concatenate([[True], h[lo + 1 : hi] != h[lo : hi - 1]]))
         rows = np.diff(np.concatenate([first, [hi - lo]]))
-        yield int(shard[lo]), pack([h[lo:hi][first], rows.astype(np.uint32), context[lo:hi].astype(np.uint32), doc[lo:hi].astype(np.uint16), tf[lo:hi].astype(np.uint32), flags])
+        yield int(shard[lo]), pack([h[lo:hi][first], rows.astype(np.uint32), context[lo:hi], doc[lo:hi].astype(np.uint16), tf[lo:hi].astype(np.uint32), flags])
 
 
 def score_shard(blocks: list[list[np.ndarray]], held: Totals) -> tuple[NgramTrie, list[tuple[np.ndarray, ...]]]:
     """A trie of these n-grams, and for each of them, block by block: row of its text, known tokens, log10(c + 1) and log10 p, times its count."""
     h = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
-    context, tf = (np.concatenate([b[k] for b in blocks]).astype(np.int64) for k in (2, 4))
+    contexts, context = np.unique(np.concatenate([np.zeros(1, np.uint64), *[b[2] for b in blocks]]), return_inverse=True)
+    context = context[1:]  # 0: none
+    tf = np.concatenate([b[4] for b in blocks]).astype(np.int64)
     training = np.concatenate([b[5][b[3]].astype(bool) for b in blocks])
     words, word = np.unique(h, return_inverse=True)
     counts = np.bincount(word, np.where(training, tf, 0), len(words)).astype(np.int64)
-    if len(held.hashes):  # context words' rows are spread: their counts are known
-        at = np.minimum(np.searchsorted(held.hashes, words), len(held.hashes) - 1)
-        counts = np.where(held.hashes[at] == words, held.counts[at], counts)
+    known, at = held.frequent(words)
+    if len(held.hashes):  # frequent words' rows are spread: their counts are known
+        counts = np.where(known, held.counts[at], counts)
     uni = held.unigram(counts)
-    of_context = held.context_counts()
     seen = training & (context > 0)
-    keys, which = np.unique(word[seen] * held.contexts + context[seen], return_inverse=True)
+    keys, which = np.unique(word[seen] * len(contexts) + context[seen], return_inverse=True)
     pair = np.bincount(which, tf[seen], len(keys))
-    pair_word, pair_context = keys // held.contexts, keys % held.contexts
+    pair_word = keys // len(contexts)
     m = held.smoothing
-    trie = NgramTrie.build(held.contexts, words, np.log10(uni), pair_word, pair_context, np.log10((pair + m * uni[pair_word]) / (of_context[pair_context] + m)))
+    whole = np.log10(held.tokens + m)  # the trie holds logs that aren't positive
+    trie = NgramTrie.build(len(contexts), words, np.log10(uni), pair_word, keys % len(contexts), np.log10(pair + m * uni[pair_word]) - whole)
     first, second = trie.lookup(word, context)
-    back = np.where(context > 0, np.log10(m / (of_context + m))[context], 0.0)
-    sums = np.where(counts[word] > 0, tf, 0), np.log10(counts[word] + 1.0) * tf, np.where(np.isnan(second), first + back, second) * tf
+    # this word's own part as the context of what follows it; an end's: of the next text's first word
+    end = words == np.uint64(xxhash.xxh64_intdigest(END, SEED))
+    follows = np.where(end, np.log10(held.texts + m), np.where(known | held.every_context, np.log10(counts + m), 0.0))
+    logp = np.where(context > 0, np.where(np.isnan(second), first + np.log10(m), second + whole), first) - follows[word]
+    sums = np.where(counts[word] > 0, tf, 0), np.log10(counts[word] + 1.0) * tf, logp * tf
     cuts = np.cumsum([len(b[3]) for b in blocks])[:-1]
     return trie, list(zip([b[3] for b in blocks], *(np.split(x, cuts) for x in sums), strict=True))
 
@@ -189,10 +195,10 @@ def score_in_parts(blocks: list[list[np.ndarray]], held: Totals, part_rows: int)
     return out
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context_bits: int = 16, smoothing: float = 200.0, shard_tokens: int = 6_000_000, part_rows: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", spread_bits: int = 16, smoothing: float = 200.0, every_context: bool = False, shard_tokens: int = 6_000_000, part_rows: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text. Two passes over the texts."""
     spark = docs.sparkSession
-    held = totals(docs, ~held_out, text_col, context_bits, smoothing)
+    held = totals(docs, ~held_out, text_col, spread_bits, smoothing, every_context)
     shards = max(1, -(-held.tokens // shard_tokens))
     shared = spark.sparkContext.broadcast(held)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))

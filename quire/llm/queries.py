@@ -41,7 +41,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_texts(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) == 2)
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) == 2, every_context=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,31 @@
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+from quire.llm import queries
+
+
+def test_query_uses_every_word_as_context(spark, tmp_path):
+    r = random.Random(6)
+    texts = [" ".join(["the"] * r.randint(200, 400)) for _ in range(700)] + [f"the rare{k % 150} follows{k % 150} the once{k}" for k in range(600)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    toks = [(t or "").split() + [""] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    c, pairs, starts = Counter(), Counter(), 0
+    for t, h in zip(toks, held, strict=True):
+        if not h:
+            c.update(t)
+            pairs.update(zip([None, *t], t, strict=False))
+            starts += 1
+    n, v, m = sum(c.values()), len(c), 200.0
+    n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = n1 / (n1 + 2 * n2)
+    assert sum(c[w] < n / 65536 for w in c) > 100  # rare words: no contexts before
+    p1 = lambda w: (c[w] - d) / n if c[w] else max(d * v / n, 1 / (n + v + 1))
+    got = {x.doc_id: x.score for x in queries.QUERIES["op5_lm_score"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(toks):
+        want = sum(math.log10((pairs[a, w] + m * p1(w)) / ((starts if a is None else c[a]) + m)) for a, w in zip([None, *t], t, strict=False))
+        assert abs(got[i] - want) < 2e-4 * len(t)
