@@ -4,9 +4,10 @@ Evidence for a row's language: its whole text (a naive Bayes model over hashed b
 language, its address suffix, and a prior for its host. The text model is trained on a bounded sample of rows with a
 label (`per_language` for each of at most `most_languages`, chosen by a hash of the id). What the text alone says
 about all rows is then summed by declared language, suffix, host and domain in one grouped aggregation; from it come
-P(declared | language), P(suffix | language) and the host priors, smoothed along global -> domain -> host. Hosts and domains with less
-than 1 / most_hosts of all rows take their parent's prior, so at most `most_hosts` of either are kept, whatever the
-input. A last pass fuses: log posterior = prior + trigrams * dependence + declared + suffix.
+P(declared | language), P(suffix | language) and the host priors, smoothed along global -> domain -> host, for every value
+that occurs. Values of 1 / `most_hosts` of all rows or more (so at most `most_hosts` of a kind) are sent to all tasks; rarer
+ones are joined to the rows that hold them by a shuffle of row numbers, without the texts. A last step fuses: log posterior =
+prior + trigrams * dependence + declared + suffix.
 
 A further hypothesis, "und", has equal trigrams. A row is rejected if "und" wins or the winner's posterior is below
 `least_posterior`; texts without a trigram of letters (null and empty ones too) are judged by the rest of the evidence.
@@ -101,17 +102,6 @@ def train_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "do
     return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-@dataclass
-class Evidence:
-    """Log probabilities by hypothesis: of each declared value and suffix given the language, and priors by host and domain."""
-
-    prior: np.ndarray
-    declared: dict[str, np.ndarray]
-    suffix: dict[str, np.ndarray]
-    domain: dict[str, np.ndarray]
-    host: dict[str, np.ndarray]
-
-
 KINDS = ("declared", "suffix", "domain", "host")
 
 
@@ -125,10 +115,29 @@ def _rows(docs: DataFrame, text: Column, declared: Column, suffix: Column, domai
     return docs.select(text.alias("_text"), low(declared).alias("_declared"), low(suffix).alias("_suffix"), low(domain).alias("_domain"), low(host).alias("_host"), *more)
 
 
-def gather_evidence(rows: DataFrame, model: TextModel, dependence: float, smoothing: float = 8.0, most_hosts: int = 4096) -> Evidence:
-    """Sums of the text's posteriors by declared language, suffix, domain and host; summed inside tasks first."""
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def score_rows(rows: DataFrame, model: TextModel) -> DataFrame:
+    """_rows() with the text's log likelihoods (ll) in place of the text. The one pass over the texts."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    width = len(model.table)
+    fields = rows.schema.fields[1:]
+
+    def run(batches):
+        for b in batches:
+            ll, _ = shared.value.loglik(*utf8(b.column(0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], _lists(ll)], names=[*(f.name for f in fields), "ll"])
+
+    return rows.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ll array<double>"]))
+
+
+def gather_evidence(scored: DataFrame, width: int, dependence: float) -> DataFrame:
+    """kind, value, parent (a host's domain), p, n: sums of the text's posteriors by declared language, suffix, domain and host; summed inside tasks first."""
 
     def run(batches):
         sums: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(width))
@@ -136,21 +145,20 @@ def gather_evidence(rows: DataFrame, model: TextModel, dependence: float, smooth
 
         def out():
             keys = list(sums)
-            p = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), pa.array(np.concatenate([sums[k] for k in keys]) if keys else np.zeros(0)))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([v for _, v in keys]), pa.array([parent.get(v) if k == "host" else None for k, v in keys], pa.string()), p], names=["kind", "value", "parent", "p"])
+            p = np.array([sums[k] for k in keys]).reshape(-1, width)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.string()), pa.array([parent.get(v) if k == "host" else None for k, v in keys], pa.string()), _lists(p)], names=["kind", "value", "parent", "p"])
 
         for b in batches:
-            ll, _ = shared.value.loglik(*utf8(b.column(0)))
-            p = softmax(ll * dependence)
+            p = softmax(_vectors(b.column(4), width) * dependence) if b.num_rows else np.zeros((0, width))
             sums["all", ""] += p.sum(axis=0)
-            for kind, column in zip(KINDS, b.columns[1:5], strict=True):
+            for kind, column in zip(KINDS, b.columns[:4], strict=True):
                 codes = column.dictionary_encode()
                 at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
                 found = np.stack([np.bincount(at, p[:, k], len(codes.dictionary) + 1) for k in range(width)], axis=1)
                 for j, value in enumerate(codes.dictionary.to_pylist()):
                     if value is not None:
                         sums[kind, value] += found[j]
-            for h, d in set(zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for h, d in set(zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if h is not None and d is not None:
                     parent[h] = d
             if len(sums) > 50_000:
@@ -159,68 +167,90 @@ def gather_evidence(rows: DataFrame, model: TextModel, dependence: float, smooth
                 parent.clear()
         yield out()
 
-    each = rows.select("_text", "_declared", "_suffix", "_domain", "_host").mapInArrow(lean(run), "kind string, value string, parent string, p array<double>")
-    summed = materialize(each.groupBy("kind", "value").agg(F.max("parent").alias("parent"), *[F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(width)]).withColumn("n", sum((F.col(f"p{k}") for k in range(width)), F.lit(0.0))), "language-evidence")
-    everything = np.array([x or 0.0 for x in summed.filter("kind = 'all'").agg(*[F.sum(f"p{k}") for k in range(width)]).first()])
-    n = everything.sum()
-    # at most most_hosts rows of each kind can hold such a share of all
-    got = summed.filter((F.col("kind") != "all") & (F.col("n") >= max(n / most_hosts, 1e-9))).collect()
+    each = scored.select("_declared", "_suffix", "_domain", "_host", "ll").mapInArrow(lean(run), "kind string, value string, parent string, p array<double>")
+    summed = each.groupBy("kind", "value").agg(F.max("parent").alias("parent"), F.array(*[F.sum(F.col("p")[k]) for k in range(width)]).alias("p"))
+    return materialize(summed.withColumn("n", F.aggregate("p", F.lit(0.0), lambda a, x: a + x)), "language-evidence")
+
+
+def log_evidence(summed: DataFrame, everything: np.ndarray, smoothing: float) -> DataFrame:
+    """kind, value, n, e: log P(value | language) of every declared value and suffix, the log prior of every domain and host."""
+    n, width = everything.sum(), len(everything)
     prior = (everything + 1) / (n + width)
-    counts = {k: {r["value"]: np.array([r[f"p{j}"] for j in range(width)]) for r in got if r["kind"] == k} for k in KINDS}
-    parents = {r["value"]: r["parent"] for r in got if r["kind"] == "host"}
-    given = lambda c: np.log((c + 0.5 * prior) / (everything + 0.5))  # noqa: E731  P(value | language)
-    smooth = lambda c, above: (c + smoothing * above) / (c.sum() + smoothing)
-    domain = {d: smooth(c, prior) for d, c in counts["domain"].items()}
-    host = {h: smooth(c, domain.get(parents.get(h), prior)) for h, c in counts["host"].items()}
-    return Evidence(np.log(prior), {v: given(c) for v, c in counts["declared"].items()}, {v: given(c) for v, c in counts["suffix"].items()}, {v: np.log(x) for v, x in domain.items()}, {v: np.log(x) for v, x in host.items()})
-
-
-def fuse(b: pa.RecordBatch, model: TextModel, evidence: Evidence, dependence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors with all evidence, and the text's own log likelihoods; the batch's columns as _rows() has them."""
-    ll, _ = model.loglik(*utf8(b.column(0)))
-    total = ll * dependence
-    zero = np.zeros(len(model.table))
-    declared, suffix, domain, host = (c.to_pylist() for c in b.columns[1:5])
-    total += np.array([evidence.declared.get(v, zero) for v in declared]).reshape(total.shape)
-    total += np.array([evidence.suffix.get(v, zero) for v in suffix]).reshape(total.shape)
-    total += np.array([evidence.host.get(h, evidence.domain.get(d, evidence.prior)) for h, d in zip(host, domain, strict=True)]).reshape(total.shape)
-    return softmax(total), ll
+    domains = summed.filter("kind = 'domain'").select(F.col("value").alias("parent"), F.col("p").alias("above"))
+    hosts = summed.filter("kind = 'host'").join(domains, "parent", "left").select("kind", "value", "n", "p", "above")
+    others = summed.filter("kind not in ('all', 'host')").select("kind", "value", "n", "p", F.lit(None).cast("array<double>").alias("above"))
+
+    def run(batches):
+        smooth = lambda c, above: (c + smoothing * above) / (c.sum(axis=1, keepdims=True) + smoothing)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = _vectors(b.column(3), width)
+            above = np.stack([prior if x is None else smooth(np.array([x]), prior)[0] for x in b.column(4).to_pylist()])
+            given = np.array([k in ("declared", "suffix") for k in b.column(0).to_pylist()])[:, None]
+            e = np.log(np.where(given, (c + 0.5 * prior) / (everything + 0.5), smooth(c, above)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _lists(e)], names=["kind", "value", "n", "e"])
+
+    return materialize(hosts.unionByName(others).mapInArrow(lean(run), "kind string, value string, n double, e array<double>"), "language-logs")
 
 
 def identify(docs: DataFrame, model: TextModel, *, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, id_col: str = "doc_id", dependence: float = 0.25, least_posterior: float = 0.5, keep: bool = False, smoothing: float = 8.0, most_hosts: int = 4096) -> DataFrame:
     """id, language, posterior, text_language, accepted for every row; with keep, the accepted rows of docs themselves, all columns.
 
-    Two passes over the texts; only sums are shuffled.
+    One pass of the text model; sums, ids and log likelihoods are written or shuffled. With keep, a second reading leaves out the
+    rows whose text and evidence (by two 64-bit hashes) are those of a rejected row.
     """
     none = F.lit(None).cast("string")
     sides = [none if c is None else c for c in (declared, suffix, domain, host)]
-    evidence = gather_evidence(_rows(docs, text, *sides), model, dependence, smoothing, most_hosts)
-    shared = docs.sparkSession.sparkContext.broadcast((model, evidence))
-    kept = [docs[f"`{c}`"].alias(f"__quire_{k}") for k, c in enumerate(docs.columns)] if keep else [F.col(id_col)]  # no name clashes with the evidence's
-    schema = docs.schema if keep else None
-
-    def decide(b):
-        m, e = shared.value
-        post, ll = fuse(b, m, e, dependence)
-        best = post.argmax(axis=1)
-        names = np.array([*m.languages, "und"], object)
-        sure = post[np.arange(len(post)), best]
-        return names[best], sure, names[ll.argmax(axis=1)], (best < len(m.languages)) & (sure >= least_posterior)
+    width = len(model.table)
+    marks = [F.xxhash64(F.lit(seed), *[x for c in (text, *sides) for x in (c.isNull(), c)]).alias(f"__quire_{seed}") for seed in (1, 2)]
+    names = ["__quire_1", "__quire_2"] if keep else ["id"]
+    more = marks if keep else [F.col(id_col).alias("id")]
+    scored = materialize(score_rows(_rows(docs, text, *sides, *more), model).withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+    summed = gather_evidence(scored, width, dependence)
+    everything = np.array([x or 0.0 for x in summed.filter("kind = 'all'").agg(*[F.sum(F.col("p")[k]) for k in range(width)]).first()])
+    n = everything.sum()
+    logs = log_evidence(summed, everything, smoothing)
+    # at most most_hosts rows of each kind can hold such a share of all
+    often = F.col("n") >= max(n / most_hosts, 1e-9)
+    hot = {(x["kind"], x["value"]): np.array(x["e"]) for x in logs.filter(often).collect()}
+    rare = logs.filter(~often).select("kind", "value", "e")
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, np.log((everything + 1) / (n + width)), hot))
+    if rare.limit(1).count():
+        pair = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("value"))
+        held = F.array(pair("declared"), pair("suffix"), F.when(F.col("_host").isNotNull(), pair("host")).otherwise(pair("domain")))
+        each = scored.select("_row", F.explode(held).alias("v")).select("_row", "v.kind", "v.value").filter("value is not null")
+        each = each.join(F.broadcast(logs.filter(often).select("kind", "value")), ["kind", "value"], "left_anti").join(rare, ["kind", "value"])
+        scored = scored.join(each.groupBy("_row").agg(F.collect_list(F.struct("kind", "e")).alias("rare")), "_row", "left")
+    else:
+        scored = scored.withColumn("rare", F.lit(None).cast("array<struct<kind:string,e:array<double>>>"))
 
     def run(batches):
+        languages, prior, often = shared.value
+        labels, zero = np.array([*languages, "und"], object), np.zeros(width)
         for b in batches:
             if not b.num_rows:
                 continue
-            language, sure, own, accepted = decide(b)
-            if keep:
-                yield pa.RecordBatch.from_arrays(b.columns[5:], names=schema.names).filter(pa.array(accepted))
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(5), pa.array(language, pa.string()), pa.array(np.round(sure, 9)), pa.array(own, pa.string()), pa.array(accepted)], names=["id", "language", "posterior", "text_language", "accepted"])
-
-    rows = _rows(docs, text, *sides, *kept)
-    if keep:
-        return rows.mapInArrow(lean(run), schema)
-    return rows.mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, language string, posterior double, text_language string, accepted boolean").withColumnRenamed("id", id_col)
+            ll = _vectors(b.column(4), width)
+            total = ll * dependence
+            for k, (d, s, dom, h, own) in enumerate(zip(*(c.to_pylist() for c in (*b.columns[:4], b.column(5))), strict=True)):
+                e = {x["kind"]: np.array(x["e"]) for x in own or ()}
+                above = ("host", h) if h is not None else ("domain", dom)
+                total[k] += e["declared"] if "declared" in e else often.get(("declared", d), zero)
+                total[k] += e["suffix"] if "suffix" in e else often.get(("suffix", s), zero)
+                total[k] += e[above[0]] if above[0] in e else often.get(above, prior)
+            post = softmax(total)
+            best = post.argmax(axis=1)
+            sure = post[np.arange(len(post)), best]
+            accepted = pa.array((best < len(languages)) & (sure >= least_posterior))
+            yield pa.RecordBatch.from_arrays([*b.columns[6:], pa.array(labels[best], pa.string()), pa.array(np.round(sure, 9)), pa.array(labels[ll.argmax(axis=1)], pa.string()), accepted], names=[*names, "language", "posterior", "text_language", "accepted"])
+
+    kind = ", ".join(f"`{x}` {scored.schema[x].dataType.simpleString()}" for x in names)
+    decided = scored.select("_declared", "_suffix", "_domain", "_host", "ll", "rare", *names).mapInArrow(lean(run), f"{kind}, language string, posterior double, text_language string, accepted boolean")
+    if not keep:
+        return decided.withColumnRenamed("id", id_col)
+    gone = materialize(decided.filter("not accepted").select(*names).distinct(), "language-rejected")
+    return docs.select("*", *marks).join(gone, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def page_columns(html: Column, url: Column) -> dict[str, Column]:
