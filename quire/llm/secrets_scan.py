@@ -3,7 +3,9 @@
 Two first-order Markov models over characters are trained from labelled samples: one from random strings (keys,
 digests, tokens), one from ordinary identifiers. A run of key characters of `min_run` or more is a secret if the
 log-likelihood ratio of the two models, over the whole run, exceeds `threshold` nats and `per_char` nats a character.
-The base patterns' spans always stay; a run that overlaps one adds nothing.
+Otherwise its stretches are searched: maximum-sum segments of the same ratios, held to the same three values and, if they
+pass, widened to whole words of letters and digits. The base patterns' spans always stay; what they leave of a run is
+searched like a run.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Texts are scanned whole; repeated rows give
 repeated rows; other columns are not read.
@@ -112,6 +114,50 @@ class MarkovPair:
         s = self.score(run)
         return s > self.threshold and s > self.per_char * len(run)
 
+    def stretches(self, run: bytes) -> list[tuple[int, int]]:
+        """Starts and ends of the secrets in a run: the whole of it, or its best-scoring stretches."""
+        if len(run) < self.min_run:
+            return []
+        if self.is_secret(run):
+            return [(0, len(run))]
+        c = self.codes[np.frombuffer(run, np.uint8)]
+        ratio = self.ratio[np.r_[0, c[:-1]], c]
+        found = self._segments(ratio, 0.0) + self._segments(ratio, self.per_char)
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            while a > 0 and run[a - 1 : a].isalnum() and run[a : a + 1].isalnum():
+                a -= 1
+            while b < len(run) and run[b : b + 1].isalnum() and run[b - 1 : b].isalnum():
+                b += 1
+            if out and a < out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+    def _segments(self, ratio: np.ndarray, less: float) -> list[tuple[int, int]]:
+        """Maximum-sum segments of ratio - less that pass; one ends where the sum is spent or has dropped by `threshold` from its top."""
+        x = ratio - less
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        if (sums - np.minimum.accumulate(sums)).max() <= (self.threshold if not less else 0):
+            return []
+        out, at, values = [], 0, x.tolist()
+        while at < len(values):
+            total = top = 0.0
+            start, end = at, at
+            k = at
+            while k < len(values):
+                total += values[k]
+                k += 1
+                if total > top:
+                    top, end = total, k
+                elif total <= 0 or top - total >= self.threshold:
+                    break
+            if end - start >= self.min_run and (s := float(ratio[start:end].sum())) > self.threshold and s > self.per_char * (end - start):
+                out.append((start, end))
+            at = end if end > start else k
+        return out
+
 
 def _codes() -> np.ndarray:
     codes = np.zeros(256, np.int64)
@@ -163,9 +209,16 @@ def scan_batch(data: np.ndarray, offsets: np.ndarray, model: MarkovPair) -> dict
             rows = np.searchsorted(offsets, starts, "right") - 1
             for i, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 a = int(offsets[i])
-                if kind == 3 and (any(x[0] < e - a and s - a < x[2] for x in found.get(i, ())) or not model.is_secret(whole[s:e])):
+                if kind != 3:
+                    found.setdefault(i, []).append((s - a, kind, e - a))
                     continue
-                found.setdefault(i, []).append((s - a, kind, e - a))
+                own, at = [], s
+                for x, _, y in sorted(t for t in found.get(i, ()) if t[1] != 3 and t[0] < e - a and s - a < t[2]):
+                    own += [(at + p, at + q) for p, q in model.stretches(whole[at : a + x])] if a + x > at else []
+                    at = max(at, a + y)
+                own += [(at + p, at + q) for p, q in model.stretches(whole[at:e])] if e > at else []
+                if own:
+                    found.setdefault(i, []).extend((p - a, kind, q - a) for p, q in own)
     for spans in found.values():
         spans.sort()
     return found
