@@ -2,7 +2,7 @@
 
 Evidence for a row's language: its whole text (a naive Bayes model over hashed byte trigrams), its declared markup
 language, its address suffix, and a prior for its host. The text model is trained on a bounded sample of rows with a
-label (`per_language` for each of at most `most_languages`, chosen by a hash of the id). What the text alone says
+label (`per_language` for each language that occurs, chosen by a hash of the id; more than `most_languages` are an error). What the text alone says
 about all rows is then summed by declared language, suffix, host and domain in one grouped aggregation; from it come
 P(declared | language), P(suffix | language) and the host priors, smoothed along global -> domain -> host, for every value
 that occurs. Values of 1 / `most_hosts` of all rows or more (so at most `most_hosts` of a kind) are sent to all tasks; rarer
@@ -71,9 +71,11 @@ class TextModel:
         return out, number
 
 
-def train_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500, most_languages: int = 64, smoothing: float = 0.5) -> TextModel:
-    """From about `per_language` labelled rows of each language; fewer languages than rows: the most frequent."""
-    counts = docs.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most_languages).collect()
+def train_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500, most_languages: int = 512, smoothing: float = 0.5) -> TextModel:
+    """From about `per_language` labelled rows of each language that occurs; ValueError if there are more than `most_languages` (a table's memory is 256 KB each)."""
+    counts = docs.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages in {label_col}; none is left out, raise most_languages")
     languages = sorted(r[0] for r in counts)
     if not languages:
         return TextModel([], np.full((1, BUCKETS), -np.log(BUCKETS), np.float32))
