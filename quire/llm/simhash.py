@@ -161,29 +161,32 @@ def link_forest(prints: DataFrame, radius: int = 3, tile_rows: int = 4096) -> Da
     return rows.groupBy("tile", "part").applyInArrow(run, "a long, b long")
 
 
+def groups(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """prints: distinct fp, least (any value of it). fp, least, label: the component's smallest fingerprint."""
+    labels = components(link_forest(prints.select("fp"), radius), "simhash-links")
+    return prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 lowercase hex digits), component_id (the smallest id reachable over links, itself included)."""
     rows = materialize(fingerprints(docs, size, seed, id_col, text_col), "simhash")
     prints = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    labels = components(link_forest(prints.select("fp"), radius), "simhash-links")
-    grouped = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    grouped = groups(prints, radius)
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     members = grouped.join(least, "label").select("fp", "component_id")
     return rows.join(members, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one of each group: the row with the smallest id (of equal ids one). Of rows without ids in groups without ids one for each fingerprint stays."""
-    names = ("__quire_id", "__quire_least", "__quire_fp")
-    groups = near_duplicates(docs, radius, size, seed, id_col, text_col).toDF(names[0], names[2], names[1])
-    kept = groups.filter(F.col(names[0]) == F.col(names[1])).select(names[0]).distinct()
-    with_id = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(names[0]), "left_semi").dropDuplicates([id_col])
-    without = docs.filter(F.col(id_col).isNull())
-    alone = groups.filter(F.col(names[1]).isNull()).select(names[2]).distinct()
-    if not alone.limit(1).count():
-        return with_id
-    # groups without any id: one row of each, found by its fingerprint's component
-    own = fingerprints(without.withColumn(names[0], F.col(text_col)), size, seed, names[0], text_col).dropDuplicates([names[0]])
-    own = own.withColumn(names[2], F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(alone, names[2])
-    first = own.groupBy(names[2]).agg(F.min(F.coalesce(names[0], F.lit(""))).alias(names[0]))
-    return with_id.unionByName(without.join(first, F.coalesce(F.col(text_col), F.lit("")) == F.col(names[0]), "left_semi").dropDuplicates([text_col]))
+    """docs, one row of each group: that with the smallest id, null ids last; of one group's rows of that id the one whose text
+    has the smallest hash, and of rows equal in both one. Rows of one id and of different groups are judged each in its own group."""
+    hashed = docs.withColumn("__quire_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = hashed.select(F.col("__quire_hash").alias("hash"), F.col(text_col).alias("text")).dropDuplicates(["hash"])
+    prints = materialize(fingerprints(marked, size, seed, "hash", "text"), "simhash-texts")
+    labels = groups(materialize(prints.groupBy("fp").agg(F.min("hash").alias("least")), "simhash-distinct"), radius).select("fp", "label")
+    rows = hashed.select(F.col(id_col).alias("id"), F.col("__quire_hash").alias("hash")).distinct()
+    told = rows.join(prints, "hash").join(labels, "fp")
+    first = told.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash")).alias("k"))
+    kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.hash").alias("__quire_kept")), "simhash-kept")
+    found = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__quire_id"]) & (hashed["__quire_hash"] == kept["__quire_kept"]), "left_semi")
+    return found.dropDuplicates([id_col, "__quire_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
