@@ -160,12 +160,12 @@ def exact_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def monte_carlo_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significance.monte_carlo(_paired(spark, sf_dir), 500)
+    return significance.monte_carlo(_paired(spark, sf_dir))
 
 
 @query()
 def seeded_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significance.seeded(_paired(spark, sf_dir), 200)
+    return significance.seeded(_paired(spark, sf_dir))
 
 
 @query(f"""WITH {EXACT} SELECT a, b, rpad(a || ' vs ' || b, 26, ' ') || lpad(printf('%+.2f', observed_diff), 9, ' ') || lpad(printf('%.4f', round(p, 6)), 9, ' ') || '  ' ||
