@@ -47,3 +47,18 @@ def lean(run):
         trim()
 
     return wrapped
+
+
+def lean_group(run):
+    """run, a function of one or two tables of a group; what a group took goes back to the system before the next one comes."""
+    import inspect
+
+    def held(*tables):
+        try:
+            return run(*tables)
+        finally:
+            trim()
+
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda one: held(one)
+    return lambda one, two: held(one, two)

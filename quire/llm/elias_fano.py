@@ -3,13 +3,15 @@
 A monotone sequence of n numbers below u keeps l = log2(u / n) low bits of each in a packed array, and the high parts in unary in
 a bit vector, with a running count for each 64-bit word. The trie is kept by predicted word: its first level holds
 the words, with quantised smoothed log probabilities; pointers (a monotone sequence) lead to a second level, which
-holds for each word the contexts it was seen in. A context's number is stored relative to its word (word * contexts +
-context), which makes the level one monotone sequence; a query is a successor search between the word's pointers.
+holds for each word the words it was seen after, and pointers of these to a third level, which holds for each such pair the words
+seen before it. A word's number is stored relative to its parent (parent * words + word), which makes a level one
+monotone sequence; a query is a successor search between the parent's pointers.
 """
 
 from __future__ import annotations
 
 import mmap
+import tempfile
 
 import numpy as np
 
@@ -91,54 +93,58 @@ class EliasFano:
         return a
 
 
-LEAST, STEPS = -16.0, 65_535
+STEPS = 65_535
 
 
-def quantise(logp: np.ndarray) -> np.ndarray:
-    """log10 probabilities as 16-bit codes: steps of 16 / 65535, an error of 0.00013 at most; below -16 as -16."""
-    return np.rint(np.clip(logp / LEAST, 0, 1) * STEPS).astype(np.uint16)
+def quantise(logp: np.ndarray, least: float) -> np.ndarray:
+    """log10 probabilities, none below `least`, as 16-bit codes in steps of -least / 65535."""
+    return np.rint(np.clip(logp / least, 0, 1) * STEPS).astype(np.uint16)
 
 
-def restore(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) * (LEAST / STEPS)
+def restore(codes: np.ndarray, least: float) -> np.ndarray:
+    return codes.astype(np.float64) * (least / STEPS)
 
 
 class NgramTrie:
-    """words: increasing 64-bit hashes. Level 1: a code for each word; level 2: a code for each (word, context) seen."""
+    """words: increasing numbers. Level 1: a code for each word w; level 2: for each (w, v) seen, v being the word before w, two codes;
+    level 3: a code for each (w, v, u) seen, u being the word before v."""
 
-    def __init__(self, contexts: int, words: np.ndarray, codes: np.ndarray, pointers: EliasFano, pairs: EliasFano, pair_codes: np.ndarray):
-        self.contexts, self.words, self.codes, self.pointers, self.pairs, self.pair_codes = contexts, words, codes, pointers, pairs, pair_codes
+    def __init__(self, least: float, words: np.ndarray, codes: np.ndarray, first: EliasFano, pairs: EliasFano, pair_codes: np.ndarray, after_codes: np.ndarray, second: EliasFano, triples: EliasFano, triple_codes: np.ndarray):
+        self.least, self.words, self.codes = least, words, codes
+        self.first, self.pairs, self.pair_codes, self.after_codes = first, pairs, pair_codes, after_codes
+        self.second, self.triples, self.triple_codes = second, triples, triple_codes
 
     @classmethod
-    def build(cls, contexts: int, words: np.ndarray, logp: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_logp: np.ndarray) -> NgramTrie:
-        """pair_word: indexes into words; pairs in order of (word, context), each once."""
-        counts = np.bincount(pair_word, minlength=len(words))
-        keys = pair_word.astype(np.int64) * contexts + pair_context
-        trie = cls(contexts, words, quantise(logp), EliasFano.build(np.concatenate([[0], np.cumsum(counts)]), len(keys) + 1), EliasFano.build(keys, max(1, len(words)) * contexts), quantise(pair_logp))
-        return trie.mapped()
+    def build(cls, least: float, words: np.ndarray, logp: np.ndarray, pairs: np.ndarray, pair_logp: np.ndarray, after: np.ndarray, triples: np.ndarray, triple_logp: np.ndarray) -> NgramTrie:
+        """pairs: w * len(words) + v, increasing; triples: index of the pair * len(words) + u, increasing. All logs lie in [least, 0]."""
+        n = max(1, len(words))
+        starts = lambda parents, size: np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=size))])
+        return cls(
+            least, words, quantise(logp, least),
+            EliasFano.build(starts(pairs // n, len(words)), len(pairs) + 1), EliasFano.build(pairs, n * n), quantise(pair_logp, least), quantise(after, least),
+            EliasFano.build(starts(triples // n, len(pairs)), len(triples) + 1), EliasFano.build(triples, max(1, len(pairs)) * n), quantise(triple_logp, least),
+        )
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.contexts], np.int64), self.words, self.codes, *self.pointers.arrays(), *self.pairs.arrays(), self.pair_codes]
+        return [np.array([self.least]), self.words, self.codes, *self.first.arrays(), *self.pairs.arrays(), self.pair_codes, self.after_codes, *self.second.arrays(), *self.triples.arrays(), self.triple_codes]
 
     @classmethod
     def from_arrays(cls, a: list[np.ndarray]) -> NgramTrie:
-        return cls(int(a[0][0]), a[1], a[2], EliasFano.from_arrays(*a[3:7]), EliasFano.from_arrays(*a[7:11]), a[11])
+        return cls(float(a[0][0]), a[1], a[2], EliasFano.from_arrays(*a[3:7]), EliasFano.from_arrays(*a[7:11]), a[11], a[12], EliasFano.from_arrays(*a[13:17]), EliasFano.from_arrays(*a[17:21]), a[21])
 
-    def dump(self, out) -> None:
-        """One block: a table of types and lengths, then each array, aligned to 64 bytes."""
+    def dump(self) -> bytes:
+        """One file: a table of types and lengths, then each level's arrays, aligned to 64 bytes."""
         arrays = self.arrays()
         table, at = [], 64 * (1 + len(arrays))
         for x in arrays:
             table.append((x.dtype.str, len(x), at))
             at += -(-(x.nbytes + 8) // 64) * 64
+        out = bytearray(at)
         head = f"{len(arrays)} {at}".ljust(63) + "\n" + "".join(f"{t} {n} {p}".ljust(63) + "\n" for t, n, p in table)
-        out.write(head.encode())
+        out[: len(head)] = head.encode()
         for (_, _, p), x in zip(table, arrays, strict=True):
-            out.seek(p)
-            out.write(x.tobytes())
-
-    def size(self) -> int:
-        return 64 * (1 + 12) + sum(-(-(x.nbytes + 8) // 64) * 64 for x in self.arrays())
+            out[p : p + x.nbytes] = x.tobytes()
+        return bytes(out)
 
     @classmethod
     def view(cls, buffer) -> NgramTrie:
@@ -152,31 +158,43 @@ class NgramTrie:
             arrays.append(flat[int(at) : int(at) + int(n) * dtype.itemsize].view(dtype))
         return cls.from_arrays(arrays)
 
-    def mapped(self) -> NgramTrie:
-        """The same trie in an anonymous memory map, outside the heap."""
-        block = mmap.mmap(-1, self.size())
-        self.dump(block)
-        return NgramTrie.view(block)
-
     @classmethod
     def open(cls, path: str) -> NgramTrie:
-        """Maps a file that dump() wrote; levels are read as queries touch them."""
+        """Maps a file of dump()'s bytes; levels are read as queries touch them."""
         with open(path, "rb") as f:
             return cls.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    @classmethod
+    def mapped(cls, raw: bytes) -> NgramTrie:
+        """dump()'s bytes in a file of the task's own, without a name, and mapped from there."""
+        with tempfile.TemporaryFile() as f:
+            f.write(raw)
+            f.flush()
+            return cls.view(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def find(self, words: np.ndarray) -> np.ndarray:
         """Indexes of words; -1 if unknown."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(len(hashes), -1)
-
-    def lookup(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each word (level 1), and of each pair (level 2; nan if the pair isn't there)."""
-        uni = restore(self.codes[word])
-        pair = np.full(len(word), np.nan)
-        if self.pairs.n:
-            lo, hi = self.pointers.get(word), self.pointers.get(word + 1)
-            at = self.pairs.successor(word * self.contexts + context, lo, hi)
+        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
+
+    @staticmethod
+    def _child(level: EliasFano, pointers: EliasFano, parent: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
+        """Index of each parent's child with that number; -1 where there is none, or parent or number is -1."""
+        out = np.full(len(parent), -1)
+        ask = np.flatnonzero((parent >= 0) & (number >= 0))
+        if level.n and len(ask):
+            p, x = parent[ask], parent[ask] * width + number[ask]
+            lo, hi = pointers.get(p), pointers.get(p + 1)
+            at = level.successor(x, lo, hi)
             inside = np.flatnonzero(at < hi)
-            hit = inside[self.pairs.get(at[inside]) == word[inside] * self.contexts + context[inside]]
-            pair[hit] = restore(self.pair_codes[at[hit]])
-        return uni, pair
+            hit = inside[level.get(at[inside]) == x[inside]]
+            out[ask[hit]] = at[hit]
+        return out
+
+    def pair(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Level 2's index of w after v (indexes of words)."""
+        return self._child(self.pairs, self.first, w, v, max(1, len(self.words)))
+
+    def triple(self, pair: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Level 3's index of the pair after u."""
+        return self._child(self.triples, self.second, pair, u, max(1, len(self.words)))

@@ -1,42 +1,49 @@
-"""LM scoring (operator 5): an n-gram model in Elias-Fano tries, queried by successor search.
+"""LM scoring (operator 5): a model of order three in Elias-Fano tries, queried by successor search.
 
 Counts cover all training texts. The unigram is discounted absolutely: p(w) = (c - d) / N for the V known words, and the
-one class of unknown words gets d * V / N, d = n1 / (n1 + 2 * n2) from the numbers of words seen once and twice. The
-bigram is smoothed towards it: p(w | v) = (c(v, w) + m * p(w)) / (c(v) + m), so probabilities sum to one in every
-context. Contexts are the begin of a text and, with `every_context`, every word: each pair seen is kept. Without it only words with
-at least N / 2^16 occurrences are contexts; any other word as context says nothing, p(w) holds.
-
-log p(w | v) is log(c(v, w) + m * p(w)), which the shard of w knows, less log(c(v) + m), which the shard of v knows where
-v itself is predicted; as sums over a text are wanted, each adds its own part, and no context's count is sent anywhere.
-
-Both models are spread over shards by the predicted word (a frequent word's by its context too), so that neither a model nor a vocabulary
-is ever gathered (only words with N / 2^`spread_bits` occurrences or more, at most 2^`spread_bits`, are known to all, to spread their rows): a task gets its shard's n-grams of all documents, training and held out, builds the shard's trie
-from the training ones, looks all of them up, and returns sums by document, which a last step adds up. N-grams travel
-as packed blocks, each (word, context, document) once with its count; the number of shards follows the tokens, and a shard is
-worked off in ranges of word hashes, so a task's memory doesn't grow with the input.
+one class of unknown words gets d * V / N, d = n1 / (n1 + 2 * n2) from the numbers of words seen once and twice. Each higher
+order is smoothed towards the one below: p(w | v) = (c(v, w) + m2 * p(w)) / (c(v) + m2), p(w | u, v) = (c(u, v, w) + m3 * p(w | v)) /
+(c(u, v) + m3). Every word and every pair seen is a context, every n-gram seen is kept, and probabilities sum to one in every context.
+A text begins after an end, and that after a begin.
+
+1. Texts become blocks of at most `block_tokens` tokens (long texts are cut, two tokens of context going along), written once: a block's distinct words by
+   hash, and its tokens as numbers of these. 2. Shards of words sum the blocks' counts and tell each block its words' counts
+   and numbers. 3. fit(): a block sends its distinct n-grams, each once with its count, to shards of pairs (v, w);
+   a shard's sums become a trie w -> v -> u, whose bytes are a row of the model's table: written once, and no model or vocabulary is gathered.
+4. score(): a block sends its distinct n-grams without counts, each once; the task that has the shard's trie maps it and answers with codes; the block adds
+   up by text. So a frequent word, pair or n-gram is one entry a block; and where both words of a pair are frequent (1 / `hot_share` of all
+   tokens, so at most that many words), the pair is spread by u over up to 64 shards, to each of which its total goes along.
+
+log p(w | u, v) is log(c(u, v, w) + m3 * p(w | v)), which level 3 at (w, v, u) holds (relative to N + m3, so that it is a probability),
+less log(c(u, v) + m3), which level 2 holds for v after u, as every pair's number of followers is its own count. Level 2 also holds p(w | v), level 1 p(w).
 
 Tokens: runs of characters other than ASCII white space, A-Z lower-cased, then one end. Null and empty texts are one
-end. Words are told apart by a 64-bit hash. Repeated rows count, and are scored, each. Null ids are training rows.
+end. Words are told apart by a 64-bit hash. Repeated rows count, and are scored, each. Null ids are training rows. Columns other than the id and
+the text aren't read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import lean, raw_texts
-from quire.llm.elias_fano import NgramTrie
-from quire.llm.packing import pack, unpack
+from quire.llm.arrow import lean, lean_group, raw_texts
+from quire.llm.elias_fano import NgramTrie, quantise, restore
+from quire.llm.packing import pack, smallest, unpack
 from quire.session import materialize
 
-END = b""  # no word is empty
 SEED = 5
+END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty
+UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers of words
+BITS = 21  # of a word's number within its block
+KIND = "block long, shard int, kind tinyint, payload binary"
+BODY, REQUEST, ANSWER, STATS = range(4)
 
 
 class _Hashes(dict):
@@ -45,222 +52,332 @@ class _Hashes(dict):
         return h
 
 
-def unigrams(docs: DataFrame, training: Column, text_col: str = "text", flush: int = 400_000) -> DataFrame:
-    """word binary, c long over the training texts, the end counted too; summed inside tasks before the shuffle."""
-
-    def run(batches):
-        counts: Counter = Counter()
-        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-
-        def out():
-            words = list(counts)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], schema=schema)
-
-        for b in batches:
-            for text in raw_texts(b.column(0)):
-                counts.update(text.lower().split())
-                counts[END] += 1
-                if len(counts) > flush:
-                    yield from out()
-                    counts.clear()
-        yield from out()
-
-    return docs.filter(training).select(text_col).mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Totals:
-    """What all shards share: corpus numbers and the frequent words' counts (bounded, see the module's docstring)."""
+    """What all shards share: numbers of the training texts, nothing that grows with them."""
 
     tokens: int
     vocabulary: int
-    texts: int
     discount: float
-    hashes: np.ndarray  # of the frequent words, increasing
-    counts: np.ndarray
-    smoothing: float
-    every_context: bool = False
+    pair_mass: float
+    triple_mass: float
+    shards: int
+    hot_share: int
 
-    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are frequent words, and their indexes."""
-        at = np.minimum(np.searchsorted(self.hashes, words), max(0, len(self.hashes) - 1))
-        return (self.hashes[at] == words if len(self.hashes) else np.zeros(len(words), bool)), at
+    @property
+    def least(self) -> float:
+        """No logarithm that a trie holds is lower: it follows the corpus."""
+        return -np.log10((self.tokens + self.vocabulary + self.pair_mass + self.triple_mass + 2) / (1 - self.discount))
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """p of words seen c times; that of the unknown class for 0."""
         n = max(self.tokens, 1)
-        return np.where(c > 0, (c - self.discount) / n, max(self.discount * self.vocabulary / n, 1 / (n + self.vocabulary + 1)))
-
-
-def totals(docs: DataFrame, training: Column, text_col: str = "text", spread_bits: int = 16, smoothing: float = 200.0, every_context: bool = False) -> Totals:
-    counted = materialize(unigrams(docs, training, text_col), "lm-unigrams")
-    n, v, n1, n2 = (x or 0 for x in counted.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first())
-    got = counted.filter(F.col("c") >= max(2.0, n / (1 << spread_bits))).toArrow()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in got.column("word").to_pylist()), np.uint64, len(got))
-    counts = got.column("c").to_numpy()
-    order = np.argsort(hashes)
-    end = hashes == xxhash.xxh64_intdigest(END, SEED)
-    texts = int(counts[end][0]) if end.any() else docs.filter(training).count()
-    return Totals(int(n), int(v), texts, n1 / (n1 + 2 * n2) if n1 else 0.5, hashes[order], counts[order], smoothing, every_context)
-
-
-def _block(texts: list[bytes], training: list[bool], held: Totals, cache: _Hashes, shards: int):
-    """(shard, packed n-grams) of a block of texts: arrays word (each once), rows of each word, context, row of the text, count, training flags."""
-    lists = []
-    end = cache[END]
-    for text in texts:
-        words = text.lower().split()
-        own = [cache[w] for w in words]
-        own.append(end)
-        lists.append(np.array(own, np.uint64))
-    sizes = np.array([len(x) for x in lists])
-    h = np.concatenate(lists)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    known, _ = held.frequent(h)
-    own = h if held.every_context else np.where(known, h, np.uint64(0))  # 0: no context
-    context = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
-    context[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = end  # begin: what follows an end
-    # a word that isn't frequent: all of its rows go to one shard
-    mixed = h ^ np.where(known, (context ^ (context >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), np.uint64(0))
-    mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((doc, context, h, shard))
-    shard, h, context, doc = shard[order], h[order], context[order], doc[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])]))
-    tf = np.diff(np.concatenate([new, [len(h)]]))
-    shard, h, context, doc = shard[new], h[new], context[new], doc[new]
-    flags = np.array(training, np.uint8)
-    for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])), strict=True):
-        first = np.flatnonzero(np.concatenate([[True], h[lo + 1 : hi] != h[lo : hi - 1]]))
-        rows = np.diff(np.concatenate([first, [hi - lo]]))
-        yield int(shard[lo]), pack([h[lo:hi][first], rows.astype(np.uint32), context[lo:hi], doc[lo:hi].astype(np.uint16), tf[lo:hi].astype(np.uint32), flags])
-
-
-def score_shard(blocks: list[list[np.ndarray]], held: Totals) -> tuple[NgramTrie, list[tuple[np.ndarray, ...]]]:
-    """A trie of these n-grams, and for each of them, block by block: row of its text, known tokens, log10(c + 1) and log10 p, times its count."""
-    h = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
-    contexts, context = np.unique(np.concatenate([np.zeros(1, np.uint64), *[b[2] for b in blocks]]), return_inverse=True)
-    context = context[1:]  # 0: none
-    tf = np.concatenate([b[4] for b in blocks]).astype(np.int64)
-    training = np.concatenate([b[5][b[3]].astype(bool) for b in blocks])
-    words, word = np.unique(h, return_inverse=True)
-    counts = np.bincount(word, np.where(training, tf, 0), len(words)).astype(np.int64)
-    known, at = held.frequent(words)
-    if len(held.hashes):  # frequent words' rows are spread: their counts are known
-        counts = np.where(known, held.counts[at], counts)
-    uni = held.unigram(counts)
-    seen = training & (context > 0)
-    keys, which = np.unique(word[seen] * len(contexts) + context[seen], return_inverse=True)
-    pair = np.bincount(which, tf[seen], len(keys))
-    pair_word = keys // len(contexts)
-    m = held.smoothing
-    whole = np.log10(held.tokens + m)  # the trie holds logs that aren't positive
-    trie = NgramTrie.build(len(contexts), words, np.log10(uni), pair_word, keys % len(contexts), np.log10(pair + m * uni[pair_word]) - whole)
-    first, second = trie.lookup(word, context)
-    # this word's own part as the context of what follows it; an end's: of the next text's first word
-    end = words == np.uint64(xxhash.xxh64_intdigest(END, SEED))
-    follows = np.where(end, np.log10(held.texts + m), np.where(known | held.every_context, np.log10(counts + m), 0.0))
-    logp = np.where(context > 0, np.where(np.isnan(second), first + np.log10(m), second + whole), first) - follows[word]
-    sums = np.where(counts[word] > 0, tf, 0), np.log10(counts[word] + 1.0) * tf, logp * tf
-    cuts = np.cumsum([len(b[3]) for b in blocks])[:-1]
-    return trie, list(zip([b[3] for b in blocks], *(np.split(x, cuts) for x in sums), strict=True))
-
-
-def score_in_parts(blocks: list[list[np.ndarray]], held: Totals, part_rows: int) -> list[list[np.ndarray]]:
-    """score_shard() for ranges of word hashes with about `part_rows` n-grams each; for each block: rows of its texts, known tokens, and both sums in units of 1e-7."""
-    words = np.concatenate([b[0] for b in blocks])
-    order = np.argsort(words)
-    passed = np.cumsum(np.concatenate([b[1] for b in blocks])[order].astype(np.int64))
-    cuts = np.unique(words[order][np.minimum(np.searchsorted(passed, np.arange(part_rows, passed[-1], part_rows)), len(words) - 1)])
-    at = [np.concatenate([[0], np.searchsorted(b[0], cuts), [len(b[0])]]) for b in blocks]
-    rows = [np.concatenate([[0], np.cumsum(b[1].astype(np.int64))]) for b in blocks]
-    totals = [np.zeros((4, len(b[5]))) for b in blocks]
-    for k in range(len(cuts) + 1):
-        mine = [j for j, w in enumerate(at) if w[k] < w[k + 1]]
-        parts = []
-        for j in mine:
-            x, y = at[j][k], at[j][k + 1]
-            u, v = rows[j][x], rows[j][y]
-            b = blocks[j]
-            parts.append([b[0][x:y], b[1][x:y], b[2][u:v], b[3][u:v], b[4][u:v], b[5]])
-        for j, (text, *sums) in zip(mine, score_shard(parts, held)[1] if parts else [], strict=True):
-            for row, x in zip(totals[j], (np.ones(len(text)), *sums), strict=True):
-                row += np.bincount(text, x, len(row))
-    out = []
-    for t in totals:
-        texts = np.flatnonzero(t[0])
-        out.append([texts.astype(np.uint16), t[1][texts].astype(np.int64), *(np.rint(t[k][texts] * 1e7).astype(np.int64) for k in (2, 3))])
-    return out
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", spread_bits: int = 16, smoothing: float = 200.0, every_context: bool = False, shard_tokens: int = 6_000_000, part_rows: int = 400_000, block_bytes: int = 8_000_000) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text. Two passes over the texts."""
-    spark = docs.sparkSession
-    held = totals(docs, ~held_out, text_col, spread_bits, smoothing, every_context)
-    shards = max(1, -(-held.tokens // shard_tokens))
-    shared = spark.sparkContext.broadcast(held)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("part", F.spark_partition_id())
-
-    def spread(batches):
-        """Blocks of at most 65,535 texts; the texts' ids and sizes go along as a row of kind 1, to any shard."""
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("payload", pa.binary())])
-        cache = _Hashes()
-        number, ids, held_rows, texts, nulls, size, part = 0, [], [], [], [], 0, 0
+        return np.where(c > 0, (c - self.discount) / n, max(self.discount * self.vocabulary / n, 1 / (self.tokens + self.vocabulary + 1)))
+
+
+def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*found, strict=True)) or [[], [], [], []]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int8()), pa.array(columns[3], pa.binary())], names=["block", "shard", "kind", "payload"])
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
+    """(block, shard, payload) of a kind, in that order."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("kind", "block", "shard", "payload")), strict=True)
+    return sorted(x[1:] for x in rows if x[0] == kind)
+
+
+def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
+    """BODY rows: parts of texts (row, id, null id, held out, tokens, of which context) with their tokens as numbers of the block's words, the frequent ones first;
+    REQUEST rows: the block's words of a shard (increasing hashes) with their training counts. A block's rows are of one task's output."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(True)).alias("training"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        cache, part = _Hashes(), TaskContext.get().partitionId() << 32
+        block, row, size, held = part, part, 0, []
 
         def out():
-            nonlocal number, ids, held_rows, texts, nulls, size
-            block = (part << 32) + number
-            n_tokens = np.array([len(t.split()) + 1 for t in texts], np.int64)
-            got = list(_block(texts, [not x for x in held_rows], shared.value, cache, shards))
-            about = pack([np.array(ids, np.int64), np.array(nulls, np.uint8), np.array(held_rows, np.uint8), n_tokens])
-            got_shards = [*[s for s, _ in got], hash(block) % shards]
-            number, ids, held_rows, texts, nulls, size = number + 1, [], [], [], [], 0
-            if len(cache) > 1_000_000:
+            nonlocal block, size, held
+            tokens = np.concatenate([h for *_, h in held])
+            words, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            lengths = np.array([len(h) for *_, h in held])
+            lead = np.array([x[3] for x in held])
+            scored = np.ones(len(tokens), bool)
+            starts = np.cumsum(lengths) - lengths
+            scored[starts] = False
+            scored[(starts + 1)[lead == 2]] = False
+            learnt = scored & np.repeat(np.array([x[2] for x in held]), lengths)
+            counts = np.bincount(at[learnt], minlength=len(words))
+            order = np.argsort(-n, kind="stable")
+            number = np.empty(len(words), np.int64)
+            number[order] = np.arange(len(words))
+            body = [np.array([x[0] for x in held], np.int64), np.array([x[1] or 0 for x in held], np.int64), np.array([x[1] is None for x in held], np.uint8), np.array([x[2] for x in held], np.uint8), smallest(lengths), lead.astype(np.uint8), smallest(order), smallest(number[at])]
+            found = [(block, 0, BODY, pack(body))]
+            shard = _word_shard(words, word_shards)
+            for s, a, b in _pieces(shard):
+                found.append((block, s, REQUEST, pack([words[a:b], smallest(counts[a:b])])))
+            block, size, held = block + 1, 0, []
+            if len(cache) > 400_000:
                 cache.clear()
-            return pa.RecordBatch.from_arrays([pa.array(got_shards, pa.int32()), pa.array([block] * len(got_shards), pa.int64()), pa.array([0] * len(got) + [1], pa.int8()), pa.array([*[p for _, p in got], about], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in _rows(found).columns], names=["block", "shard", "kind", "payload"])
 
         for b in batches:
-            for key, h, p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), raw_texts(b.column(2)), strict=True):
-                part = p
-                ids.append(key or 0)
-                nulls.append(key is None)
-                held_rows.append(h)
-                texts.append(text)
-                size += len(text)
-                if size > block_bytes or len(ids) == 65_535:
-                    yield out()
-        if ids:
+            for key, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), strict=True):
+                hashes = np.array([END, *[cache[w] for w in text.lower().split()], END], np.uint64)
+                at = 1
+                while at < len(hashes):
+                    own = hashes[max(0, at - 2) : at + block_tokens - size]
+                    lead = min(at, 2)
+                    held.append((row, key, learn, lead, own))
+                    at += len(own) - lead
+                    size += len(own) - lead
+                    if size >= block_tokens:
+                        yield out()
+                row += 1
+        if held:
             yield out()
 
-    def shard(group: pa.Table) -> pa.Table:
-        kinds, blocks = group.column("kind").to_numpy(), group.column("block").to_numpy()
-        payloads = group.column("payload").to_pylist()
-        mine = np.flatnonzero(kinds == 0).tolist()
-        found = score_in_parts([unpack(payloads[k]) for k in mine], shared.value, part_rows) if mine else []
-        through = np.flatnonzero(kinds == 1).tolist()
-        return pa.table({
-            "block": pa.array([*blocks[mine].tolist(), *blocks[through].tolist()], pa.int64()),
-            "kind": pa.array([0] * len(mine) + [1] * len(through), pa.int8()),
-            "payload": pa.array([*[pack(x) for x in found], *[payloads[k] for k in through]], pa.binary()),
-        })
-
-    def add_up(group: pa.Table) -> pa.Table:
-        kinds, payloads = group.column("kind").to_pylist(), group.column("payload").to_pylist()
-        ids, nulls, held_rows, n_tokens = unpack(next(p for k, p in zip(kinds, payloads, strict=True) if k == 1))
-        known, base, logp = (np.zeros(len(ids)) for _ in range(3))
-        for k, p in sorted(zip(kinds, payloads, strict=True)):  # one order of addition
-            if k == 0:
-                at, a, b, c = unpack(p)
-                known[at] += a
-                base[at] += b / 1e7
-                logp[at] += c / 1e7
+    return rows.mapInArrow(lean(run), KIND)
+
+
+def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards hold ranges of hashes, so sorted hashes are in order of shards."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _pieces(shard: np.ndarray):
+    """(shard, from, to) of each run of a sorted array."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(shard[a]), a, b
+
+
+def number_words(blocks: DataFrame, word_shards: int) -> DataFrame:
+    """ANSWER rows, one for each REQUEST: its words' numbers (frequent ones small, UNKNOWN without a training count) and counts. STATS rows: a shard's tokens, words, words seen once and twice."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = [(b, s, *unpack(p)) for b, s, p in _of_kind(group, REQUEST)]
+        words, at = np.unique(np.concatenate([h for _, _, h, _ in asked]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([n for *_, n in asked]).astype(np.float64), len(words)).astype(np.int64)
+        shard = asked[0][1]
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(words))
+        number = np.where(c > 0, FIRST + rank * word_shards + shard, UNKNOWN)
+        cuts = np.cumsum([len(h) for _, _, h, _ in asked])[:-1]
+        out = [(b, s, ANSWER, pack([smallest(number[k]), smallest(c[k])])) for (b, s, *_), k in zip(asked, np.split(at, cuts), strict=True)]
+        return _rows([*out, (-1, shard, STATS, pack([np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()], np.int64)]))])
+
+    return blocks.filter(F.col("kind") == REQUEST).groupBy("shard").applyInArrow(lean_group(run), KIND)
+
+
+class Block:
+    """A block's tokens with its words' numbers and counts; every stage that makes one makes the same. `learn` keeps the training parts only."""
+
+    def __init__(self, body: bytes, answers: list[tuple[int, int, bytes]], t: Totals, learn: bool = False):
+        self.row, self.id, null, training, lengths, lead, order, tokens = unpack(body)
+        self.null, self.training = null.astype(bool), training.astype(bool)
+        found = [unpack(p) for _, _, p in answers]
+        number, count = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(2))
+        self.word, self.count = number[order], count[order]  # frequent words first, as tokens have them
+        lengths, tokens = lengths.astype(np.int64), tokens.astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        inner = np.ones(len(tokens), bool)  # has a word before it
+        inner[starts] = False
+        scored = inner.copy()
+        scored[(starts + 1)[lead == 2]] = False
+        part = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(scored & self.training[part] if learn else inner)
+        self.part, self.scored = part[at], scored[at]
+        width = len(self.word)
+        before = np.where(inner[at - 1], tokens[np.maximum(at - 2, 0)], width)  # BEGIN
+        self.key = (tokens[at] << (2 * BITS)) | (tokens[at - 1] << BITS) | before
+        self.keys, self.which, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
+        mask = (1 << BITS) - 1
+        pairs = self.keys >> BITS
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        self.pair = np.cumsum(new) - 1  # of each key
+        self.w, self.v = pairs[new] >> BITS, pairs[new] & mask  # of each pair
+        self.u = self.keys & mask
+        self.total = np.bincount(self.pair, self.times, len(self.w)).astype(np.int64)
+        # shards of pairs
+        numbers = np.append(self.word, BEGIN)
+        mix = (numbers[self.w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (numbers[self.v].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        base = ((mix >> np.uint64(32)) % np.uint64(t.shards)).astype(np.int64)
+        frequent = self.count * t.hot_share >= max(t.tokens, 1)
+        self.spread = min(t.shards, 64)
+        self.hot = frequent[self.w] & frequent[self.v]
+        by = ((numbers[self.u].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(self.spread)
+        self.base, self.shards = base, t.shards
+        self.shard = (base[self.pair] + np.where(self.hot[self.pair], by.astype(np.int64), 0)) % t.shards  # of each key
+
+    def requests(self, counts: bool):
+        """(shard, payload, keys' places, pairs' places): words' numbers, then of each pair w, v and its number of keys, then the keys' u; with counts also the words' counts, the pairs' totals and the keys' counts.
+
+        With counts a frequent pair goes to all the shards it is spread over, with its total."""
+        order = np.argsort(self.shard, kind="stable")
+        at = np.searchsorted(self.shard[order], np.arange(self.shards + 1))
+        spread = np.flatnonzero(self.hot) if counts else np.zeros(0, np.int64)
+        more = np.repeat(spread, self.spread), ((self.base[spread][:, None] + np.arange(self.spread)) % self.shards).ravel()
+        more_order = np.argsort(more[1], kind="stable")
+        more_pair, more_at = more[0][more_order], np.searchsorted(more[1][more_order], np.arange(self.shards + 1))
+        numbers, count = np.append(self.word, BEGIN), np.append(self.count, 0)
+        for s in range(self.shards):
+            keys = order[at[s] : at[s + 1]]  # increasing, so by pair
+            pairs = np.unique(np.concatenate([self.pair[keys], more_pair[more_at[s] : more_at[s + 1]]]))
+            if not len(pairs):
+                continue
+            sizes = np.bincount(np.searchsorted(pairs, self.pair[keys]), minlength=len(pairs))
+            words, place = np.unique(np.concatenate([numbers[self.w[pairs]], numbers[self.v[pairs]], numbers[self.u[keys]]]), return_inverse=True)
+            steps = np.diff(words, prepend=0)
+            payload = [smallest(steps), smallest(place[: len(pairs)]), smallest(place[len(pairs) : 2 * len(pairs)]), smallest(sizes), smallest(place[2 * len(pairs) :])]
+            if counts:
+                c = np.zeros(len(words), np.int64)
+                c[place] = np.concatenate([count[self.w[pairs]], count[self.v[pairs]], count[self.u[keys]]])
+                payload += [smallest(c), smallest(self.total[pairs]), smallest(self.times[keys])]
+            yield s, payload, keys, pairs
+
+
+def build_trie(pieces: list[list[np.ndarray]], t: Totals) -> NgramTrie:
+    """From a shard's requests with counts."""
+    own = [np.cumsum(p[0].astype(np.int64)) for p in pieces]
+    words, first = np.unique(np.concatenate(own), return_index=True)
+    counts = np.concatenate([p[5] for p in pieces]).astype(np.int64)[first]
+    n = len(words)
+    to = [np.searchsorted(words, x) for x in own]
+    pair_keys = [x[p[1]] * n + x[p[2]] for x, p in zip(to, pieces, strict=True)]
+    pairs, which = np.unique(np.concatenate(pair_keys), return_inverse=True)
+    totals = np.bincount(which, np.concatenate([p[6] for p in pieces]).astype(np.float64), len(pairs))
+    cuts = np.cumsum([len(k) for k in pair_keys])[:-1]
+    triple_keys = [np.repeat(k, p[3]) * n + x[p[4]] for k, x, p in zip(np.split(which, cuts), to, pieces, strict=True)]
+    triples, which = np.unique(np.concatenate(triple_keys), return_inverse=True)
+    times = np.bincount(which, np.concatenate([p[7] for p in pieces]).astype(np.float64), len(triples))
+    p1 = t.unigram(counts)
+    p2 = (totals + t.pair_mass * p1[pairs // n]) / (counts[pairs % n] + t.pair_mass)
+    whole = t.tokens + t.triple_mass
+    p3 = (times + t.triple_mass * p2[triples // n]) / whole
+    return NgramTrie.build(t.least, words, np.log10(p1), pairs, np.log10(p2), np.log10((totals + t.triple_mass) / whole), triples, np.log10(p3))
+
+
+def look_up(trie: NgramTrie, piece: list[np.ndarray]) -> list[np.ndarray]:
+    """For each pair of a request its level (2 if seen) and level 2's codes, for each key its level (3 if seen) and level 3's code."""
+    at = trie.find(np.cumsum(piece[0].astype(np.int64)))
+    pair = trie.pair(at[piece[1]], at[piece[2]])
+    triple = trie.triple(np.repeat(pair, piece[3]), at[piece[4]])
+    code = lambda codes, k: np.where(k >= 0, codes[np.maximum(k, 0)], 0).astype(np.uint16) if len(codes) else np.zeros(len(k), np.uint16)
+    return [(pair >= 0).astype(np.uint8), code(trie.pair_codes, pair), code(trie.after_codes, pair), (triple >= 0).astype(np.uint8), code(trie.triple_codes, triple)]
+
+
+def add_up(block: Block, answers: list[tuple[int, int, bytes]], t: Totals) -> tuple[np.ndarray, ...]:
+    """For each part: tokens, known tokens, and the logarithms of both models."""
+    level, two, after, three, seen = (np.zeros(n) for n in (len(block.w), len(block.w), len(block.w), len(block.keys), len(block.keys)))
+    told = {s: unpack(p) for _, s, p in answers}
+    for s, _, keys, pairs in block.requests(False):
+        found = told[s]
+        for column, where, x in zip((level, two, after, three, seen), (pairs, pairs, pairs, keys, keys), found, strict=True):
+            column[where] = x
+    whole = t.tokens + t.triple_mass
+    p1 = t.unigram(block.count)
+    count = np.append(block.count, 0)
+    backed = np.log10(t.pair_mass * p1[block.w]) - np.log10(count[block.v] + t.pair_mass)
+    two = np.where(level > 0, restore(two, t.least), backed)
+    after = np.where(level > 0, restore(after, t.least), np.log10(t.triple_mass / whole))
+    three = np.where(three > 0, restore(seen, t.least), two[block.pair] + np.log10(t.triple_mass / whole))
+    # the context (u, v) of each key: the pair v after u, or the begin, as often as there are texts
+    after_of = (block.w << BITS) | block.v  # increasing
+    context = (block.v[block.pair] << BITS) | block.u
+    place = np.minimum(np.searchsorted(after_of, context), max(0, len(after_of) - 1))
+    texts = block.count[block.v[block.pair]]
+    begin = block.u == len(block.word)
+    logs = three - np.where(begin, np.log10((texts + t.triple_mass) / whole), after[place])
+    base = np.log10((block.count + 1) / (t.tokens + t.vocabulary + 1))
+    w = block.key >> (2 * BITS)
+    parts = len(block.row)
+    part, keep = block.part[block.scored], block.scored
+    sums = lambda x: np.bincount(part, x[keep], parts)
+    return np.bincount(part, minlength=parts), sums((block.count[w] > 0).astype(float)), sums(base[w]), sums(logs[block.which])
+
+
+@dataclass
+class Model:
+    """tries: a row (block -1, shard, payload) for each shard; the payload is a trie's file."""
+
+    totals: Totals
+    tries: DataFrame
+
+
+def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", pair_mass: float = 200.0, triple_mass: float = 10.0, block_tokens: int = (1 << BITS) - 8, shard_bytes: int = 16_000_000, hot_share: int = 256) -> tuple[DataFrame, DataFrame, Totals]:
+    """Blocks, their words' numbers, and totals: both tables are written to the shared folder."""
+    if not 0 < block_tokens <= (1 << BITS) - 8:
+        raise ValueError(f"block_tokens must be positive and at most {(1 << BITS) - 8}")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    word_shards = -(-shards // 4)
+    blocks = materialize(token_blocks(docs, training, word_shards, id_col, text_col, block_tokens), "lm-blocks")
+    numbers = materialize(number_words(blocks, word_shards), "lm-words")
+
+    def stats(batches):
+        for b in batches:
+            got = [unpack(p)[0] for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in got], pa.int64()) for k in range(4)], names=["n", "v", "one", "two"])
+
+    sums = numbers.filter(F.col("kind") == STATS).select("payload").mapInArrow(stats, "n long, v long, one long, two long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")]).first()
+    n, v, one, two = map(int, sums)
+    return blocks, numbers.filter(F.col("kind") == ANSWER), Totals(n, v, one / (one + 2 * two) if one else 0.5, pair_mass, triple_mass, shards, hot_share)
+
+
+def _requests(blocks: DataFrame, numbers: DataFrame, shared, learn: bool) -> DataFrame:
+    def run(body: pa.Table, answers: pa.Table) -> pa.Table:
+        if not body.num_rows:
+            return _rows([])
+        block = Block(body.column("payload")[0].as_py(), _of_kind(answers, ANSWER), shared.value, learn)
+        b = body.column("block")[0].as_py()
+        return _rows([(b, s, REQUEST, pack(p)) for s, p, _, _ in block.requests(learn)])
+
+    return blocks.filter(F.col("kind") == BODY).groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(lean_group(run), KIND)
+
+
+def fit(blocks: DataFrame, numbers: DataFrame, t: Totals) -> Model:
+    """The model of the blocks' training parts, written to the shared folder."""
+    shared = blocks.sparkSession.sparkContext.broadcast(t)
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = _of_kind(group, REQUEST)
+        return _rows([(-1, asked[0][1], STATS, build_trie([unpack(p) for *_, p in asked], shared.value).dump())])
+
+    sent = _requests(blocks, numbers, shared, True).repartition(t.shards, "shard")
+    return Model(t, materialize(sent.groupBy("shard").applyInArrow(lean_group(run), KIND), "lm-tries"))
+
+
+def score(blocks: DataFrame, numbers: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text of the blocks."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model.totals)
+
+    def ask(group: pa.Table, tries: pa.Table) -> pa.Table:
         t = shared.value
-        base -= n_tokens * np.log10(t.tokens + t.vocabulary + 1)
-        return pa.table({"id": pa.array(ids, mask=nulls.astype(bool)), "held_out": pa.array(held_rows.astype(bool)), "n_tokens": n_tokens, "n_known": known.astype(np.int64), "train_tokens": np.full(len(ids), t.tokens), "base_score": base, "score": np.round(logp, 6)})
+        trie = NgramTrie.mapped(tries.column("payload")[0].as_py()) if tries.num_rows else build_trie([[np.zeros(0, np.uint32)] * 8], t)
+        return _rows([(b, s, ANSWER + 2, pack(look_up(trie, unpack(p)))) for b, s, p in _of_kind(group, REQUEST)])
 
-    sent = rows.mapInArrow(lean(spread), "shard int, block long, kind tinyint, payload binary")
-    summed = sent.groupBy("shard").applyInArrow(shard, "block long, kind tinyint, payload binary")
-    return summed.groupBy("block").applyInArrow(add_up, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def tell(body: pa.Table, answers: pa.Table) -> pa.Table:
+        if not body.num_rows:
+            return schema.empty_table()
+        t = shared.value
+        block = Block(body.column("payload")[0].as_py(), _of_kind(answers, ANSWER), t)
+        n, known, base, logs = add_up(block, _of_kind(answers, ANSWER + 2), t)
+        return pa.table([pa.array(block.row), pa.array(block.id, mask=block.null), pa.array(~block.training), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs)], schema=schema)
+
+    bodies = blocks.filter(F.col("kind") == BODY)
+    sent = _requests(blocks, numbers, shared, False).repartition(model.totals.shards, "shard")
+    answers = sent.groupBy("shard").cogroup(model.tries.groupBy("shard")).applyInArrow(lean_group(ask), KIND)
+    parts = bodies.groupBy("block").cogroup(numbers.unionByName(answers).groupBy("block")).applyInArrow(lean_group(tell), "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # a text's parts: one, unless it is longer than a block
+    whole = parts.groupBy("row").agg(F.first("id").alias(id_col), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", F.round("score", 6).alias("score"))
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, by the model of those not held out. Texts are read once; parameters: prepare()'s."""
+    blocks, numbers, totals = prepare(docs, ~F.coalesce(held_out, F.lit(False)), id_col, text_col, **parameters)
+    return score(blocks, numbers, fit(blocks, numbers, totals), id_col)

@@ -5,15 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import elias_fano, imatch, lm_score, mixing, pfp, quality, suffix_dedup
+from quire.llm import imatch, mixing, pfp, suffix_dedup
 
 SCHEMA = "doc_id long, text string, block string"
 
@@ -52,76 +50,6 @@ def test_lexicon_is_the_band_of_document_frequencies(spark):
     assert imatch.lexicon(df, 52, least_share=0.1, most_share=0.4) == sorted(w for w, c in counts.items() if 5.2 <= c <= 20.8)
 
 
-@pytest.mark.parametrize(("n", "u"), [(0, 5), (1, 1), (5, 6), (1000, 1000), (1000, 10**6), (20_000, 10**12)])
-def test_elias_fano_round_trip_and_successor(n, u):
-    r = np.random.default_rng(n)
-    v = np.sort(r.integers(0, u, n))
-    e = elias_fano.EliasFano.build(v, u)
-    assert (e.get(np.arange(n)) == v).all()
-    if n:
-        v = np.unique(v)
-        e, x = elias_fano.EliasFano.build(v, u), r.integers(0, u, 2000)
-        assert (e.successor(x, np.zeros(2000, int), np.full(2000, len(v))) == np.searchsorted(v, x)).all()
-
-
-def test_trie_file_round_trip(tmp_path):
-    r = np.random.default_rng(1)
-    w = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
-    keys = np.unique(r.integers(0, len(w) * 50, 20_000))
-    uni, pair = -8 * r.random(len(w)), -8 * r.random(len(keys))
-    trie = elias_fano.NgramTrie.build(50, w, uni, keys // 50, keys % 50, pair)
-    with open(tmp_path / "trie", "wb") as out:
-        trie.dump(out)
-    back = elias_fano.NgramTrie.open(str(tmp_path / "trie"))
-    q = r.integers(0, len(w) * 50, 30_000)
-    first, second = back.lookup(q // 50, q % 50)
-    known = dict(zip(keys.tolist(), pair, strict=True))
-    want = np.array([known.get(x, np.nan) for x in q.tolist()])
-    assert np.abs(first - uni[q // 50]).max() < 2e-4 and (np.isnan(want) == np.isnan(second)).all() and np.nanmax(np.abs(want - second)) < 2e-4
-    assert (back.find(w) == np.arange(len(w))).all() and back.find(np.array([1], np.uint64))[0] == -1
-
-
-def test_language_model_matches_naive_counts(spark):
-    r = random.Random(4)
-    texts = [words(r, r.randint(0, 80)) for _ in range(120)] + [None, "", "W1 w1\x0bunseen word", "w1 " * 9000]
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x"), (None, "w2 w3", "x")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows]
-    toks = [(t or "").encode().lower().split() + [b""] for _, t, _ in rows]
-    c = Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
-    n, v, m = sum(c.values()), len(c), 200.0
-    n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
-    d = n1 / (n1 + 2 * n2)
-    contexts = {w for w in c if c[w] >= max(2, n / 65536)}
-    pairs, starts = Counter(), sum(not h for h in held)
-    for t, h in zip(toks, held, strict=True):
-        for a, b in zip([None, *t], t, strict=False):
-            pairs[a, b] += not h
-    p1 = lambda w: (c[w] - d) / n if c[w] else max(d * v / n, 1 / (n + v + 1))
-
-    def score(t):
-        out = 0.0
-        for a, w in zip([None, *t], t, strict=False):
-            out += math.log10((pairs[a, w] + m * p1(w)) / ((starts if a is None else c[a]) + m)) if a is None or a in contexts else math.log10(p1(w))
-        return out
-
-    got = lm_score.score_texts(df, quality.remainder("doc_id", 7) == 2, shard_tokens=9000, part_rows=700, block_bytes=3000).collect()
-    want = sorted((str(i), h, len(t), sum(w in c for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), score(t)) for (i, _, _), h, t in zip(rows, held, toks, strict=True))
-    seen = sorted((str(x.doc_id), *x[1:]) for x in got)
-    assert [x[:5] for x in seen] == [x[:5] for x in want]
-    for a, b in zip(seen, want, strict=True):
-        assert abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 2e-4 * b[2]
-    assert lm_score.score_texts(df.limit(0), quality.remainder("doc_id", 7) == 2).count() == 0
-
-
-def test_language_model_sums_to_one_in_a_context():
-    held = lm_score.Totals(1000, 50, 10, 0.6, np.array([5], np.uint64), np.array([300]), 200.0)
-    counts = np.array([300, *[14] * 50])[:50]
-    counts[-1] += 1000 - counts.sum()
-    total = held.unigram(counts).sum() + held.unigram(np.array([0]))[0]
-    assert abs(total - 1) < 1e-9
-
-
 def test_mixing(spark):
     rows = [(i, "w " * (i % 40 + 1), "big" if i % 3 else f"s{i % 5}") for i in range(600)] + [(700, None, "empty"), (701, "", None), (0, "w", "s0"), (None, "w w", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit("clash"))
