@@ -7,9 +7,12 @@ numpy; the other pairs are skipped. A fingerprint is sent to its own tile and, a
 the tiles that may hold partners. Tiles that hold many fingerprints are split by a hash, and what probes them is sent to each part, so no task
 gets more than about `tile_rows` of them; no tile, bucket or partner is capped.
 
-A tile pair gives a spanning forest of its links, not all pairs, so a group of n fingerprints sends on fewer than n
+A tile pair gives a spanning forest of its links (of least distances), not all pairs, so a group of n fingerprints sends on fewer than n
 links for each tile pair. Components come from alternating stars.
 
+keep_one() is the pipeline's stage: the same comparison over 128-bit fingerprints of sets of five-word shingles, tiled by size, with an exact check
+of the similarity of what it links.
+
 Copies share a fingerprint and are one node. Null texts count as empty; texts without words have fingerprint zero,
 linked like any other. Null ids: their fingerprints link like others; component_id is the smallest id that isn't null.
 """
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrow import lean, raw_texts
+from quire.llm.arrow import lean, lean_group, raw_texts
 from quire.llm.components import components
 from quire.session import materialize
 
@@ -101,39 +104,63 @@ def _offsets(radius: int) -> list[int]:
     return [sum(x * 32**k for k, x in enumerate(reversed(d))) for d in found]
 
 
-def _roots(n: int, pairs) -> np.ndarray:
-    """Smallest member of each node's component, by repeated pointer jumping over arrays of pairs."""
-    label = np.arange(n)
-    for i, j in pairs:
+def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indexes of the edges (i, j) of a spanning forest of least distances d, of n nodes."""
+    label, kept = np.arange(n), [np.zeros(0, np.int64)]
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
         while True:
-            a, b = label[i], label[j]
-            differ = a != b
-            if not differ.any():
+            a, b = label[i[at]], label[j[at]]
+            at, a, b = at[a != b], a[a != b], b[a != b]
+            if not len(at):
                 break
-            lo, hi = np.minimum(a[differ], b[differ]), np.maximum(a[differ], b[differ])
-            np.minimum.at(label, hi, lo)
+            # each root is hooked once, to a smaller one: no circle
+            roots, pick = np.unique(np.maximum(a, b), return_index=True)
+            label[roots] = np.minimum(a, b)[pick]
+            kept.append(at[pick])
             while (label != (up := label[label])).any():
                 label = up
-    return label
+    return np.concatenate(kept)
 
 
-def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, side: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (two uint64 arrays) of the links among `own` and between `own` and `probes`; exact comparison by tiles."""
-    values = np.concatenate([own, probes])
+def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side: int = 1024, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (numbered own first, then probes) at both ends of a spanning forest, by least distances, of the links among `own` and between `own` and `probes`.
 
-    def pairs():
-        for a in range(0, len(own), side):
-            x = own[a : a + side, None]
-            for b in range(a, len(values), 4 * side):
-                i, j = np.nonzero(np.bitwise_count(x ^ values[None, b : b + 4 * side]) <= radius)
-                i, j = i + a, j + b
+    Both are uint64 arrays with a row of words for each fingerprint. Rows are put in order of population counts and compared by tiles, exclusive-or
+    and bit counts; tiles whose population counts differ beyond the radius are skipped. fits(i, j) may refuse pairs."""
+    values = np.concatenate([own, probes])
+    counts = np.bitwise_count(values).sum(axis=1, dtype=np.int64)
+    first, rest = (x[np.argsort(counts[x], kind="stable")] for x in (np.arange(len(own)), np.arange(len(own), len(values))))
+    held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    size = 0
+
+    def reduced():
+        i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = forest(len(values), i, j, d)
+        return i[keep], j[keep], d[keep]
+
+    for a in range(0, len(first), side):
+        x = first[a : a + side]
+        low, high = counts[x[0]] - radius, counts[x[-1]] + radius
+        for others, start in ((first, a), (rest, 0)):
+            start, stop = max(start, int(np.searchsorted(counts[others], low))), int(np.searchsorted(counts[others], high, "right"))
+            for b in range(start, stop, 4 * side):
+                y = others[b : min(stop, b + 4 * side)]
+                d = np.zeros((len(x), len(y)), np.uint8 if 64 * values.shape[1] < 256 else np.uint16)
+                for k in range(values.shape[1]):
+                    d += np.bitwise_count(values[x, k][:, None] ^ values[y, k][None, :])
+                i, j = np.nonzero(d <= radius)
+                dist, i, j = d[i, j], x[i], y[j]
                 keep = i != j
+                if fits is not None:
+                    keep &= fits(i, j)
                 if keep.any():
-                    yield i[keep], j[keep]
-
-    root = _roots(len(values), pairs())
-    moved = np.flatnonzero(root != np.arange(len(values)))
-    return values[moved], values[root[moved]]
+                    held.append((i[keep], j[keep], dist[keep].astype(np.int64)))
+                    size += int(keep.sum())
+                    if size > at_once:
+                        held, size = [reduced()], 0
+    i, j, _ = reduced()
+    return i, j
 
 
 def link_forest(prints: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFrame:
@@ -153,10 +180,12 @@ def link_forest(prints: DataFrame, radius: int = 3, tile_rows: int = 4096) -> Da
     rows = dealt.select(F.col("fp"), (F.col("own") & (F.col("home") == F.col("part"))).alias("own"), "tile", "part")
 
     def run(key, group):
-        fp = group.column("fp").to_numpy().view(np.uint64)
+        fp = group.column("fp").to_numpy()
         own = group.column("own").to_numpy(zero_copy_only=False)
-        a, b = tile_links(np.sort(fp[own]), np.sort(fp[~own]), radius) if own.any() else (np.zeros(0, np.uint64),) * 2
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fp = np.concatenate([np.sort(fp[own]), np.sort(fp[~own])])
+        words = fp.view(np.uint64)[:, None]
+        a, b = tile_links(words[: own.sum()], words[own.sum() :], radius)
+        return pa.table({"a": fp[a], "b": fp[b]})
 
     return rows.groupBy("tile", "part").applyInArrow(run, "a long, b long")
 
@@ -177,16 +206,130 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int =
     return rows.join(members, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one row of each group: that with the smallest id, null ids last; of one group's rows of that id the one whose text
-    has the smallest hash, and of rows equal in both one. Rows of one id and of different groups are judged each in its own group."""
-    hashed = docs.withColumn("__quire_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    marked = hashed.select(F.col("__quire_hash").alias("hash"), F.col(text_col).alias("text")).dropDuplicates(["hash"])
-    prints = materialize(fingerprints(marked, size, seed, "hash", "text"), "simhash-texts")
-    labels = groups(materialize(prints.groupBy("fp").agg(F.min("hash").alias("least")), "simhash-distinct"), radius).select("fp", "label")
-    rows = hashed.select(F.col(id_col).alias("id"), F.col("__quire_hash").alias("hash")).distinct()
-    told = rows.join(prints, "hash").join(labels, "fp")
-    first = told.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash")).alias("k"))
-    kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.hash").alias("__quire_kept")), "simhash-kept")
-    found = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__quire_id"]) & (hashed["__quire_hash"] == kept["__quire_kept"]), "left_semi")
-    return found.dropDuplicates([id_col, "__quire_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 11)
+        return h
+
+
+def shingle_set(text: bytes, size: int = 5, cache: dict | None = None) -> np.ndarray:
+    """The distinct hashes (uint64, increasing) of every run of `size` words; of the whole sequence if there are fewer."""
+    cache = _Words() if cache is None else cache
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.array([cache[x] for x in words], np.uint64)
+    width = min(size, len(w))
+    n = len(w) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _sets(batches, size: int):
+    cache = _Words()
+    for b in batches:
+        yield b, [shingle_set(t, size, cache) for t in raw_texts(b.column(b.num_columns - 1))]
+        if len(cache) > 400_000:
+            cache.clear()
+
+
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit fingerprints (rows of two uint64) of sets of hashes."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    for k, s in enumerate(sets):
+        for word, h in enumerate((s, (s ^ (s >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))):
+            if len(h):
+                out[k, word] = _pack((2 * _bit_sums(h ^ (h >> np.uint64(32))) > len(h))[None, :])[0]
+    return out
+
+
+def set_prints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, key (a hash of the shingle set), n (its size), f1, f2 (the set's 128-bit fingerprint) of every whole text. One pass, no shuffle."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+    def run(batches):
+        for b, sets in _sets(batches, size):
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 11) for s in sets], np.uint64).view(np.int64)
+            prints = wide_prints(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["id", "text_hash", "key", "n", "f1", "f2"])
+
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, key long, n long, f1 long, f2 long")
+
+
+def candidates(prints: DataFrame, least: float = 0.8, radius: int = 36, tile_rows: int = 32_768) -> DataFrame:
+    """prints: key, n, f1, f2, a row for each distinct set. a, b (keys): forests of the pairs within the radius whose sizes allow a similarity of `least`.
+
+    Sets are dealt by classes of size, the next class beginning at 1 / `least` times the size, so a partner lies in the same or the next class; a class
+    of more than about `tile_rows` is split by a hash, and what is compared with it is sent to each part."""
+    grade = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(-np.log(least))) + 1e-9).cast("int")
+    graded = prints.select("key", "n", "f1", "f2", grade.alias("own_tile"))
+    # a row for each class of sizes: some 60, whatever the input
+    parts = graded.groupBy(F.col("own_tile").alias("tile")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
+    sent = graded.withColumn("tile", F.explode(F.array(F.col("own_tile"), F.col("own_tile") + 1)))
+    split = sent.join(F.broadcast(parts), "tile").withColumn("home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    sequence = F.sequence(F.lit(0), F.col("parts") - 1)
+    # parts of one class are compared with each other once: a row also probes the parts before its own
+    dealt = split.withColumn("own", F.col("tile") == F.col("own_tile")).withColumn("part", F.explode(F.when(F.col("own"), F.filter(sequence, lambda p: p <= F.col("home"))).otherwise(sequence)))
+    rows = dealt.select("key", "n", "f1", "f2", (F.col("own") & (F.col("home") == F.col("part"))).alias("own"), "tile", "part")
+
+    def run(group: pa.Table) -> pa.Table:
+        key, n, f1, f2 = (group.column(c).to_numpy() for c in ("key", "n", "f1", "f2"))
+        own = group.column("own").to_numpy(zero_copy_only=False)
+        order = np.lexsort((key, ~own))
+        key, n, words = key[order], n[order], np.stack([f1, f2], axis=1)[order].view(np.uint64)
+        fits = lambda i, j: np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        a, b = tile_links(words[: own.sum()], words[own.sum() :], radius, fits)
+        return pa.table({"a": key[a], "b": key[b]})
+
+    return rows.groupBy("tile", "part").applyInArrow(lean_group(run), "a long, b long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more, exactly. Sets are made anew, for one text of each key in a pair."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    held = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
+    held = held.select("key", F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("__own_id"), F.xxhash64(text).alias("__own_hash"), text.alias("text"))
+    texts = own.join(held, own["__own_id"].eqNullSafe(held["__quire_id"]) & (own["__own_hash"] == held["__quire_hash"])).select("key", "text")
+
+    def run(batches):
+        for b, sets in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
+
+    def check(batches):
+        for t in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in c.to_pylist()] for c in t.columns[2:4])
+            o = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            whole = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - o
+            yield pa.RecordBatch.from_arrays(t.columns[:2], names=["a", "b"]).filter(pa.array(o >= least * whole - 1e-9, pa.bool_()))
+
+    sets = materialize(texts.mapInArrow(lean(run), "key long, members binary").dropDuplicates(["key"]), "simhash-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lean(check), "a long, b long")
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 36, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 32_768) -> DataFrame:
+    """docs, one row of each group of near copies: that with the smallest id, null ids last; of one group's rows of that id the text with the smallest
+    hash, and of rows equal in both one. Rows of one id and of different groups are judged each in its own. All columns stay, whatever their names.
+
+    Near copies are texts whose sets of `size`-word shingles have a Jaccard similarity of `least` or more, or a chain of such. The search is by
+    128-bit fingerprints within `radius` bits, which a pair of similarity 0.8 exceeds about once in ten thousand times (and pairs of a few shingles each more often); links are then checked exactly. Of
+    a group's links, those of least distance that connect it are checked, fewer than it has members for each tile pair. Texts without words are
+    copies of each other; null texts count as empty.
+    """
+    rows = materialize(set_prints(docs, size, id_col, text_col), "simhash-rows")
+    prints = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    pairs = materialize(candidates(prints, least, radius, tile_rows).distinct(), "simhash-candidates")
+    labels = components(similar_links(docs, rows, pairs, least, size, id_col, text_col), "simhash-links")
+    each = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
+    named = each.join(labels, each["key"] == labels["node"], "left").select("k", F.coalesce("label", "key").alias("label"))
+    first = named.groupBy("label").agg(F.min("k").alias("k"))
+    kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash")), "simhash-kept")
+    own = docs.withColumn("__quire_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = own.join(kept, own[id_col].eqNullSafe(kept["__quire_id"]) & (own["__quire_text"] == kept["__quire_hash"]), "left_semi")
+    return found.dropDuplicates([id_col, "__quire_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,7 @@ import random
 
 import numpy as np
 
-import corpus_pipeline
-from quire.llm import near_copies
+from quire.llm import simhash, stages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,20 +57,45 @@ def test_stage_keeps_one_of_all_copies_of_similarity_eight_tenths(spark, sf_dir)
     rows = near_copies_of(random.Random(8))
     groups, links = brute_kept(rows)
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
-    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect())
+    kept = sorted(r.doc_id for r in stages.near_dedup(spark, df, sf_dir).collect())
     assert links > 40 and kept == sorted(min(g) for g in groups)
 
 
-def test_order_of_shingles_and_parts_have_no_say(spark):
+def test_tiles_have_no_say(spark):
     rows = near_copies_of(random.Random(9), 30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    made = near_copies.shingle_rows(df, 5, "doc_id", "text")
-    n = len({r.key for r in made.collect()})
-    want = {frozenset((r.a, r.b)) for r in near_copies.similar(made, n).collect()}
-    assert {frozenset((r.a, r.b)) for r in near_copies.similar(made, n, part_rows=200).collect()} == want and want
-    assert near_copies.similar(made.limit(0), 0).count() == 0
+    want = sorted(min(g) for g in brute_kept(rows)[0])
+    for tile_rows in (7, 10**6):
+        assert sorted(r.doc_id for r in simhash.keep_one(df, tile_rows=tile_rows).collect()) == want
 
 
-def test_common_shingles_come_last():
-    x = np.arange(10, dtype=np.uint64)
-    assert near_copies.prefix(x, np.array([0, 2], np.uint64), np.array([5, 3]), 0.8).tolist() == [1, 3, 4, 5]
+def test_forest_has_least_distances():
+    r = np.random.default_rng(5)
+    n = 60
+    i, j = r.integers(0, n, 900), r.integers(0, n, 900)
+    d = r.integers(0, 9, 900)
+    kept = simhash.forest(n, i, j, d)
+
+    def count(pairs):
+        label = list(range(n))
+
+        def root(k):
+            while label[k] != k:
+                k = label[k]
+            return k
+
+        for a, b in pairs:
+            label[root(a)] = root(b)
+        return len({root(k) for k in range(n)})
+
+    for most in range(9):  # at each distance the forest connects what all pairs connect, without a circle
+        own = [(i[k], j[k]) for k in kept if d[k] <= most]
+        assert count(own) == count([(i[k], j[k]) for k in range(900) if d[k] <= most]) == n - len(own)
+
+
+def test_a_large_group_sends_few_links():
+    r = np.random.default_rng(6)
+    values = np.repeat(r.integers(0, 1 << 63, (1, 2), dtype=np.uint64), 1500, axis=0)
+    values[:, 0] ^= np.uint64(1) << r.integers(0, 64, 1500).astype(np.uint64)
+    a, b = simhash.tile_links(values, values[:0], 36, at_once=5000)
+    assert len(a) == 1499
