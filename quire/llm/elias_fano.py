@@ -25,7 +25,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        self.counts = ones.astype(np.int64)
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - self.counts
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -39,7 +40,7 @@ class EliasFano:
         high[(values >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
         packed = np.packbits(high, bitorder="little")
         ones = np.concatenate([[0], np.cumsum(high.reshape(-1, 64).sum(axis=1, dtype=np.int64))])
-        return cls(n, l, np.packbits(bits, bitorder="little"), packed, ones)
+        return cls(n, l, np.packbits(bits, bitorder="little"), packed, ones.astype(np.uint32 if n < 1 << 32 else np.uint64))
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.l], np.int64), self.low, self.high, self.ones]
@@ -56,7 +57,7 @@ class EliasFano:
 
     def _select(self, i: np.ndarray, zeros: bool) -> np.ndarray:
         """Position of the i-th one (or zero) of the high bits."""
-        counts = self.zeros if zeros else self.ones
+        counts = self.zeros if zeros else self.counts
         word = np.searchsorted(counts, i, "right") - 1
         rest = i - counts[word]
         out = word * 64
@@ -109,10 +110,12 @@ class NgramTrie:
     """words: increasing numbers. Level 1: a code for each word w; level 2: for each (w, v) seen, v being the word before w, two codes;
     level 3: a code for each (w, v, u) seen, u being the word before v."""
 
-    def __init__(self, least: float, words: np.ndarray, codes: np.ndarray, first: EliasFano, pairs: EliasFano, pair_codes: np.ndarray, after_codes: np.ndarray, second: EliasFano, triples: EliasFano, triple_codes: np.ndarray):
+    def __init__(self, least: float, words: EliasFano, codes: np.ndarray, first: EliasFano, pairs: EliasFano, pair_codes: np.ndarray, after_codes: np.ndarray, second: EliasFano, triples: EliasFano, triple_codes: np.ndarray):
         self.least, self.words, self.codes = least, words, codes
         self.first, self.pairs, self.pair_codes, self.after_codes = first, pairs, pair_codes, after_codes
         self.second, self.triples, self.triple_codes = second, triples, triple_codes
+        self.width = max(1, words.n)
+        self.top = int(words.get(np.array([words.n - 1]))[0]) if words.n else 0
 
     @classmethod
     def build(cls, least: float, words: np.ndarray, logp: np.ndarray, pairs: np.ndarray, pair_logp: np.ndarray, after: np.ndarray, triples: np.ndarray, triple_logp: np.ndarray) -> NgramTrie:
@@ -120,17 +123,18 @@ class NgramTrie:
         n = max(1, len(words))
         starts = lambda parents, size: np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=size))])
         return cls(
-            least, words, quantise(logp, least),
+            least, EliasFano.build(words, int(words[-1]) + 1 if len(words) else 1), quantise(logp, least),
             EliasFano.build(starts(pairs // n, len(words)), len(pairs) + 1), EliasFano.build(pairs, n * n), quantise(pair_logp, least), quantise(after, least),
             EliasFano.build(starts(triples // n, len(pairs)), len(triples) + 1), EliasFano.build(triples, max(1, len(pairs)) * n), quantise(triple_logp, least),
         )
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.least]), self.words, self.codes, *self.first.arrays(), *self.pairs.arrays(), self.pair_codes, self.after_codes, *self.second.arrays(), *self.triples.arrays(), self.triple_codes]
+        return [np.array([self.least]), *self.words.arrays(), self.codes, *self.first.arrays(), *self.pairs.arrays(), self.pair_codes, self.after_codes, *self.second.arrays(), *self.triples.arrays(), self.triple_codes]
 
     @classmethod
     def from_arrays(cls, a: list[np.ndarray]) -> NgramTrie:
-        return cls(float(a[0][0]), a[1], a[2], EliasFano.from_arrays(*a[3:7]), EliasFano.from_arrays(*a[7:11]), a[11], a[12], EliasFano.from_arrays(*a[13:17]), EliasFano.from_arrays(*a[17:21]), a[21])
+        level = lambda k: EliasFano.from_arrays(*a[k : k + 4])
+        return cls(float(a[0][0]), level(1), a[5], level(6), level(10), a[14], a[15], level(16), level(20), a[24])
 
     def dump(self) -> bytes:
         """One file: a table of types and lengths, then each level's arrays, aligned to 64 bytes."""
@@ -174,8 +178,13 @@ class NgramTrie:
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Indexes of words; -1 if unknown."""
-        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
+        n = self.words.n
+        if not n:
+            return np.full(len(words), -1)
+        low, high = np.zeros(len(words), np.int64), np.full(len(words), n)
+        inside = np.minimum(words, self.top)
+        at = np.minimum(self.words.successor(inside, low, high), n - 1)
+        return np.where(self.words.get(at) == words, at, -1)
 
     @staticmethod
     def _child(level: EliasFano, pointers: EliasFano, parent: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
@@ -193,8 +202,8 @@ class NgramTrie:
 
     def pair(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Level 2's index of w after v (indexes of words)."""
-        return self._child(self.pairs, self.first, w, v, max(1, len(self.words)))
+        return self._child(self.pairs, self.first, w, v, self.width)
 
     def triple(self, pair: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Level 3's index of the pair after u."""
-        return self._child(self.triples, self.second, pair, u, max(1, len(self.words)))
+        return self._child(self.triples, self.second, pair, u, self.width)

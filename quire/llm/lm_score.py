@@ -8,11 +8,14 @@ A text begins after an end, and that after a begin.
 
 1. Texts become blocks of at most `block_tokens` tokens (long texts are cut, two tokens of context going along), written once: a block's distinct words by
    hash, and its tokens as numbers of these. 2. Shards of words sum the blocks' counts and tell each block its words' counts
-   and numbers. 3. fit(): a block sends its distinct n-grams, each once with its count, to shards of pairs (v, w);
-   a shard's sums become a trie w -> v -> u, whose bytes are a row of the model's table: written once, and no model or vocabulary is gathered.
-4. score(): a block sends its distinct n-grams without counts, each once; the task that has the shard's trie maps it and answers with codes; the block adds
-   up by text. So a frequent word, pair or n-gram is one entry a block; and where both words of a pair are frequent (1 / `hot_share` of all
-   tokens, so at most that many words), the pair is spread by u over up to 64 shards, to each of which its total goes along.
+   and numbers. 3. A block sends its distinct n-grams, each once with its training count, to shards of pairs (v, w); a shard's sums become
+   a trie w -> v -> u, a file that is mapped to answer the blocks with codes; no model or vocabulary is gathered. 4. Blocks add the answers up by text.
+
+So a frequent word, pair or n-gram is one entry a block; and where both words of a pair are frequent (1 / `hot_share` of all
+tokens, so at most that many words), the pair is spread by u over up to 64 shards, to each of which its total goes along.
+
+fit() stores the tries (a row of a table for each shard) and score() maps stored ones; score_texts() makes and maps them in one
+plan, so that n-grams are shuffled once. The results are the same.
 
 log p(w | u, v) is log(c(u, v, w) + m3 * p(w | v)), which level 3 at (w, v, u) holds (relative to N + m3, so that it is a probability),
 less log(c(u, v) + m3), which level 2 holds for v after u, as every pair's number of followers is its own count. Level 2 also holds p(w | v), level 1 p(w).
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import lean, lean_group, raw_texts
-from quire.llm.elias_fano import NgramTrie, quantise, restore
+from quire.llm.elias_fano import NgramTrie, restore
 from quire.llm.packing import pack, smallest, unpack
 from quire.session import materialize
 
@@ -43,7 +46,7 @@ END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty
 UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers of words
 BITS = 21  # of a word's number within its block
 KIND = "block long, shard int, kind tinyint, payload binary"
-BODY, REQUEST, ANSWER, STATS = range(4)
+BODY, REQUEST, ANSWER, STATS, FOUND = range(5)
 
 
 class _Hashes(dict):
@@ -114,7 +117,7 @@ def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: st
             found = [(block, 0, BODY, pack(body))]
             shard = _word_shard(words, word_shards)
             for s, a, b in _pieces(shard):
-                found.append((block, s, REQUEST, pack([words[a:b], smallest(counts[a:b])])))
+                found.append((block, s, REQUEST, pack([*hash_steps(words[a:b]), smallest(counts[a:b])])))
             block, size, held = block + 1, 0, []
             if len(cache) > 400_000:
                 cache.clear()
@@ -139,6 +142,36 @@ def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: st
     return rows.mapInArrow(lean(run), KIND)
 
 
+def hash_steps(words: np.ndarray) -> list[np.ndarray]:
+    """Increasing hashes as the first one and differences, in six bytes each where they fit."""
+    d = np.diff(words)
+    small = d < np.uint64(1 << 48)
+    return [words[:1], np.where(small, d, 0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.ravel().copy(), np.flatnonzero(~small), d[~small]]
+
+
+def _open_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, planes, at, large, counts = unpack(blob)
+    d = np.zeros((len(planes) // 6, 8), np.uint8)
+    d[:, :6] = planes.reshape(6, -1).T
+    d = d.view("<u8")[:, 0]
+    d[at] = large
+    return np.cumsum(np.concatenate([first, d])), counts
+
+
+def steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of numbers that increase from each `first` (flags) on; those themselves as they are."""
+    out = np.diff(x, prepend=0)
+    out[first] = x[first]
+    return smallest(out)
+
+
+def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """steps() undone."""
+    total = np.cumsum(x.astype(np.int64))
+    at = np.flatnonzero(first)
+    return total - np.repeat(total[at] - x[at].astype(np.int64), np.diff(np.append(at, len(x))))
+
+
 def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
     """Shards hold ranges of hashes, so sorted hashes are in order of shards."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -155,7 +188,7 @@ def number_words(blocks: DataFrame, word_shards: int) -> DataFrame:
     """ANSWER rows, one for each REQUEST: its words' numbers (frequent ones small, UNKNOWN without a training count) and counts. STATS rows: a shard's tokens, words, words seen once and twice."""
 
     def run(group: pa.Table) -> pa.Table:
-        asked = [(b, s, *unpack(p)) for b, s, p in _of_kind(group, REQUEST)]
+        asked = [(b, s, *_open_words(p)) for b, s, p in _of_kind(group, REQUEST)]
         words, at = np.unique(np.concatenate([h for _, _, h, _ in asked]), return_inverse=True)
         c = np.bincount(at, np.concatenate([n for *_, n in asked]).astype(np.float64), len(words)).astype(np.int64)
         shard = asked[0][1]
@@ -163,21 +196,37 @@ def number_words(blocks: DataFrame, word_shards: int) -> DataFrame:
         rank[np.argsort(-c, kind="stable")] = np.arange(len(words))
         number = np.where(c > 0, FIRST + rank * word_shards + shard, UNKNOWN)
         cuts = np.cumsum([len(h) for _, _, h, _ in asked])[:-1]
-        out = [(b, s, ANSWER, pack([smallest(number[k]), smallest(c[k])])) for (b, s, *_), k in zip(asked, np.split(at, cuts), strict=True)]
+        out = [(b, s, ANSWER, _numbers(number[k], c[k])) for (b, s, *_), k in zip(asked, np.split(at, cuts), strict=True)]
         return _rows([*out, (-1, shard, STATS, pack([np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()], np.int64)]))])
 
     return blocks.filter(F.col("kind") == REQUEST).groupBy("shard").applyInArrow(lean_group(run), KIND)
 
 
+def _numbers(number: np.ndarray, count: np.ndarray) -> bytes:
+    """Words' numbers and counts; within a shard counts fall as numbers rise, so they go as differences in that order, the unknown last."""
+    falling = count[np.lexsort((number, number == UNKNOWN))]
+    return pack([smallest(number), smallest(-np.diff(falling, prepend=falling[:1])), falling[:1].astype(np.int64)])
+
+
+def _open_numbers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    number, down, first = unpack(blob)
+    count = np.empty(len(number), np.int64)
+    count[np.lexsort((number, number == UNKNOWN))] = first - np.cumsum(down.astype(np.int64))
+    return number.astype(np.int64), count
+
+
 class Block:
-    """A block's tokens with its words' numbers and counts; every stage that makes one makes the same. `learn` keeps the training parts only."""
+    """A block's tokens with its words' numbers and counts; every stage that makes one makes the same."""
 
-    def __init__(self, body: bytes, answers: list[tuple[int, int, bytes]], t: Totals, learn: bool = False):
+    def __init__(self, body: bytes, answers: list[bytes], t: Totals):
         self.row, self.id, null, training, lengths, lead, order, tokens = unpack(body)
         self.null, self.training = null.astype(bool), training.astype(bool)
-        found = [unpack(p) for _, _, p in answers]
-        number, count = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(2))
-        self.word, self.count = number[order], count[order]  # frequent words first, as tokens have them
+        number, count = (np.concatenate(x) for x in zip(*map(_open_numbers, answers), strict=True))
+        # from here on words stand in order of their numbers; those without a training count are one
+        self.word, place = np.unique(np.concatenate([[UNKNOWN, BEGIN], number]), return_inverse=True)
+        self.count = np.zeros(len(self.word), np.int64)
+        self.count[place[2:]] = count
+        of_token = place[2:][order]
         lengths, tokens = lengths.astype(np.int64), tokens.astype(np.int64)
         starts = np.cumsum(lengths) - lengths
         inner = np.ones(len(tokens), bool)  # has a word before it
@@ -185,12 +234,14 @@ class Block:
         scored = inner.copy()
         scored[(starts + 1)[lead == 2]] = False
         part = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.flatnonzero(scored & self.training[part] if learn else inner)
+        at = np.flatnonzero(inner)
         self.part, self.scored = part[at], scored[at]
-        width = len(self.word)
-        before = np.where(inner[at - 1], tokens[np.maximum(at - 2, 0)], width)  # BEGIN
+        learnt = self.scored & self.training[self.part]
+        tokens = of_token[tokens]
+        before = np.where(inner[at - 1], tokens[np.maximum(at - 2, 0)], BEGIN)
         self.key = (tokens[at] << (2 * BITS)) | (tokens[at - 1] << BITS) | before
-        self.keys, self.which, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.keys, self.which = np.unique(self.key, return_inverse=True)
+        self.times = np.bincount(self.which[learnt], minlength=len(self.keys))
         mask = (1 << BITS) - 1
         pairs = self.keys >> BITS
         new = np.ones(len(pairs), bool)
@@ -200,7 +251,7 @@ class Block:
         self.u = self.keys & mask
         self.total = np.bincount(self.pair, self.times, len(self.w)).astype(np.int64)
         # shards of pairs
-        numbers = np.append(self.word, BEGIN)
+        numbers = self.word
         mix = (numbers[self.w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (numbers[self.v].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         base = ((mix >> np.uint64(32)) % np.uint64(t.shards)).astype(np.int64)
@@ -211,91 +262,107 @@ class Block:
         self.base, self.shards = base, t.shards
         self.shard = (base[self.pair] + np.where(self.hot[self.pair], by.astype(np.int64), 0)) % t.shards  # of each key
 
-    def requests(self, counts: bool):
-        """(shard, payload, keys' places, pairs' places): words' numbers, then of each pair w, v and its number of keys, then the keys' u; with counts also the words' counts, the pairs' totals and the keys' counts.
-
-        With counts a frequent pair goes to all the shards it is spread over, with its total."""
+    def requests(self):
+        """(shard, keys' places, pairs' places). A frequent pair goes to all the shards it is spread over."""
         order = np.argsort(self.shard, kind="stable")
         at = np.searchsorted(self.shard[order], np.arange(self.shards + 1))
-        spread = np.flatnonzero(self.hot) if counts else np.zeros(0, np.int64)
+        spread = np.flatnonzero(self.hot)
         more = np.repeat(spread, self.spread), ((self.base[spread][:, None] + np.arange(self.spread)) % self.shards).ravel()
         more_order = np.argsort(more[1], kind="stable")
         more_pair, more_at = more[0][more_order], np.searchsorted(more[1][more_order], np.arange(self.shards + 1))
-        numbers, count = np.append(self.word, BEGIN), np.append(self.count, 0)
         for s in range(self.shards):
             keys = order[at[s] : at[s + 1]]  # increasing, so by pair
             pairs = np.unique(np.concatenate([self.pair[keys], more_pair[more_at[s] : more_at[s + 1]]]))
-            if not len(pairs):
-                continue
-            sizes = np.bincount(np.searchsorted(pairs, self.pair[keys]), minlength=len(pairs))
-            words, place = np.unique(np.concatenate([numbers[self.w[pairs]], numbers[self.v[pairs]], numbers[self.u[keys]]]), return_inverse=True)
-            steps = np.diff(words, prepend=0)
-            payload = [smallest(steps), smallest(place[: len(pairs)]), smallest(place[len(pairs) : 2 * len(pairs)]), smallest(sizes), smallest(place[2 * len(pairs) :])]
-            if counts:
-                c = np.zeros(len(words), np.int64)
-                c[place] = np.concatenate([count[self.w[pairs]], count[self.v[pairs]], count[self.u[keys]]])
-                payload += [smallest(c), smallest(self.total[pairs]), smallest(self.times[keys])]
-            yield s, payload, keys, pairs
+            if len(pairs):
+                yield s, keys, pairs
+
+    def request(self, keys: np.ndarray, pairs: np.ndarray) -> bytes:
+        sizes = np.bincount(np.searchsorted(pairs, self.pair[keys]), minlength=len(pairs))
+        words, place = np.unique(np.concatenate([self.w[pairs], self.v[pairs], self.u[keys]]), return_inverse=True)
+        w, v, u = np.split(place, [len(pairs), 2 * len(pairs)])
+        new = np.diff(w, prepend=-1) > 0
+        return pack([steps(self.word[words], np.zeros(len(words), bool)), smallest(self.count[words]), steps(w, np.zeros(len(w), bool)), steps(v, new), smallest(sizes), smallest(self.total[pairs]), steps(u, _starts(sizes)), smallest(self.times[keys])])
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Flags of the first of each run."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
+
+
+def open_request(blob: bytes) -> list[np.ndarray]:
+    """Words' numbers and counts; of each pair w, v (indexes of words), number of keys and total; the keys' u and counts."""
+    words, count, w, v, sizes, total, u, times = unpack(blob)
+    w = np.cumsum(w.astype(np.int64))
+    return [np.cumsum(words.astype(np.int64)), count.astype(np.int64), w, sums(v, np.diff(w, prepend=-1) > 0), sizes.astype(np.int64), total, sums(u, _starts(sizes.astype(np.int64))), times]
 
 
 def build_trie(pieces: list[list[np.ndarray]], t: Totals) -> NgramTrie:
-    """From a shard's requests with counts."""
-    own = [np.cumsum(p[0].astype(np.int64)) for p in pieces]
+    """From a shard's requests."""
+    own = [p[0] for p in pieces]
     words, first = np.unique(np.concatenate(own), return_index=True)
-    counts = np.concatenate([p[5] for p in pieces]).astype(np.int64)[first]
+    counts = np.concatenate([p[1] for p in pieces])[first]
     n = len(words)
-    to = [np.searchsorted(words, x) for x in own]
-    pair_keys = [x[p[1]] * n + x[p[2]] for x, p in zip(to, pieces, strict=True)]
+    pair_keys, pair_totals, triple_keys, triple_times = [], [], [], []
+    for x, p in zip(own, pieces, strict=True):
+        x = np.searchsorted(words, x)
+        keys = x[p[2]] * n + x[p[3]]
+        learnt = p[5] > 0
+        pair_keys.append(keys[learnt])
+        pair_totals.append(p[5][learnt].astype(np.float64))
+        learnt = p[7] > 0
+        triple_keys.append((np.repeat(keys, p[4])[learnt], x[p[6][learnt]]))
+        triple_times.append(p[7][learnt].astype(np.float64))
     pairs, which = np.unique(np.concatenate(pair_keys), return_inverse=True)
-    totals = np.bincount(which, np.concatenate([p[6] for p in pieces]).astype(np.float64), len(pairs))
-    cuts = np.cumsum([len(k) for k in pair_keys])[:-1]
-    triple_keys = [np.repeat(k, p[3]) * n + x[p[4]] for k, x, p in zip(np.split(which, cuts), to, pieces, strict=True)]
-    triples, which = np.unique(np.concatenate(triple_keys), return_inverse=True)
-    times = np.bincount(which, np.concatenate([p[7] for p in pieces]).astype(np.float64), len(triples))
+    totals = np.bincount(which, np.concatenate(pair_totals), len(pairs))
+    triples, which = np.unique(np.concatenate([np.searchsorted(pairs, k) * n + u for k, u in triple_keys]), return_inverse=True)
+    times = np.bincount(which, np.concatenate(triple_times), len(triples))
     p1 = t.unigram(counts)
-    p2 = (totals + t.pair_mass * p1[pairs // n]) / (counts[pairs % n] + t.pair_mass)
+    p2 = (totals + t.pair_mass * p1[pairs // n]) / (counts[pairs % n] + t.pair_mass) if n else totals
     whole = t.tokens + t.triple_mass
-    p3 = (times + t.triple_mass * p2[triples // n]) / whole
+    p3 = (times + t.triple_mass * p2[triples // n]) / whole if n else times
     return NgramTrie.build(t.least, words, np.log10(p1), pairs, np.log10(p2), np.log10((totals + t.triple_mass) / whole), triples, np.log10(p3))
 
 
 def look_up(trie: NgramTrie, piece: list[np.ndarray]) -> list[np.ndarray]:
-    """For each pair of a request its level (2 if seen) and level 2's codes, for each key its level (3 if seen) and level 3's code."""
-    at = trie.find(np.cumsum(piece[0].astype(np.int64)))
-    pair = trie.pair(at[piece[1]], at[piece[2]])
-    triple = trie.triple(np.repeat(pair, piece[3]), at[piece[4]])
-    code = lambda codes, k: np.where(k >= 0, codes[np.maximum(k, 0)], 0).astype(np.uint16) if len(codes) else np.zeros(len(k), np.uint16)
-    return [(pair >= 0).astype(np.uint8), code(trie.pair_codes, pair), code(trie.after_codes, pair), (triple >= 0).astype(np.uint8), code(trie.triple_codes, triple)]
+    """For each key of a request the level at which it was found (3, 2, or 0) and that level's code; for each pair whether it was, and the code of its count."""
+    at = trie.find(piece[0])
+    pair = trie.pair(at[piece[2]], at[piece[3]])
+    above = np.repeat(pair, piece[4])
+    triple = trie.triple(above, at[piece[6]])
+    code = lambda codes, k: codes[np.maximum(k, 0)] if len(codes) else np.zeros(len(k), np.uint16)
+    level = np.where(triple >= 0, 3, np.where(above >= 0, 2, 0)).astype(np.uint8)
+    found = np.where(triple >= 0, code(trie.triple_codes, triple), np.where(above >= 0, code(trie.pair_codes, above), 0)).astype(np.uint16)
+    return [level, found, (pair >= 0).astype(np.uint8), np.where(pair >= 0, code(trie.after_codes, pair), 0).astype(np.uint16)]
 
 
 def add_up(block: Block, answers: list[tuple[int, int, bytes]], t: Totals) -> tuple[np.ndarray, ...]:
     """For each part: tokens, known tokens, and the logarithms of both models."""
-    level, two, after, three, seen = (np.zeros(n) for n in (len(block.w), len(block.w), len(block.w), len(block.keys), len(block.keys)))
+    level, code = np.zeros(len(block.keys), np.uint8), np.zeros(len(block.keys))
+    seen, after = np.zeros(len(block.w), np.uint8), np.zeros(len(block.w))
     told = {s: unpack(p) for _, s, p in answers}
-    for s, _, keys, pairs in block.requests(False):
-        found = told[s]
-        for column, where, x in zip((level, two, after, three, seen), (pairs, pairs, pairs, keys, keys), found, strict=True):
+    for s, keys, pairs in block.requests():
+        for column, where, x in zip((level, code, seen, after), (keys, keys, pairs, pairs), told[s], strict=True):
             column[where] = x
     whole = t.tokens + t.triple_mass
     p1 = t.unigram(block.count)
-    count = np.append(block.count, 0)
-    backed = np.log10(t.pair_mass * p1[block.w]) - np.log10(count[block.v] + t.pair_mass)
-    two = np.where(level > 0, restore(two, t.least), backed)
-    after = np.where(level > 0, restore(after, t.least), np.log10(t.triple_mass / whole))
-    three = np.where(three > 0, restore(seen, t.least), two[block.pair] + np.log10(t.triple_mass / whole))
+    backed = (np.log10(t.pair_mass * p1[block.w]) - np.log10(block.count[block.v] + t.pair_mass))[block.pair]
+    lost = np.log10(t.triple_mass / whole)
+    logs = np.where(level > 0, restore(code, t.least), backed) + np.where(level < 3, lost, 0.0)
+    after = np.where(seen > 0, restore(after, t.least), lost)
     # the context (u, v) of each key: the pair v after u, or the begin, as often as there are texts
     after_of = (block.w << BITS) | block.v  # increasing
     context = (block.v[block.pair] << BITS) | block.u
     place = np.minimum(np.searchsorted(after_of, context), max(0, len(after_of) - 1))
     texts = block.count[block.v[block.pair]]
-    begin = block.u == len(block.word)
-    logs = three - np.where(begin, np.log10((texts + t.triple_mass) / whole), after[place])
+    logs -= np.where(block.u == BEGIN, np.log10((texts + t.triple_mass) / whole), after[place])
     base = np.log10((block.count + 1) / (t.tokens + t.vocabulary + 1))
     w = block.key >> (2 * BITS)
     parts = len(block.row)
     part, keep = block.part[block.scored], block.scored
-    sums = lambda x: np.bincount(part, x[keep], parts)
-    return np.bincount(part, minlength=parts), sums((block.count[w] > 0).astype(float)), sums(base[w]), sums(logs[block.which])
+    by_part = lambda x: np.bincount(part, x[keep], parts)
+    return np.bincount(part, minlength=parts), by_part((block.count[w] > 0).astype(float)), by_part(base[w]), by_part(logs[block.which])
 
 
 @dataclass
@@ -306,7 +373,7 @@ class Model:
     tries: DataFrame
 
 
-def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", pair_mass: float = 200.0, triple_mass: float = 10.0, block_tokens: int = (1 << BITS) - 8, shard_bytes: int = 16_000_000, hot_share: int = 256) -> tuple[DataFrame, DataFrame, Totals]:
+def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", pair_mass: float = 200.0, triple_mass: float = 10.0, block_tokens: int = 3 << 19, shard_bytes: int = 12_000_000, hot_share: int = 256) -> tuple[DataFrame, DataFrame, Totals]:
     """Blocks, their words' numbers, and totals: both tables are written to the shared folder."""
     if not 0 < block_tokens <= (1 << BITS) - 8:
         raise ValueError(f"block_tokens must be positive and at most {(1 << BITS) - 8}")
@@ -321,63 +388,84 @@ def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             got = [unpack(p)[0] for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in got], pa.int64()) for k in range(4)], names=["n", "v", "one", "two"])
 
-    sums = numbers.filter(F.col("kind") == STATS).select("payload").mapInArrow(stats, "n long, v long, one long, two long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")]).first()
-    n, v, one, two = map(int, sums)
+    told = numbers.filter(F.col("kind") == STATS).select("payload").mapInArrow(stats, "n long, v long, one long, two long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")]).first()
+    n, v, one, two = map(int, told)
     return blocks, numbers.filter(F.col("kind") == ANSWER), Totals(n, v, one / (one + 2 * two) if one else 0.5, pair_mass, triple_mass, shards, hot_share)
 
 
-def _requests(blocks: DataFrame, numbers: DataFrame, shared, learn: bool) -> DataFrame:
-    def run(body: pa.Table, answers: pa.Table) -> pa.Table:
-        if not body.num_rows:
-            return _rows([])
-        block = Block(body.column("payload")[0].as_py(), _of_kind(answers, ANSWER), shared.value, learn)
-        b = body.column("block")[0].as_py()
-        return _rows([(b, s, REQUEST, pack(p)) for s, p, _, _ in block.requests(learn)])
-
-    return blocks.filter(F.col("kind") == BODY).groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(lean_group(run), KIND)
+def _met(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """block, body, numbers (its shards' answers): a row for each block."""
+    told = numbers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "payload"))).alias("numbers"))
+    return blocks.filter(F.col("kind") == BODY).select("block", F.col("payload").alias("body")).join(told, "block")
 
 
-def fit(blocks: DataFrame, numbers: DataFrame, t: Totals) -> Model:
-    """The model of the blocks' training parts, written to the shared folder."""
-    shared = blocks.sparkSession.sparkContext.broadcast(t)
+def _block(met: pa.Table, t: Totals) -> Block:
+    return Block(met.column("body")[0].as_py(), [x["payload"] for x in met.column("numbers")[0].as_py()], t)
 
-    def run(group: pa.Table) -> pa.Table:
-        asked = _of_kind(group, REQUEST)
-        return _rows([(-1, asked[0][1], STATS, build_trie([unpack(p) for *_, p in asked], shared.value).dump())])
 
-    sent = _requests(blocks, numbers, shared, True).repartition(t.shards, "shard")
-    return Model(t, materialize(sent.groupBy("shard").applyInArrow(lean_group(run), KIND), "lm-tries"))
+def _requests(met: DataFrame, shared) -> DataFrame:
+    """The blocks' REQUEST rows; each shard is a partition."""
 
+    def run(one: pa.Table) -> pa.Table:
+        block, b = _block(one, shared.value), one.column("block")[0].as_py()
+        return _rows([(b, s, REQUEST, block.request(keys, pairs)) for s, keys, pairs in block.requests()])
 
-def score(blocks: DataFrame, numbers: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text of the blocks."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model.totals)
+    return met.groupBy("block").applyInArrow(lean_group(run), KIND).repartitionById(shared.value.shards, F.col("shard"))
 
-    def ask(group: pa.Table, tries: pa.Table) -> pa.Table:
-        t = shared.value
-        trie = NgramTrie.mapped(tries.column("payload")[0].as_py()) if tries.num_rows else build_trie([[np.zeros(0, np.uint32)] * 8], t)
-        return _rows([(b, s, ANSWER + 2, pack(look_up(trie, unpack(p)))) for b, s, p in _of_kind(group, REQUEST)])
 
+def _add_up(met: DataFrame, answers: DataFrame, shared, id_col: str) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def tell(body: pa.Table, answers: pa.Table) -> pa.Table:
-        if not body.num_rows:
+    def tell(one: pa.Table, told: pa.Table) -> pa.Table:
+        if not one.num_rows:
             return schema.empty_table()
-        t = shared.value
-        block = Block(body.column("payload")[0].as_py(), _of_kind(answers, ANSWER), t)
-        n, known, base, logs = add_up(block, _of_kind(answers, ANSWER + 2), t)
+        block = _block(one, shared.value)
+        n, known, base, logs = add_up(block, _of_kind(told, FOUND), shared.value)
         return pa.table([pa.array(block.row), pa.array(block.id, mask=block.null), pa.array(~block.training), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs)], schema=schema)
 
-    bodies = blocks.filter(F.col("kind") == BODY)
-    sent = _requests(blocks, numbers, shared, False).repartition(model.totals.shards, "shard")
-    answers = sent.groupBy("shard").cogroup(model.tries.groupBy("shard")).applyInArrow(lean_group(ask), KIND)
-    parts = bodies.groupBy("block").cogroup(numbers.unionByName(answers).groupBy("block")).applyInArrow(lean_group(tell), "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = met.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_group(tell), "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # a text's parts: one, unless it is longer than a block
     whole = parts.groupBy("row").agg(F.first("id").alias(id_col), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", F.round("score", 6).alias("score"))
+    return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(shared.value.tokens).cast("long").alias("train_tokens"), "base_score", F.round("score", 6).alias("score"))
+
+
+def _answers(group: pa.Table, trie: NgramTrie) -> pa.Table:
+    return _rows([(b, s, FOUND, pack(look_up(trie, open_request(p)))) for b, s, p in _of_kind(group, REQUEST)])
+
+
+def _built(group: pa.Table, t: Totals) -> bytes:
+    return build_trie([open_request(p) for *_, p in _of_kind(group, REQUEST)], t).dump()
+
+
+def fit(blocks: DataFrame, numbers: DataFrame, t: Totals) -> Model:
+    """The model of the blocks' training parts, written to the shared folder."""
+    shared = blocks.sparkSession.sparkContext.broadcast(t)
+
+    def run(group: pa.Table) -> pa.Table:
+        return _rows([(-1, group.column("shard")[0].as_py(), STATS, _built(group, shared.value))])
+
+    return Model(t, materialize(_requests(_met(blocks, numbers), shared).groupBy("shard").applyInArrow(lean_group(run), KIND), "lm-tries"))
+
+
+def score(blocks: DataFrame, numbers: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text of the blocks, by a stored model of the same numbers."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model.totals)
+
+    def run(group: pa.Table, tries: pa.Table) -> pa.Table:
+        return _answers(group, NgramTrie.mapped(tries.column("payload")[0].as_py())) if group.num_rows else _rows([])
+
+    met = _met(blocks, numbers)
+    answers = _requests(met, shared).groupBy("shard").cogroup(model.tries.groupBy("shard")).applyInArrow(lean_group(run), KIND)
+    return _add_up(met, answers, shared, id_col)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, by the model of those not held out. Texts are read once; parameters: prepare()'s."""
     blocks, numbers, totals = prepare(docs, ~F.coalesce(held_out, F.lit(False)), id_col, text_col, **parameters)
-    return score(blocks, numbers, fit(blocks, numbers, totals), id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(totals)
+
+    def run(group: pa.Table) -> pa.Table:
+        return _answers(group, NgramTrie.mapped(_built(group, shared.value)))
+
+    met = _met(blocks, numbers)
+    return _add_up(met, _requests(met, shared).groupBy("shard").applyInArrow(lean_group(run), KIND), shared, id_col)

@@ -12,7 +12,7 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     """Numbers byte by byte: all first bytes, then all second ones, which compresses better."""
     head = np.array([len(arrays), *[len(x) for x in arrays], *[_TYPES.index(x.dtype) for x in arrays]], np.int64).tobytes()
     planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if x.itemsize > 1 else x.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -102,6 +102,16 @@ def test_language_model_matches_naive_counts(spark, sizes):
         assert abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 3e-4 * b[2]
 
 
+def test_a_stored_model_scores_alike(spark):
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, words(r, r.randint(0, 60)), "x") for i in range(60)], SCHEMA)
+    held = quality.remainder("doc_id", 7) == 2
+    blocks, numbers, totals = lm_score.prepare(df, ~held, block_tokens=300, shard_bytes=1000)
+    model = lm_score.fit(blocks, numbers, totals)
+    assert model.tries.count() > 3
+    assert sorted(map(tuple, lm_score.score(blocks, numbers, model).collect())) == sorted(map(tuple, lm_score.score_texts(df, held, block_tokens=300, shard_bytes=1000).collect()))
+
+
 def test_empty_tables_and_no_training_text(spark):
     df = spark.createDataFrame([(1, "a b", ""), (2, None, "")], SCHEMA)
     assert lm_score.score_texts(df.limit(0), F.lit(False)).count() == 0
@@ -129,9 +139,21 @@ def test_a_frequent_pair_is_spread_over_shards():
     text = np.empty(3 * n + 1, np.int64)
     text[0], text[1::3], text[2::3], text[3::3] = 0, np.arange(n) + 2, 0, 1
     body = lm_score.pack([np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8), np.ones(1, np.uint8), lm_score.smallest(np.array([len(text)])), np.ones(1, np.uint8), lm_score.smallest(order), lm_score.smallest(text)])
-    t = lm_score.Totals(3 * n, n + 2, 0.5, 20.0, 5.0, 40, 256)
-    block = lm_score.Block(body, [(0, 0, lm_score.pack([lm_score.smallest(number), lm_score.smallest(count)]))], t, True)
-    sent = list(block.requests(True))
-    pair = int(np.flatnonzero((block.w == 1) & (block.v == 0))[0])
-    assert block.total[pair] == n and sum(pair in pairs for *_, pairs in sent) == 40
-    assert max(len(keys) for _, _, keys, _ in sent) < len(block.keys) / 8
+    t = lm_score.Totals(3 * n, n + 2, 0.5, 200.0, 10.0, 40, 256)
+    block = lm_score.Block(body, [lm_score._numbers(number, count)], t)
+    sent = list(block.requests())
+    w, v = (int(np.flatnonzero(block.word == x)[0]) for x in (11, 10))
+    pair = int(np.flatnonzero((block.w == w) & (block.v == v))[0])
+    assert block.total[pair] == n and sum(pair in pairs for _, _, pairs in sent) == 40
+    assert max(len(keys) for _, keys, _ in sent) < len(block.keys) / 8
+
+
+def test_requests_round_trip():
+    r = np.random.default_rng(2)
+    h = np.unique(r.integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False))
+    for words in (h, h[:1], h[:2]):
+        back, counts = lm_score._open_words(lm_score.pack([*lm_score.hash_steps(words), lm_score.smallest(np.arange(len(words)))]))
+        assert (back == words).all() and len(counts) == len(words)
+    first = np.array([True, False, False, True, True, False])
+    x = np.array([3, 3, 9, 1, 0, 7])
+    assert (lm_score.sums(lm_score.steps(x, first), first) == x).all()
