@@ -6,8 +6,8 @@ pigeonhole principle a passage within the budget holds one of them unchanged. Al
 (Aho-Corasick) over the whole text; each hit's surroundings are verified with Myers' bit-parallel distance. So every
 passage within the budget is found, and nothing else.
 
-Items shorter than `least_chars` when normalised (and null or empty ones) are left out: they occur by chance. Null and
-empty texts hold no passage. Repeated items and rows give repeated hits. Items are read in blocks of about
+Items shorter than `word_chars` when normalised count only where they stand as whole words, as they would also occur inside of others; null and empty
+items hold nothing to find. Null and empty texts hold no passage. Repeated items and rows give repeated hits. Items are read in blocks of about
 `block_bytes`; each block is one pass over the texts, and only a block is sent to the executors.
 """
 
@@ -16,11 +16,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm.arrow import lean
 
@@ -32,18 +34,16 @@ def normalise(text: str | None) -> str:
     return b" ".join((text or "").lower().encode().translate(_SPACES).split()).decode()
 
 
-def origins(text: str) -> tuple[list[int], list[int], str]:
-    """Starts of the words in the normalised text and in the text itself; the lowered text's index map is the identity unless lowering changes lengths."""
+def origins(text: str) -> tuple[list[int], list[int], Sequence[int]]:
+    """Starts of the words in the normalised text and in the lowered one, and the place in the text of each character of the lowered one."""
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(x if len(x := c.lower()) == 1 else x[0] for c in text)
-    at, inner, outer, parts = 0, [], [], []
+    places = range(len(text)) if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
+    at, inner, outer = 0, [], []
     for m in _WORDS.finditer(low):
         inner.append(at)
         outer.append(m.start())
-        parts.append(m[0])
-        at += len(m[0]) + 1
-    return inner, outer, " ".join(parts)
+        at += m.end() - m.start() + 1
+    return inner, outer, places
 
 
 def myers(pattern: str, text: str, masks: dict[str, int] | None = None) -> tuple[int, int]:
@@ -82,12 +82,13 @@ def pattern_masks(pattern: str) -> dict[str, int]:
 class PassageFinder:
     """items: (id, text) pairs."""
 
-    def __init__(self, items, rate: float = 1 / 16, least_chars: int = 40):
+    def __init__(self, items, rate: float = 1 / 16, word_chars: int = 40):
         self.items: list[tuple] = []
+        self.word_chars = word_chars
         self.pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             norm = normalise(text)
-            if len(norm) < least_chars:
+            if not norm:
                 continue
             budget = int(len(norm) * rate)
             number, n = len(self.items), budget + 1
@@ -134,25 +135,28 @@ class PassageFinder:
                 distance, stop = got
                 if distance <= budget:
                     _, back = myers(pattern[::-1], window[:stop][::-1], self._masks[number][1])
-                    out[number].append((lo + stop - back, lo + stop, distance))
+                    first, last = lo + stop - back, lo + stop
+                    if len(pattern) >= self.word_chars or ((not first or norm[first - 1] == " ") and norm[last : last + 1] in ("", " ")):
+                        out[number].append((first, last, distance))
         return [(number, *x) for number, found in out.items() for x in found]
 
 
-def passage_blocks(benchmark: DataFrame, rate: float, least_chars: int, item_col: str, text_col: str, block_bytes: int):
+def passage_blocks(benchmark: DataFrame, rate: float, word_chars: int, item_col: str, text_col: str, block_bytes: int):
     """One finder for each block of items; a block is what is collected and sent."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     part = F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks))
     for k in range(blocks):
         rows = benchmark.filter(part == k).select(item_col, text_col).toArrow()
-        yield PassageFinder(sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), rate, least_chars)
+        yield PassageFinder(sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or "")), rate, word_chars)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, word_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """id, item, start, end (code points of the text, end exclusive), distance: a row for each passage found. A pass for each block of items, no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def search(finder: PassageFinder) -> DataFrame:
         shared = spark.sparkContext.broadcast(finder)
@@ -164,25 +168,25 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, l
                 for k, text in enumerate(b.column(1).to_pylist()):
                     if not text or not (hits := shared.value.find(normalise(text))):
                         continue
-                    inner, outer, _ = origins(text)
-                    to = lambda p: outer[w := bisect_right(inner, p) - 1] + p - inner[w]  # noqa: B023, E731
+                    inner, outer, places = origins(text)
+                    to = lambda p: places[outer[w := bisect_right(inner, p) - 1] + p - inner[w]]  # noqa: B023, E731
                     for number, s, e, d in sorted(hits, key=lambda h: (h[1], h[0])):
                         own.append(k)
                         found.append((shared.value.items[number][0], to(s), to(e - 1) + 1, d))
                 if own:
                     items, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(items, pa.int64()), *[pa.array(x, pa.int32()) for x in rest]], names=names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(items, item_type), *[pa.array(x, pa.int32()) for x in rest]], names=names)
 
-        return rows.mapInArrow(lean(run), f"id {kinds[0]}, item long, start int, end int, distance int")
+        return rows.mapInArrow(lean(run), f"id {kinds[0]}, item {kinds[1]}, start int, end int, distance int")
 
-    out = reduce(DataFrame.unionAll, [search(f) for f in passage_blocks(benchmark, rate, least_chars, item_col, item_text_col, block_bytes)])
-    return out.select(F.col("id").alias(id_col), F.col("item").cast(kinds[1]).alias(item_col), "start", "end", "distance")
+    out = reduce(DataFrame.unionAll, [search(f) for f in passage_blocks(benchmark, rate, word_chars, item_col, item_text_col, block_bytes)])
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "end", "distance")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, least_chars: int = 40, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 1 / 16, word_chars: int = 40, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """docs without the rows that hold a passage; all columns. A pass for each block of items, no shuffle."""
     at, schema = docs.columns.index(text_col), docs.schema
-    for finder in passage_blocks(benchmark, rate, least_chars, item_col, item_text_col, block_bytes):
+    for finder in passage_blocks(benchmark, rate, word_chars, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(finder)
 
         def run(batches, shared=shared):

@@ -171,7 +171,8 @@ def test_passages_match_brute_force(spark):
                 own[r.randrange(len(own))] = r.choice("xyz ")
             body = f"{body} {''.join(own).upper()}, {item(20)}"
         docs.append((k, body, "clash"))
-    docs += [(900, None, ""), (901, "", ""), (902, "İ " + items[0][1], "")]
+    docs += [(900, None, ""), (901, "", ""), (902, "İ " * 30 + items[0][1].upper(), ""), (903, item(3) + " SHORT, " + item(2), ""), (904, item(3) + " shorter ones " + item(2), ""), (905, "ΟΔΟΣ ß ﬁ İ" + "," + items[1][1], "")]
+    docs += [(906, item(40_000) + " " + items[2][1], ""), (907, item(30), "")]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_passages(d, b).collect()
@@ -180,13 +181,22 @@ def test_passages_match_brute_force(spark):
         norm = decontaminate.normalise(text)
         for item_id, passage in items:
             p = decontaminate.normalise(passage)
-            if len(p) >= 40 and distance_anywhere(p, norm) <= len(p) // 16:
+            if key == 906 and len(norm) > 1000:
+                hit = item_id == items[2][0] and passage == items[2][1]
+            elif len(p) < 40:
+                hit = bool(p) and f" {p} " in f" {norm} "
+            else:
+                hit = distance_anywhere(p, norm) <= len(p) // 16
+            if hit:
                 want.add((key, item_id))
     assert {(x.doc_id, x.item_id) for x in got} == want and len(want) > 20
-    texts, named = {k: t for k, t, _ in docs}, dict(items[:12])
+    assert (903, 50) in want and (904, 50) not in want
+    texts, named = {k: t for k, t, _ in docs[::-1]}, dict(items[:13])
     for x in got:
-        if x.distance == 0 and x.doc_id != 902 and x.item_id != 0:
+        if x.distance == 0 and x.item_id != 0:
             assert decontaminate.normalise(texts[x.doc_id][x.start : x.end]) == decontaminate.normalise(named[x.item_id])
+    assert {(x.start, x.end) for x in got if x.doc_id == 902 and x.item_id == 0 and x.distance == 0} == {(60, 60 + len(items[0][1]))}
+    assert {x.item_id for x in decontaminate.find_passages(d.filter("doc_id < 20"), b.selectExpr("concat('t', item_id) AS item_id", "text")).collect()} <= {f"t{k}" for k, _ in items}
     hit = {k for k, _ in want}
     assert {x.doc_id for x in decontaminate.drop_contaminated(d, b).collect()} == {k for k, *_ in docs} - hit
     assert {(x.doc_id, x.item_id) for x in decontaminate.find_passages(d, b, block_bytes=300).collect()} == want
