@@ -4,11 +4,12 @@ Every byte covered by a `length`-byte string that also starts in a document with
 
 1. Documents are dealt into blocks by a hash. Of the rolling hashes of `gram` bytes in each `length`-byte window the smallest (the first of
    equal ones) is its anchor: a trigger that depends on the window alone, so equal windows have equal anchors wherever they stand.
-2. Anchors' hashes are dealt by value to shards, which return a bit for each: does it occur in another document?
+2. Anchors' hashes are dealt by value to shards, a block sending each at most twice (the second time for a second document), which return a bit for
+   each: does it occur in another document?
 3. For repeated anchors a block sends, to the shard of the anchor, its fragments (runs of windows with one anchor), each distinct one
    once, with the smallest id of the documents that hold it: a hot passage costs a block one row.
-4. A shard orders the windows of its distinct fragments by prefix-free parsing (see pfp.py); where neighbours' windows are equal, byte by
-   byte, they form a group. Fragments alone with their anchor need no order. The smallest id of each window's
+4. A shard orders the windows of its distinct fragments, all of them, by prefix-free parsing (see pfp.py); where neighbours' windows are equal, byte by
+   byte, they form a group. Windows with different anchors differ, so a shard works in ranges of anchors. The smallest id of each window's
    group returns to the blocks, as runs.
 5. A block marks the windows whose smallest id is below the document's own, and cuts the bytes they cover.
 
@@ -83,10 +84,15 @@ class Block:
             h, row, start, count = anchor_runs(self.data, self.offsets, length, gram)
             order = np.argsort(h, kind="stable")
             self.hash, self.row, self.start, self.count = h[order], row[order], start[order], count[order]
-            # one entry for each hash and id
+            # entries: a hash's first id and first other id, two of a hash at most
             own = self.ids[self.row]
-            self.entry = np.ones(len(h), bool)
-            self.entry[1:] = (self.hash[1:] != self.hash[:-1]) | (own[1:] != own[:-1])
+            new = np.ones(len(h), bool)
+            new[1:] = self.hash[1:] != self.hash[:-1]
+            other = ~new
+            other[1:] &= own[1:] != own[:-1]
+            before = np.cumsum(other) - other
+            first = np.flatnonzero(new)
+            self.entry = new | (other & (before == np.repeat(before[first], np.diff(np.append(first, len(h))))))
 
     def hashes(self, shards: int):
         """(shard, entries' hashes): 32 bits of each, the shard being told by other bits; this only sifts."""
@@ -129,7 +135,7 @@ def repeated(arrays: list[np.ndarray]) -> list[np.ndarray]:
 
 def least_ids(sent: list[list[np.ndarray]], length: int) -> list[list[np.ndarray]]:
     """sent: [hash, size, least id, bytes] of distinct fragments, from each block. Returns for each block: number of runs of each fragment, windows and smallest id of each run."""
-    h, size, least = (np.concatenate([s[k] for s in sent]) for k in range(3))
+    size, least = (np.concatenate([s[k] for s in sent]) for k in (1, 2))
     size = size.astype(np.int64)
     data = np.concatenate([s[3] for s in sent])
     ends = np.cumsum(size)
@@ -138,26 +144,19 @@ def least_ids(sent: list[list[np.ndarray]], length: int) -> list[list[np.ndarray
     n = len(seen)
     first = np.full(n, NO_ID)
     np.minimum.at(first, which, least)
-    h_of = np.zeros(n, np.uint64)
-    h_of[which] = h
     texts = list(seen)
     windows = np.fromiter(map(len, texts), np.int64, n) - (length - 1)
     per_window = np.repeat(first, windows)
-    _, group, count = np.unique(h_of, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[group] > 1)
-    if len(several):
-        flat = np.frombuffer(b"".join(texts[k] for k in several.tolist()), np.uint8)
-        own = windows[several]
-        begins = np.concatenate([[0], np.cumsum(own + length - 1)])
-        to = np.cumsum(windows) - windows
-        inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        positions, slots = np.repeat(begins[:-1], own) + inner, np.repeat(to[several], own) + inner
-        slot_of = np.zeros(len(flat), np.int64)
-        slot_of[positions] = slots
-        order = PrefixFreeParse(flat, begins).order(positions, length)
-        new = np.concatenate([[True], ~same_windows(flat, order[:-1], order[1:], length)])
-        slots = slot_of[order]
-        per_window[slots] = np.minimum.reduceat(per_window[slots], np.flatnonzero(new))[np.cumsum(new) - 1]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.concatenate([[0], np.cumsum(windows + length - 1)])
+    slots = np.arange(windows.sum())
+    positions = slots + np.repeat(begins[:-1] - (np.cumsum(windows) - windows), windows)
+    slot_of = np.zeros(len(flat), np.int64)
+    slot_of[positions] = slots
+    order = PrefixFreeParse(flat, begins).order(positions, length)
+    new = np.concatenate([[True], ~same_windows(flat, order[:-1], order[1:], length)])
+    slots = slot_of[order]
+    per_window[slots] = np.minimum.reduceat(per_window[slots], np.flatnonzero(new))[np.cumsum(new) - 1]
     begin = np.cumsum(windows) - windows
     change = np.ones(len(per_window), bool)
     change[1:] = per_window[1:] != per_window[:-1]
@@ -226,10 +225,13 @@ def tell(block: Block, gone: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(block.ids, mask=~block.known), "n_bytes": n, "n_removed": cut, "n_spans": sums(starts), "kept_sha256": digests})
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2_000_000, shard_anchors: int = 500_000) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every whole text."""
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, shard_anchors: int = 500_000) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every whole text.
+
+    Blocks hold a thousandth of all bytes, but 2 to 12 million each (`block_bytes` sets another size); results don't depend on it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block_bytes = min(max(total // 1000, 2_000_000), 12_000_000) if block_bytes is None else block_bytes
     blocks, shards = max(1, -(-total // block_bytes)), max(1, total * 2 // ((length - gram + 2) * shard_anchors))
     texts = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     names = ["block", "shard", "kind", "payload"]
@@ -287,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
         return tell(block, gone)
 
     # a number of partitions that adaptive execution doesn't lower: shards are small on the wire and long to work on
-    by_shard = lambda rows: rows.repartition(shards, "shard").groupBy("shard")
+    by_shard = lambda rows: rows.repartitionById(shards, F.col("shard")).groupBy("shard")
     bits = by_shard(texts.groupBy("block").applyInArrow(lambda t: lean(hashes)(t), kind)).applyInArrow(lambda t: lean(sift)(t), kind)
     pieces = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(lambda t, u: lean(fragments)(t, u), kind)
     least = by_shard(pieces).applyInArrow(lambda t: lean(order)(t), kind)
