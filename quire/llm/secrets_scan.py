@@ -2,7 +2,8 @@
 
 Two first-order Markov models over characters are trained from labelled samples: one from random strings (keys,
 digests, tokens), one from ordinary identifiers. A run of key characters of `min_run` or more is a secret if the
-log-likelihood ratio of the two models, over the whole run, exceeds `threshold` nats and `per_char` nats a character.
+log-likelihood ratio of the two models, over the whole run, exceeds `threshold` nats and `per_char` nats a character; random
+letters and digits give about 1.6 nats each, so runs of fewer than `min_run` characters could seldom reach the threshold.
 Otherwise its stretches are searched: maximum-sum segments of the same ratios, held to the same three values and, if they
 pass, widened to whole words of letters and digits. The base patterns' spans always stay; what they leave of a run is
 searched like a run.
@@ -91,11 +92,11 @@ class MarkovPair:
     ratio: np.ndarray
     threshold: float
     per_char: float
-    min_run: int = 20
+    min_run: int = 12
     codes: np.ndarray = field(default_factory=lambda: _codes())
 
     @classmethod
-    def train(cls, samples, smoothing: float = 0.5, threshold: float = 15.0, per_char: float = 0.45, min_run: int = 20) -> MarkovPair:
+    def train(cls, samples, smoothing: float = 0.5, threshold: float = 17.0, per_char: float = 0.6, min_run: int = 12) -> MarkovPair:
         """samples: (string, label) pairs; label 1 is random. Nulls and empty strings are left out."""
         codes, k = _codes(), len(RUN) + 1
         counts = np.full((2, k, k), smoothing)

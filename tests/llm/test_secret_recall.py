@@ -1,0 +1,47 @@
+"""Keys without a keyword, planted in documents: how many the Markov models find, and what they flag in the documents themselves."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from quire.llm import secrets_scan
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.fixture(scope="module")
+def model():
+    return secrets_scan.MarkovPair.train(secrets_scan.labelled_samples())
+
+
+def test_no_clean_document_is_flagged(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets_scan.scan_digest(docs, model).filter("n_markov > 0").count() == 0
+
+
+@pytest.mark.parametrize(("size", "least"), [(12, 0.6), (16, 0.93), (20, 0.95), (32, 0.98)])
+def test_planted_keys_are_found(spark, sf_dir, model, size, least):
+    r = random.Random(size)
+    rows = [x for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if x.text]
+    planted = {}
+    for x in rows:
+        words, key = x.text.split(" "), "".join(r.choices(LETTERS, k=size))
+        k = r.randrange(len(words) + 1)
+        planted[x.doc_id] = (" ".join([*words[:k], key, *words[k:]]), len(" ".join([*words[:k], ""])), size)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in planted.items()], "doc_id long, text string")
+    found = {x.doc_id: x.spans for x in secrets_scan.scan_secrets(df, model).collect()}
+    hits = sum(any(s.start <= at < s.end and at + n <= s.end for s in found[i]) for i, (_, at, n) in planted.items())
+    assert hits >= least * len(planted) and len(planted) > 150
+
+
+def test_empty_table_repeated_rows_and_long_text(spark, model):
+    key = "x7Kq9TzR2mWv8LpN4bYc"
+    rows = [(1, "word " * 100_000 + key, "a"), (1, "word " * 100_000 + key, "a"), (2, None, "b"), (3, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted((x.doc_id, x.n_markov, x.spans) for x in secrets_scan.scan_digest(df, model).collect())
+    assert got == [(1, 1, "markov:500000:500020")] * 2 + [(2, 0, ""), (3, 0, "")]
+    assert secrets_scan.scan_digest(df.limit(0), model).count() == 0
+    masked = secrets_scan.redact_secrets(df, model).collect()
+    assert sorted(x.text or "" for x in masked) == ["", ""] + ["word " * 100_000 + "[secret]"] * 2
