@@ -1,15 +1,14 @@
 """Document fingerprints (operator 3): I-Match with randomised lexicon subsets.
 
-Terms are white-space separated and lower-cased. The lexicon holds the terms whose document frequency lies in a band
+Terms are white-space separated, lower-cased and told apart by a 64-bit hash. The lexicon holds the terms whose document frequency lies in a band
 of shares of all documents (`least_share` to `most_share`), that is, whose inverse document frequency lies in a band.
-It is complete, and its size is bounded whatever the input: at most (mean distinct terms a document) / least_share
-terms can reach the lower share. Document frequencies cover all documents.
-
-Each of `subsets` randomised lexicons gives every lexicon term a level (geometric: level j keeps 2^-j of the terms).
-A text takes the level L at which about `target` of its own lexicon terms are left, and hashes, for every randomised
-lexicon, its sorted distinct terms at L and at L + 1; two texts whose sizes fall on either side of a step still share
-a level. Likeness is the share of randomised lexicons on which two texts agree at a level that both have, level L
-counting fully and empty selections not at all. Equal texts have equal fingerprints; a text without any lexicon term
+It is complete. Its size is bounded whatever the input: at most (mean distinct terms a document) / least_share
+terms can reach the lower share; it is counted before it is sent, and more than `most_terms` are an error. Document frequencies cover all documents.
+
+The reduced lexicons are the same for every text: each of `subsets` random draws keeps 1, 1/4, 1/16 ... of the lexicon's terms (`LEVELS` of them, nested).
+For each draw and level a text's distinct terms of that reduced lexicon, all of them, are sorted and hashed. Likeness at a level is the share of draws
+on which two texts have equal hashes, of those on which either has a term; likeness is its greatest value over the levels at which
+both have a term in half the draws or more, as small texts say nothing at coarse levels. Equal texts have equal fingerprints; a text without any lexicon term
 is fingerprinted by all its terms (level "x"), an empty or null one is "x" with no terms.
 
 `edited_fingerprints` also fingerprints a copy of each text whose last third is replaced by the start of the next
@@ -31,20 +30,22 @@ from pyspark.sql import functions as F
 from quire.llm.arrow import lean, raw_texts
 from quire.session import materialize
 
-LEVELS = 24
+LEVELS, STEP, DIGITS = 6, 2, 4  # levels keep 4^-k of the lexicon; hexadecimal digits of a hash
+SEED = 11
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """term binary, df long over all documents; counted inside each task before the shuffle."""
+    """term (a hash, long), df long over all documents; counted inside each task before the shuffle."""
 
     def run(batches):
-        schema = pa.schema([("term", pa.binary()), ("df", pa.int64())])
+        schema = pa.schema([("term", pa.int64()), ("df", pa.int64())])
         counts: Counter = Counter()
 
         def out():
             for k in range(0, len(counts), 50_000):
                 part = list(counts.items())[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=schema)
+                terms = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t, _ in part), np.uint64, len(part)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([n for _, n in part], pa.int64())], schema=schema)
 
         for b in batches:
             for text in raw_texts(b.column(0)):
@@ -54,49 +55,51 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2
                     counts.clear()
         yield from out()
 
-    return docs.select(text_col).mapInArrow(lean(run), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select(text_col).mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, n_docs: int, text_col: str = "text", least_share: float = 1e-4, most_share: float = 0.05, least_df: int = 2) -> list[bytes]:
-    """The terms in the band, sorted. Bounded: see the module's docstring."""
+def lexicon(docs: DataFrame, n_docs: int, text_col: str = "text", least_share: float = 1e-4, most_share: float = 0.05, least_df: int = 2, most_terms: int = 5_000_000) -> np.ndarray:
+    """The hashes (uint64, increasing) of the terms in the band; eight bytes each, and at most `most_terms`, or ValueError."""
     lo, hi = max(least_df, least_share * n_docs), max(least_df, most_share * n_docs)
-    rows = document_frequencies(docs, text_col).filter((F.col("df") >= lo) & (F.col("df") <= hi)).select("term").toArrow().column(0).to_pylist()
-    return sorted(rows)
+    band = materialize(document_frequencies(docs, text_col).filter((F.col("df") >= lo) & (F.col("df") <= hi)).select("term"), "imatch-lexicon")
+    if (n := band.count()) > most_terms:
+        raise ValueError(f"a lexicon of {n} terms, more than {most_terms}: none is left out; narrow the band (least_share) or raise most_terms")
+    return np.sort(band.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 class IMatch:
-    """Fingerprints by a lexicon. levels: for each randomised lexicon and term the largest level that keeps it."""
-
-    def __init__(self, terms: list[bytes], subsets: int = 16, target: int = 2, seed: int = 11):
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.subsets, self.target = subsets, target
-        self.keys = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in terms), np.uint64, len(terms))
-        self.levels = np.empty((subsets, len(terms)), np.uint8)
-        for k in range(subsets):
-            h = self.keys * np.uint64(2 * k + 0x9E3779B97F4A7C15) ^ np.uint64(xxhash.xxh64_intdigest(str(k), seed))
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h |= np.uint64(1 << LEVELS)
-            self.levels[k] = np.log2((h & (~h + np.uint64(1))).astype(np.float64)).astype(np.uint8)  # trailing zeros
+    """Fingerprints by a lexicon (increasing hashes of terms)."""
+
+    def __init__(self, terms: np.ndarray, subsets: int = 16):
+        self.terms, self.subsets = np.asarray(terms, np.uint64), subsets
+        self.salts = np.array([xxhash.xxh64_intdigest(f"draw {k}", SEED) for k in range(subsets)], np.uint64)[:, None]
+
+    def levels(self, terms: np.ndarray) -> np.ndarray:
+        """For each draw and term the coarsest reduced lexicon that keeps it."""
+        h = (terms[None, :] ^ self.salts) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        kept = np.zeros(h.shape, np.uint8)
+        for level in range(1, LEVELS):
+            kept += (h & np.uint64((1 << (STEP * level)) - 1)) == 0
+        return kept
 
     def fingerprint(self, text: bytes) -> str:
         words = set(text.lower().split())
-        index = self.index
-        own = sorted([index[w] for w in words if w in index])
-        if not own:
+        own = np.sort(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)))
+        if len(self.terms) and len(own):
+            own = own[self.terms[np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)] == own]
+        else:
+            own = own[:0]
+        if not len(own):
             return "x" + (xxhash.xxh64_hexdigest(b" ".join(sorted(words)), 1) if words else "")
-        own = np.array(own, np.int64)
-        level = 0
-        while len(own) >> level > self.target and level < LEVELS - 1:
-            level += 1
-        keys, levels = self.keys[own], self.levels[:, own]
-        parts = [f"{level:02x}"]
-        for at in (level, level + 1):
-            kept = levels >= at
-            for k in range(self.subsets):
-                chosen = keys[kept[k]]
-                parts.append(xxhash.xxh32_hexdigest(chosen.tobytes(), at) if len(chosen) else "-" * 8)
+        levels = self.levels(own)
+        parts = [xxhash.xxh32_hexdigest(own.tobytes(), 0)[:DIGITS] * self.subsets]  # level 0 keeps all
+        for level in range(1, LEVELS):
+            for kept in levels >= level:
+                chosen = own[kept]
+                parts.append(xxhash.xxh32_hexdigest(chosen.tobytes(), level)[:DIGITS] if len(chosen) else "-" * DIGITS)
         return "".join(parts)
 
     def likeness(self, a: str, b: str) -> float:
@@ -109,14 +112,13 @@ def likeness(a: str, b: str, subsets: int) -> float:
         return 1.0
     if "x" in (a[:1], b[:1]):
         return 0.0
-    la, lb = int(a[:2], 16), int(b[:2], 16)
-    if abs(la - lb) > 1:
-        return 0.0
-    cut = lambda f, own, at: [f[2 + 8 * (k + subsets * (at - own)) :][:8] for k in range(subsets)]
-    agreed = np.zeros(subsets, bool)
-    for at in {la, la + 1} & {lb, lb + 1}:
-        agreed |= np.array([x == y and x[0] != "-" for x, y in zip(cut(a, la, at), cut(b, lb, at), strict=True)])
-    return float(agreed.mean())
+    x, y = (np.frombuffer(f.encode(), f"S{DIGITS}").reshape(LEVELS, subsets) for f in (a, b))
+    none = b"-" * DIGITS
+    has_x, has_y = x != none, y != none
+    equal = ((x == y) & has_x).sum(axis=1)
+    either = (has_x | has_y).sum(axis=1)
+    telling = (2 * has_x.sum(axis=1) >= subsets) & (2 * has_y.sum(axis=1) >= subsets)
+    return float((equal / np.maximum(either, 1))[telling].max(initial=0.0))
 
 
 def fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +136,8 @@ def fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id", text_co
 def edited_fingerprints(docs: DataFrame, model: IMatch, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 4_000_000, most_groups: int = 20_000) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see the module's docstring.
 
-    The order is made without a global window: ids are cut into ranges of about `group_chars` characters (`most_groups`
-    ranges at most), by a table of the ids' lengths alone; each range is one sorted stretch of a task's stream, followed by the first document after it
+    The order is made without a global window: ids are cut into ranges of about `group_chars` characters (at most `most_groups`
+    ranges, whose cuts the driver holds; a larger range is a longer sorted stream, not more memory), by a table of the ids' lengths alone; each range is one sorted stretch of a task's stream, followed by the first document after it
     (and, after the last range, the first of all). Texts are shuffled once, compressed one by one; a task holds two of them at a time.
     """
     spark = docs.sparkSession

@@ -11,45 +11,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import imatch, mixing, pfp, suffix_dedup
+from quire.llm import mixing, pfp, suffix_dedup
 
 SCHEMA = "doc_id long, text string, block string"
 
 
-def words(r, n, size=40):
-    return " ".join("w" + str(int(r.paretovariate(0.7)) % size) for _ in range(n))
-
-
-def test_edited_fingerprints(spark):
-    r = random.Random(1)
-    rows = [(k * 3 % 101, words(r, r.randint(0, 200), 3000), "clash") for k in range(90)] + [(500, None, ""), (501, "", ""), (3, "twin é", ""), (3, "twin é", ""), (None, "no id", ""), (None, None, "")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    model = imatch.IMatch(imatch.lexicon(df, df.count(), least_share=0.01, most_share=0.5))
-    got = imatch.edited_fingerprints(df, model, group_chars=3000).collect()
-    import xxhash
-
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
-    want = []
-    for k, (i, t) in enumerate(order):
-        following = order[(k + 1) % len(order)][1]
-        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
-        fps = [model.fingerprint(x.encode()) for x in (t, edited, following)]
-        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), fps[0], fps[1], model.likeness(fps[0], fps[1]), model.likeness(fps[0], fps[2])))
-    assert sorted((str(x.doc_id), *x[1:]) for x in got) == sorted(want)
-    long = [x for x in got if x.n_chars > 300]
-    assert np.mean([x.near_edited for x in long]) > np.mean([x.near_next for x in long])
-    assert imatch.edited_fingerprints(df.limit(0), model).count() == 0 and imatch.lexicon(df.limit(0), 0) == []
-
-
-def test_lexicon_is_the_band_of_document_frequencies(spark):
-    r = random.Random(2)
-    texts = [words(r, 60, 200) for _ in range(50)] + [None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    counts = Counter(w for t in texts for w in set((t or "").encode().split()))
-    assert imatch.lexicon(df, 52, least_share=0.1, most_share=0.4) == sorted(w for w, c in counts.items() if 5.2 <= c <= 20.8)
-
-
 def test_mixing(spark):
     rows = [(i, "w " * (i % 40 + 1), "big" if i % 3 else f"s{i % 5}") for i in range(600)] + [(700, None, "empty"), (701, "", None), (0, "w", "s0"), (None, "w w", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit("clash"))
