@@ -18,6 +18,7 @@ import numpy as np
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 #: position of the k-th one in a byte
 _SELECT = np.array([[*np.flatnonzero(b), *[0] * (8 - int(b.sum()))] for b in _BITS], np.uint8)
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 class EliasFano:
@@ -25,6 +26,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.words64 = np.frombuffer(high, "<u8")
         self.counts = ones.astype(np.int64)
         self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - self.counts
 
@@ -56,21 +58,20 @@ class EliasFano:
         return (wide[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.l) - 1)
 
     def _select(self, i: np.ndarray, zeros: bool) -> np.ndarray:
-        """Position of the i-th one (or zero) of the high bits."""
+        """Position of the i-th one (or zero) of the high bits: the 64-bit word by the running counts, the byte by sums of all its bytes at once, the bit by a table."""
         counts = self.zeros if zeros else self.counts
         word = np.searchsorted(counts, i, "right") - 1
-        rest = i - counts[word]
-        out = word * 64
-        todo = np.ones(len(i), bool)
-        for k in range(8):
-            byte = self.high[np.minimum(word * 8 + k, len(self.high) - 1)]
-            byte = ~byte if zeros else byte
-            c = np.bitwise_count(byte).astype(np.int64)
-            here = todo & (rest < c)
-            out[here] += k * 8 + _SELECT[byte[here], rest[here]]
-            todo &= ~here
-            rest -= np.where(todo, c, 0)
-        return out
+        rest = (i - counts[word]).astype(np.uint64)
+        x = self.words64[word]
+        if zeros:
+            x = ~x
+        s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH  # each byte: ones up to and with it
+        full = ((rest * _EACH) | _TOPS) - s
+        place = np.bitwise_count(full & _TOPS).astype(np.uint64) << np.uint64(3)
+        before = ((s << np.uint64(8)) >> place) & np.uint64(255)
+        return word * 64 + place.astype(np.int64) + _SELECT[((x >> place) & np.uint64(255)).astype(np.int64), (rest - before).astype(np.int64)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -78,20 +79,35 @@ class EliasFano:
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Index in [lo, hi) of the first number >= x, hi if there is none; the sequence must be increasing there."""
+        return self._search(x, lo, hi)[0]
+
+    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Index in [lo, hi) of x, -1 if it isn't there; the sequence must be increasing there."""
+        at, stop, low = self._search(x, lo, hi)
+        out = np.full(len(at), -1)
+        inside = np.flatnonzero(at < stop)
+        hit = inside[self._low(at[inside]) == low[inside]]
+        out[hit] = at[hit]
+        return out
+
+    def _search(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the first number >= x, where the numbers with x's high bits end, and x's low bits."""
         x = np.asarray(x, np.int64)
         bucket = x >> self.l
         # numbers of a bucket lie between the zeros before and after it
         start = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), True) - bucket + 1, 0)
-        stop = self._select(bucket, True) - bucket
-        a, b = np.clip(start, lo, hi), np.clip(stop, lo, hi)
+        stop = np.clip(self._select(bucket, True) - bucket, lo, hi)
         low = x.astype(np.uint64) & np.uint64((1 << self.l) - 1)
-        while (open_ := a < b).any():
-            mid = (a + b) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self._low(mid[open_]) < low[open_]
-            a = np.where(open_ & less, mid + 1, a)
-            b = np.where(open_ & ~less, mid, b)
-        return a
+        a, b = np.clip(start, lo, hi), stop.copy()
+        todo = np.flatnonzero(a < b)
+        while len(todo):
+            x_, y_ = a[todo], b[todo]
+            mid = (x_ + y_) >> 1
+            less = self._low(mid) < low[todo]
+            x_, y_ = np.where(less, mid + 1, x_), np.where(less, y_, mid)
+            a[todo], b[todo] = x_, y_
+            todo = todo[x_ < y_]
+        return a, stop, low
 
 
 STEPS = 65_535
@@ -183,8 +199,7 @@ class NgramTrie:
             return np.full(len(words), -1)
         low, high = np.zeros(len(words), np.int64), np.full(len(words), n)
         inside = np.minimum(words, self.top)
-        at = np.minimum(self.words.successor(inside, low, high), n - 1)
-        return np.where(self.words.get(at) == words, at, -1)
+        return np.where(words <= self.top, self.words.find(inside, low, high), -1)
 
     @staticmethod
     def _child(level: EliasFano, pointers: EliasFano, parent: np.ndarray, number: np.ndarray, width: int) -> np.ndarray:
@@ -194,10 +209,7 @@ class NgramTrie:
         if level.n and len(ask):
             p, x = parent[ask], parent[ask] * width + number[ask]
             lo, hi = pointers.get(p), pointers.get(p + 1)
-            at = level.successor(x, lo, hi)
-            inside = np.flatnonzero(at < hi)
-            hit = inside[level.get(at[inside]) == x[inside]]
-            out[ask[hit]] = at[hit]
+            out[ask] = level.find(x, lo, hi)
         return out
 
     def pair(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
