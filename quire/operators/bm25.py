@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators.sections import path_docid
+from quire.session import materialize
 
 
 def index_text(sections: DataFrame):
@@ -14,16 +15,16 @@ def index_text(sections: DataFrame):
     return F.concat_ws("\n", F.col("docid"), path_docid(F.col("path")), F.col("text"))
 
 
-def postings(sections: DataFrame, text=None) -> DataFrame:
-    """book_id, seq, term, tf, dl."""
+def index(sections: DataFrame, text=None) -> DataFrame:
+    """Postings book_id, seq, dl, term, tf, written once: what follows reads them instead of the texts. A section without a word has a row with a null term."""
     rows = sections.select("book_id", "seq", words(F.col("text") if text is None else text).alias("w"))
-    return rows.select("book_id", "seq", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("book_id", "seq", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = rows.select("book_id", "seq", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
+    return materialize(rows.groupBy("book_id", "seq", "dl", "term").agg(F.count("*").alias("tf")), "postings")
 
 
-def term_weights(sections: DataFrame, posts: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """book_id, term, idf; a negative idf becomes epsilon times the mean over all of the book's terms."""
-    n = sections.groupBy("book_id").agg(F.count("*").alias("n"))
-    df = posts.groupBy("book_id", "term").agg(F.count("*").alias("df")).join(n, "book_id")
+def term_weights(books: DataFrame, posts: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """book_id, term, idf, books being (book_id, n sections); a negative idf becomes epsilon times the mean over all of the book's terms."""
+    df = posts.groupBy("book_id", "term").agg(F.count("*").alias("df")).join(books.select("book_id", "n"), "book_id")
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy("book_id").agg(F.avg("idf").alias("mean_idf"))
     return df.join(mean, "book_id").select("book_id", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
@@ -31,11 +32,15 @@ def term_weights(sections: DataFrame, posts: DataFrame, epsilon: float = 0.25) -
 
 def scores(sections: DataFrame, queries: DataFrame, text=None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """book_id, qid, seq, score for sections with a term of the query; queries: (book_id, qid, text). Repeated query words count each time."""
-    posts = postings(sections, text)
-    body = sections.select("book_id", F.size(words(F.col("text") if text is None else text)).alias("dl")).groupBy("book_id").agg(F.avg("dl").alias("avgdl"))
+    everything = index(sections, text)
+    posts = everything.filter("term is not null")
+    # lengths from the postings: a section's are its tf's sum
+    sizes = everything.groupBy("book_id").agg(F.countDistinct("seq").alias("n"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("words"))
+    body = sizes.select("book_id", "n", (F.col("words") / F.col("n")).alias("avgdl"))
     asked = queries.select("book_id", "qid", F.explode(words(F.col("text"))).alias("term")).groupBy("book_id", "qid", "term").agg(F.count("*").alias("qtf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(term_weights(sections, posts), ["book_id", "term"]).join(posts, ["book_id", "term"]).join(body, "book_id")
+    weights = asked.select("book_id", "term").distinct().join(term_weights(body, posts), ["book_id", "term"])
+    hits = asked.join(weights, ["book_id", "term"]).join(posts, ["book_id", "term"]).join(body, "book_id")
     return hits.groupBy("book_id", "qid", "seq").agg(F.sum(weight).alias("score"))
 
 
@@ -46,7 +51,7 @@ def search(sections: DataFrame, queries: DataFrame, k: int = 3, text=None) -> Da
     needed; otherwise the first k unmatched sections suffice, and they lie among the first k + (all matches) in order:
     those are numbered by one window over the sections and joined by their number.
     """
-    scored = scores(sections, queries, text).select("book_id", "qid", "seq", F.round("score", 9).alias("score"))
+    scored = materialize(scores(sections, queries, text).select("book_id", "qid", "seq", F.round("score", 9).alias("score")), "bm25-scores")
     best = Window.partitionBy("book_id", "qid").orderBy(F.desc("score"), "seq")
     top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     need = scored.groupBy("book_id", "qid").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("all"))
@@ -59,7 +64,9 @@ def search(sections: DataFrame, queries: DataFrame, k: int = 3, text=None) -> Da
     return ranked.join(sections.select("book_id", "seq", "docid"), ["book_id", "seq"]).select("book_id", "qid", "rank", "seq", "docid", "score")
 
 
-def run(sections: DataFrame, queries: DataFrame, k: int = 3, text=None) -> DataFrame:
-    """book_id, qid, ranked: identifiers in order, repeats dropped after the cut."""
-    found = search(sections, queries, k, text)
+def run(sections: DataFrame, queries: DataFrame, k: int = 3, text=None, use_path_docid: bool = False) -> DataFrame:
+    """book_id, qid, ranked: identifiers (or paths) in order, repeats dropped after the cut. What is indexed doesn't depend on what names a section."""
+    found = search(sections, queries, k, index_text(sections) if text is None and use_path_docid else text)
+    if use_path_docid:
+        found = found.drop("docid").join(sections.select("book_id", "seq", path_docid(F.col("path")).alias("docid")), ["book_id", "seq"])
     return found.groupBy("book_id", "qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "docid"))), lambda x: x["docid"])).alias("ranked"))

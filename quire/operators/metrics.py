@@ -30,6 +30,14 @@ def evaluate(predictions: DataFrame, gold: DataFrame, by: list[str], valid: Data
     return (rows.groupBy(*by) if by else rows.groupBy()).agg(*out)
 
 
+def evaluate_dev(predictions: DataFrame, gold: DataFrame, by: list[str], n: int, order: str = "seq") -> DataFrame:
+    """evaluate() over the first n gold queries of each book, in order; 0: all."""
+    from quire.sources.readers import first_of
+
+    kept = first_of(gold.select("book_id", "qid", order).distinct(), n, ["book_id"], order).select("book_id", "qid")
+    return evaluate(predictions, gold.join(kept, ["book_id", "qid"], "left_semi").drop(order), by)
+
+
 def over_published(metrics: DataFrame, published: DataFrame, by: list[str]) -> DataFrame:
     """Metrics over all published queries, those without a section in the corpus counted as failures; rounded from the rounded ones."""
     rows = metrics.join(published, by)

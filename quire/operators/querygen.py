@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import cache_key, leaks_title, parse_questions
+from quire.session import materialize
 
 Backend = Callable[[str], str]
 
@@ -61,6 +62,17 @@ def with_ids(parsed: DataFrame) -> DataFrame:
     return parsed.select("book_id", "seq", "docid", F.posexplode("kept").alias("j", "text")).select("book_id", F.concat_ws(":", "book_id", "seq", "j").alias("qid"), "text", "docid")
 
 
+def generate(sections: DataFrame, template: str, backend: Backend, n: int = 3, max_chars: int = 4000, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed, failed, new): questions() of every section that was answered, the sections that weren't (book_id, seq, error), and the
+    responses to append to the cache (key, response). Only what the cache lacks goes to the backend, each prompt once; new is written, so it is asked once."""
+    asked = prompts(sections, template, n, max_chars)
+    held = asked.withColumn("response", F.lit(None).cast("string")) if cache is None else probe(asked, cache).drop("hit")
+    new = materialize(respond(held.filter("response is null"), backend), "responses")
+    rows = held.join(new.select("key", F.col("response").alias("_new"), "error"), "key", "left").withColumn("response", F.coalesce("response", "_new")).drop("_new")
+    failed = rows.filter("response is null").select("book_id", "seq", "error")
+    return questions(rows.filter("response is not null").drop("error"), n), failed, new.filter("response is not null").select("key", "response")
+
+
 def generation_stats(parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     rows = parsed.groupBy("book_id").agg(F.count("*").alias("sections"), F.sum(F.size("kept")).alias("queries"), F.sum("dropped").alias("dropped_title_leakage"))
     if failed is None:

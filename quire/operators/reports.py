@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sweep_pivot(history: DataFrame) -> DataFrame:
-    """history (book, variant, epoch, dev_r1): a row a book with the best of both variants and their gap, null where one is missing."""
-    best = history.groupBy("book").pivot("variant", ["stair", "no-toc"]).agg(F.max("dev_r1"))
-    return best.select("book", F.col("stair"), F.col("`no-toc`").alias("no_toc"), F.round(F.col("stair") - F.col("`no-toc`"), 2).alias("gap"))
+def sweep_pivot(history: DataFrame, variants: tuple[str, str] = ("toc", "no-toc")) -> DataFrame:
+    """history (book, variant, epoch, dev_r1): book, first, second and gap: a row a book with the best of both variants and their difference, null where one is missing."""
+    first, second = (F.max(F.when(F.col("variant") == v, F.col("dev_r1"))) for v in variants)
+    return history.groupBy("book").agg(first.alias("first"), second.alias("second"), F.round(first - second, 2).alias("gap"))
+
+
+def cells(books: DataFrame, variants: tuple[str, ...] = ("toc", "no-toc")) -> DataFrame:
+    """books (book, at): cell "book:variant" for every book, in order, and variant."""
+    return books.select("book", "at", F.posexplode(F.array(*map(F.lit, variants))).alias("nth", "variant")).select(F.concat_ws(":", "book", "variant").alias("cell"), "book", "variant", (F.col("at") * len(variants) + F.col("nth")).alias("place"))
 
 
 def early_stop(history: DataFrame, patience: int = 3) -> DataFrame:
@@ -28,18 +33,24 @@ def undone(cells: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
 
 
 def epoch_order(examples: DataFrame, seed: int, epoch: int, key: str) -> DataFrame:
-    """The order of an epoch: by a hash, so partitioning has no say."""
-    return examples.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
-
-
-def metric_table(runs: list[tuple[str, dict]]) -> str:
-    """Printed on the driver from one row a system."""
-    names, width = ("r1", "r3", "ndcg3", "hallucination_rate"), max([len(n) for n, _ in runs], default=6)
-    if not runs:
-        return "(no runs)"
-    head = f"{'system'.ljust(width)} | " + " | ".join(x.rjust(9) for x in ("R@1", "R@3", "nDCG@3", "hallucination_rate"))
-    rows = [f"{n.ljust(width)} | " + " | ".join("".ljust(9) if m.get(c) is None else format(m[c], "9.2f") for c in names) for n, m in runs]
-    return "\n".join([head, "-" * len(head), *rows])
+    """The order of an epoch: by a digest, so partitioning has no say."""
+    return examples.orderBy(epoch_digest(seed, epoch, key), key)
+
+
+def epoch_digest(seed: int, epoch: int, key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(key).cast("string")))
+
+
+def total_kept(manifest: DataFrame) -> DataFrame:
+    """manifest (book_id, n_leaves): sections kept over all books."""
+    return manifest.agg(F.count("*").alias("books"), F.sum("n_leaves").alias("total_kept"))
+
+
+def metric_lines(metrics: DataFrame, columns: tuple[str, ...] = ("r1", "r3", "ndcg3", "hallucination_rate"), width: int = 24) -> DataFrame:
+    """metrics (system and columns): system, line: its name and its figures in fields of one width, a missing one blank."""
+    figures = [F.lpad(F.coalesce(F.format_string("%.2f", F.col(c).cast("double")), F.lit("")), 12, " ") for c in columns]
+    blank = [F.when(F.col(c).isNull(), F.lpad(F.lit(""), 12, " ")).otherwise(f) for c, f in zip(columns, figures, strict=True)]
+    return metrics.select("system", F.concat(F.rpad(F.col("system"), width, " "), *blank).alias("line"))
 
 
 def comparison_lines(compared: DataFrame) -> DataFrame:

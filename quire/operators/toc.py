@@ -29,7 +29,8 @@ def hierarchy(entries: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """entries with parent_seq (null for roots), is_leaf and path (titles from the root, its own last).
 
     An ancestor of a row is the latest earlier row of a smaller level, of those levels whose latest row is later than
-    the latest rows of all smaller levels: just what a stack would hold.
+    the latest rows of all smaller levels: just what a stack would hold. levels: the distinct levels, if they are known; else they are
+    collected first (as many rows as a table of contents is deep).
     """
     levels = _levels(entries) if levels is None else levels
     before = _book().rowsBetween(Window.unboundedPreceding, -1)
@@ -44,13 +45,13 @@ def hierarchy(entries: DataFrame, levels: list[int] | None = None) -> DataFrame:
     return rows.select(*entries.columns, parent.alias("parent_seq"), "is_leaf", path.alias("path"))
 
 
-def section_spans(entries: DataFrame, n_pages: DataFrame) -> DataFrame:
+def section_spans(entries: DataFrame, n_pages: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Leaves with page_start and page_end (exclusive): up to the first larger page of any following entry, else the book's end.
 
     n_pages: (book_id, n_pages). Output order is (page, level, seq).
     """
     by_page = Window.partitionBy("book_id").orderBy("page").rangeBetween(1, Window.unboundedFollowing)
-    rows = hierarchy(entries).withColumn("_next", F.min("page").over(by_page)).join(n_pages, "book_id")
+    rows = hierarchy(entries, levels).withColumn("_next", F.min("page").over(by_page)).join(n_pages, "book_id")
     return rows.filter("is_leaf").select("book_id", "seq", "level", "title", "path", F.col("page").alias("page_start"), F.coalesce("_next", F.col("n_pages") + 1).alias("page_end"))
 
 

@@ -23,6 +23,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_id", "seq", "level", "title", (F.floor(F.col("seq") / 3) + 1).cast("int").alias("page"))
 
 
+LEVELS = [1, 2, 3, 4]
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages (book_id, page_idx, text) and their number: documents dealt over the regions."""
     region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("_k"), F.col("r_name").alias("book_id"))
@@ -58,28 +61,28 @@ texts AS (
 @query(f"""WITH {ENTRIES} SELECT i.book_id, i.seq, i.level, i.title,
   (SELECT max(j.seq) FROM entries j WHERE j.book_id = i.book_id AND j.seq < i.seq AND j.level < i.level) AS parent_seq FROM entries i""")
 def toc_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.hierarchy(entries(spark, sf_dir)).select("book_id", "seq", "level", "title", "parent_seq")
+    return toc.hierarchy(entries(spark, sf_dir), LEVELS).select("book_id", "seq", "level", "title", "parent_seq")
 
 
 @query(f"WITH {ENTRIES} SELECT book_id, seq, is_leaf FROM leaf")
 def toc_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.hierarchy(entries(spark, sf_dir)).select("book_id", "seq", "is_leaf")
+    return toc.hierarchy(entries(spark, sf_dir), LEVELS).select("book_id", "seq", "is_leaf")
 
 
 @query(f"WITH {ENTRIES} SELECT book_id, seq, path_docid FROM paths")
 def toc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.hierarchy(entries(spark, sf_dir)).select("book_id", "seq", so.path_docid(F.col("path")).alias("path_docid"))
+    return toc.hierarchy(entries(spark, sf_dir), LEVELS).select("book_id", "seq", so.path_docid(F.col("path")).alias("path_docid"))
 
 
 @query(f"WITH {ENTRIES} SELECT book_id, seq, title, page_start, page_end FROM spans")
 def toc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.section_spans(entries(spark, sf_dir), book_pages(spark, sf_dir)[1]).select("book_id", "seq", "title", "page_start", "page_end")
+    return toc.section_spans(entries(spark, sf_dir), book_pages(spark, sf_dir)[1], LEVELS).select("book_id", "seq", "title", "page_start", "page_end")
 
 
 @query(f"WITH {ENTRIES} SELECT book_id, seq, length(text) AS n_chars, md5(text) AS digest FROM texts")
 def page_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, n = book_pages(spark, sf_dir)
-    out = toc.page_text(toc.section_spans(entries(spark, sf_dir), n), pages, n)
+    out = toc.page_text(toc.section_spans(entries(spark, sf_dir), n, LEVELS), pages, n)
     return out.select("book_id", "seq", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 

@@ -36,6 +36,21 @@ def bm25_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """seq, item_id: docs (seq, text) that hold an item's part word for word.
+
+    A text that holds the part holds its inner words; runs of five of them meet by an equi-join, ids only, and what meets is compared. Only parts of
+    fewer than seven words are held against every text."""
+    split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    parts = items.withColumn("_w", split(F.col("part"))).withColumn("_key", F.when(F.size("_w") >= 7, F.xxhash64(F.array_join(F.slice("_w", 2, 5), " "))))
+    run = F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 5), " ")))
+    runs = docs.withColumn("_w", split(F.col("text"))).filter(F.size("_w") >= 5).select("seq", F.explode(F.array_distinct(run)).alias("_key"))
+    met = runs.join(parts.filter("_key is not null").select("_key", "item_id", "part"), "_key").select("seq", "item_id", "part").distinct()
+    long = met.join(docs, "seq").filter(F.contains("text", "part")).select("seq", "item_id")
+    short = parts.filter("_key is null").select("item_id", "part").join(docs, F.contains("text", "part")).select("seq", "item_id")
+    return long.unionByName(short)
+
+
 @query(f"""WITH {BM25}, holders AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
 gold AS (SELECT s.book_id, CAST(item_id AS VARCHAR) AS qid, s.docid FROM holders h JOIN sections s ON s.seq = h.doc_id),
 hits AS (SELECT g.book_id, g.qid, min(t.rank) AS rank FROM gold g LEFT JOIN top t ON t.book_id = g.book_id AND t.qid = g.qid AND t.docid = g.docid GROUP BY 1, 2)
@@ -44,9 +59,8 @@ SELECT count(*) AS n_queries, round(100 * avg(CASE WHEN rank = 1 THEN 1.0::DOUBL
 def bm25_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's gold is the first document that holds it word for word; ranked among its own book."""
     rows, items = sections(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    docs = table(spark, sf_dir, "documents")
-    # items are few, so the containment join is a broadcast of them by Spark's own size check
-    holders = items.select("item_id", F.col("text").alias("_t")).join(docs.select("doc_id", "text"), F.contains("text", "_t")).groupBy("item_id").agg(F.min("doc_id").alias("seq"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    holders = containing(docs, items.select("item_id", F.col("text").alias("part"))).groupBy("item_id").agg(F.min("seq").alias("seq"))
     gold = holders.join(rows.select("seq", "book_id", "docid"), "seq").select("book_id", F.col("item_id").cast("string").alias("qid"), "docid")
     runs = bm25.run(rows, benchmark_queries(spark, sf_dir), 3, bm25.index_text(rows))
     return metrics.evaluate(runs, gold, [])

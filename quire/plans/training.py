@@ -37,13 +37,13 @@ def retrieval_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MASKED = """ids AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w)) AS p, list_transform(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+'), lambda w: length(w)) AS t0 FROM documents),
 ended AS (SELECT doc_id, p, list_append(t0, 0) AS t1 FROM ids),
-cut AS (SELECT doc_id, p, CASE WHEN len(t1) <= 63 THEN t1 ELSE t1[1:63] END AS t, CASE WHEN len(t1) <= 63 THEN 64 - len(t1) ELSE 1 END AS room FROM ended),
+cut AS (SELECT doc_id, p, CASE WHEN len(t1) <= 4095 THEN t1 ELSE t1[1:4095] END AS t, CASE WHEN len(t1) <= 4095 THEN 4096 - len(t1) ELSE 1 END AS room FROM ended),
 masked AS (SELECT doc_id, p[greatest(1, len(p) - room + 1):len(p)] AS p, t FROM cut)"""
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = lambda c: F.transform(fx.words(c), lambda w: F.length(w))
-    return table(spark, sf_dir, "documents").select("doc_id", examples.mask_labels(sizes(F.col("text")), sizes(F.split("text", "\n")[0]), 0, 64).alias("m")).select("doc_id", "m.*")
+    return table(spark, sf_dir, "documents").select("doc_id", examples.mask_labels(sizes(F.col("text")), sizes(F.split("text", "\n")[0]), 0, 4096).alias("m")).select("doc_id", "m.*")
 
 
 def _joined(c: str):
@@ -64,18 +64,17 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEAKS = """asked AS (SELECT conv_id, turn, text AS question, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS opening FROM conversations),
-w AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z0-9]+') AS q, regexp_extract_all(lower(opening), '[a-z0-9]+')[1:9] AS t FROM asked),
+w AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z0-9]+') AS q, regexp_extract_all(lower(opening), '[a-z0-9]+') AS t FROM asked),
 g AS (SELECT conv_id, turn, list_transform(range(1, greatest(1, len(q) - 2)), lambda i: array_to_string(q[i:i + 3], ' ')) AS qg, list_transform(range(1, greatest(1, len(t) - 2)), lambda i: array_to_string(t[i:i + 3], ' ')) AS tg FROM w)"""
 
 
 @query(f"WITH {LEAKS} SELECT conv_id, turn, list_has_any(qg, tg) AS leaks FROM g")
 def title_leak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a turn repeat four words of its conversation's opening nine?"""
+    """Does a turn repeat four words of its conversation's opening?"""
     from pyspark.sql import Window
 
     opening = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    title = F.array_join(F.slice(fx.words(opening), 1, 9), " ")
-    return table(spark, sf_dir, "conversations").withColumn("title", title).select("conv_id", "turn", fx.leaks_title(F.col("text"), F.col("title")).alias("leaks"))
+    return table(spark, sf_dir, "conversations").withColumn("title", opening).select("conv_id", "turn", fx.leaks_title(F.col("text"), F.col("title")).alias("leaks"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
@@ -108,19 +107,19 @@ def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querygen.probe(asked, querygen.load_cache(stored)).select("doc_id", "key", "response", "hit")
 
 
-HISTORY = """history AS (SELECT o_orderpriority AS book, CASE WHEN o_custkey % 2 = 0 THEN 'stair' ELSE 'no-toc' END AS variant, CAST(o_custkey % 9 AS INTEGER) AS epoch, round(avg(o_totalprice) / 5000, 1) AS dev_r1
+HISTORY = """history AS (SELECT o_orderpriority AS book, CASE WHEN o_custkey % 2 = 0 THEN 'toc' ELSE 'no-toc' END AS variant, CAST(o_custkey % 9 AS INTEGER) AS epoch, round(avg(o_totalprice) / 5000, 1) AS dev_r1
   FROM orders WHERE NOT (o_orderpriority LIKE '1%' AND o_custkey % 2 = 1) GROUP BY 1, 2, 3)"""
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").filter("NOT (o_orderpriority LIKE '1%' AND o_custkey % 2 = 1)")
-    keys = [F.col("o_orderpriority").alias("book"), F.when(F.col("o_custkey") % 2 == 0, "stair").otherwise("no-toc").alias("variant"), (F.col("o_custkey") % 9).cast("int").alias("epoch")]
+    keys = [F.col("o_orderpriority").alias("book"), F.when(F.col("o_custkey") % 2 == 0, "toc").otherwise("no-toc").alias("variant"), (F.col("o_custkey") % 9).cast("int").alias("epoch")]
     return orders.groupBy(*keys).agg(F.round(F.avg("o_totalprice") / 5000, 1).alias("dev_r1"))
 
 
-@query(f"WITH {HISTORY}, best AS (SELECT book, max(dev_r1) FILTER (WHERE variant = 'stair') AS stair, max(dev_r1) FILTER (WHERE variant = 'no-toc') AS no_toc FROM history GROUP BY 1) SELECT book, stair, no_toc, round(stair - no_toc, 2) AS gap FROM best")
+@query(f"WITH {HISTORY}, best AS (SELECT book, max(dev_r1) FILTER (WHERE variant = 'toc') AS first, max(dev_r1) FILTER (WHERE variant = 'no-toc') AS second FROM history GROUP BY 1) SELECT book, first, second, round(first - second, 2) AS gap FROM best")
 def sweep_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sweep_pivot(_history(spark, sf_dir))
+    return reports.sweep_pivot(history(spark, sf_dir))
 
 
 @query(f"""WITH {HISTORY}, led AS (SELECT *, max(dev_r1) OVER (PARTITION BY book, variant ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM history),
@@ -130,15 +129,15 @@ counted AS (SELECT *, CAST(row_number() OVER (PARTITION BY book, variant, run OR
 SELECT book, variant, epoch, dev_r1, improved, greatest(coalesce(before, dev_r1), dev_r1) AS best_so_far, bad,
   coalesce(max(CAST(bad >= 3 AS INTEGER)) OVER (PARTITION BY book, variant ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS kept FROM counted""")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.early_stop(_history(spark, sf_dir))
+    return reports.early_stop(history(spark, sf_dir))
 
 
-@query("""WITH cells AS (SELECT n_name || ':' || v AS cell FROM nation, (SELECT unnest(['stair', 'no-toc']) AS v)), done AS (SELECT n_name || ':stair' AS cell FROM nation WHERE n_nationkey % 3 = 0)
+@query("""WITH cells AS (SELECT n_name || ':' || v AS cell FROM nation, (SELECT unnest(['toc', 'no-toc']) AS v)), done AS (SELECT n_name || ':toc' AS cell FROM nation WHERE n_nationkey % 3 = 0)
 SELECT cell FROM cells WHERE cell NOT IN (SELECT cell FROM done)""")
 def undone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    cells = nation.select(F.explode(F.array(F.concat("n_name", F.lit(":stair")), F.concat("n_name", F.lit(":no-toc")))).alias("cell"))
-    return reports.undone(cells, nation.filter("n_nationkey % 3 = 0").select(F.concat("n_name", F.lit(":stair")).alias("cell")))
+    cells = reports.cells(nation.select(F.col("n_name").alias("book"), F.col("n_nationkey").alias("at")))
+    return reports.undone(cells.select("cell"), nation.filter("n_nationkey % 3 = 0").select(F.concat("n_name", F.lit(":toc")).alias("cell")))
 
 
 @query("""WITH w AS (SELECT source AS book_id, doc_id AS seq, split_part(text, chr(10), 1) AS docid, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),

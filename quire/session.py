@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one, but only on a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -46,5 +48,9 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(ROOT))
     context.addPyFile(archive)
     context._quire_shipped = True
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: texts can be long
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows for the session, where it has the default of 10,000: texts can be long. A session's own setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -17,13 +17,42 @@ SECTIONS = T.StructType([T.StructField("book_id", T.StringType()), T.StructField
 CACHE = T.StructType([T.StructField("key", T.StringType()), T.StructField("response", T.StringType())])
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST", appended: bool = False) -> DataFrame:
     """JSON lines in file order (seq); blank lines are skipped, malformed ones raise (or are dropped with mode DROPMALFORMED).
 
-    seq follows the line numbers of one file: text is read whole-file by Spark's own splits, numbered by file and position.
+    seq increases with the file's path (with `appended`, its time of writing first), then the line: splits are ranked by path and offset (a table of splits, not of rows), and rows
+    numbered within their split, however Spark deals the splits.
     """
     rows = spark.read.schema(schema).option("mode", mode).json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_offset")]
+    time = F.col("_metadata.file_modification_time") if appended else F.lit(0)
+    splits = rows.select(*split, time.alias("_time")).distinct().withColumn("_split", F.row_number().over(Window.orderBy("_time", "_file", "_offset")) - 1).drop("_time")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = rows.select("*", *split, within.alias("_row")).join(splits, ["_file", "_offset"])
+    return numbered.select(*[f.name for f in schema], F.shiftleft(F.col("_split").cast("long"), 33).bitwiseOR(F.col("_row")).alias("seq"))
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions (system, qid, ranked) that write_run() left under the path."""
+    return spark.read.parquet(f"{path}/predictions")
+
+
+def pick_books(sections: DataFrame, part: str | None = None, first: int = 0) -> DataFrame:
+    """Sections of the books whose id holds `part`, the first n of each book in order (0: all)."""
+    rows = sections if part is None else sections.filter(F.contains("book_id", F.lit(part)))
+    return first_of(rows, first, ["book_id"])
+
+
+def first_of(rows: DataFrame, n: int, by: list[str], order: str = "seq") -> DataFrame:
+    """The first n rows of each group in order; 0: all."""
+    if not n:
+        return rows
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("_at") <= n).drop("_at")
+
+
+def best_for(history: DataFrame) -> DataFrame:
+    """history (book, variant, epoch, dev_r1): the best of each cell that has been run."""
+    return history.groupBy("book", "variant").agg(F.max("dev_r1").alias("best_dev_r1"))
 
 
 def load_subset(spark: SparkSession, leaves: DataFrame, questions: DataFrame, split: str | None = "test") -> dict[str, DataFrame]:
