@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, imatch, language, lm_score, mixing, quality, secrets_scan, simhash, suffix_dedup, token_counts
-from quire.session import ship, table
+from quire.session import ship, small_batches, table
 
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -27,46 +27,58 @@ def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: quality of every whole text, learnt from labels outside the held fold."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: I-Match fingerprints of every whole text and of its edited copy."""
     docs = table(spark, sf_dir, "documents")
     model = imatch.IMatch(imatch.lexicon(docs, docs.count()))
     return imatch.edited_fingerprints(docs, model)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents against every item of benchmark: passages within the error budget."""
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: every whole text under the model of those whose crc32(doc_id) mod 7 isn't 2."""
     return lm_score.score_texts(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) == 2)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: fingerprint and component of every whole text."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: draws of every source's documents by the tempered weights."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: spans of secrets of every whole text, base and Markov."""
     return secrets_scan.scan_digest(table(spark, sf_dir, "documents"), secrets_scan.MarkovPair.train(secrets_scan.labelled_samples()))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: tokens of every whole text."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: bytes of every whole text that repeat an earlier document's."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with this package on the executors, and small Arrow batches for the session (see small_batches)."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run
