@@ -8,7 +8,7 @@ logistic of the intercept and the tables' entries: vectorised lookups and additi
 
 Learning uses a bounded sample of the labelled rows (`most_rows`, a hash of the id decides; about that many); features
 are computed for all rows. Null texts count as empty. Null labels are not learnt from; of several labels of one id the largest counts.
-Without labels of both kinds every score is the share of label 1 (0.5 without any). Null ids are held out; ids are never
+Without labels of both kinds every score is the share of label 1, to a thousandth (0.5 without any). Null ids are held out; ids are never
 an input. Repeated rows give repeated rows.
 """
 
