@@ -73,6 +73,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's columns that SQL can express: lengths and digests of the edited texts."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def op5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's columns that SQL can express: the fold, the counts and the unigram base."""
+    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def op8_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's columns that SQL can express: the base patterns' spans."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query with this package on the executors, and small Arrow batches for the session (see small_batches)."""
 
@@ -84,7 +99,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_language_id, op1_language_id_pages, op2_quality, op3_fingerprints, op4_decontaminate, op5_lm_score, op6_simhash, op7_mixing, op8_secret_scan, op9_token_counts, op10_suffix_dedup, op3_edits, op5_base, op8_base)}
 
 #: op10: windows as strings of hexadecimal digits, so that they are bytes.
 OP10_SQL = """WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -131,5 +146,35 @@ stood AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY key, block ORDER BY CAST(
 SELECT d.doc_id, d.source, d.n AS n_tokens, round(s.weight, 9) AS weight, s.epoch, d.block, round(CASE WHEN q > 0 THEN (s.epoch * s.t + start + before) / CAST(q AS DOUBLE) ELSE 0.0 END, 9) AS at
 FROM stood d JOIN started s ON s.key = d.key AND s.block = d.block WHERE s.epoch < whole_epochs OR start + before + d.n <= q - whole_epochs * t"""
 
+OP3_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+n AS (SELECT doc_id, x, length(x) AS n, coalesce(lead(x) OVER (ORDER BY doc_id DESC), first_value(x) OVER (ORDER BY doc_id DESC)) AS y FROM t)
+SELECT doc_id, n AS n_chars, sha256(substr(x, 1, n - n // 3) || substr(y, 1, n // 3)) AS edited_sha256 FROM n"""
+
+#: The remainder of crc32(doc_id) by bits: the digits' codes, then eight shifts for each.
+FOLD = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP5_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({FOLD} % 7 = 2, false) AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS toks FROM documents),
+each AS (SELECT row_id, held_out, unnest(toks) AS w FROM docs),
+counts AS (SELECT w, count(*) AS c FROM each WHERE NOT held_out GROUP BY 1),
+totals AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts),
+scored AS (SELECT row_id, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1.0::DOUBLE) / (n + v + 1))) AS base FROM each LEFT JOIN counts USING (w), totals GROUP BY 1)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(base, 4) AS base_score FROM docs JOIN scored USING (row_id), totals"""
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)[\\x22\\x27]?\\x20*[:=]\\x20*[\\x22\\x27]?([A-Za-z0-9+/_.=-]+)"""
+#: Matches are marked in the text by two characters, and their places summed up from the pieces between.
+OP8_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS x FROM documents),
+kinds AS (SELECT * FROM (VALUES (0, 'assign', '{_ASSIGN}'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')) AS k(k, kind, p)),
+pieces AS (
+  SELECT row_id, 0 AS k, string_split(regexp_replace(x, '({_ASSIGN})', chr(63742) || '\\1' || chr(63743), 'g'), chr(63742)) AS ps FROM docs
+  UNION ALL SELECT row_id, 1, string_split(regexp_replace(x, '(AKIA[A-Z0-9]+)', chr(63742) || '\\1' || chr(63743), 'g'), chr(63742)) FROM docs
+  UNION ALL SELECT row_id, 2, string_split(regexp_replace(x, '([0-9a-f]+)', chr(63742) || '\\1' || chr(63743), 'g'), chr(63742)) FROM docs),
+cut AS (SELECT row_id, k, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM pieces),
+placed AS (SELECT row_id, k, i, split_part(piece, chr(63743), 1) AS m, coalesce(sum(length(piece) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY row_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM cut),
+spans AS (SELECT row_id, k, a, a + length(m) AS b FROM placed WHERE i > 1 AND CASE k WHEN 0 THEN length(regexp_extract(m, '{_ASSIGN}', 1)) >= 6 WHEN 1 THEN length(m) >= 20 ELSE length(m) >= 24 END),
+told AS (SELECT row_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS s FROM spans JOIN kinds USING (k) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM docs LEFT JOIN told USING (row_id)"""
+
 #: Queries without an entry aren't expressible in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op10_suffix_dedup": OP10_SQL, "op3_edits": OP3_SQL, "op5_base": OP5_SQL, "op8_base": OP8_SQL}
