@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,14 +14,10 @@ from quire.plans.common import RANKINGS, SECTIONS, query, rankings, sections
 from quire.plans.retrieval import METRICS
 from quire.plans.sectioning import RENDERED
 from quire.plans.training import HISTORY, INGEST, RETRIEVE, history
-from quire.session import shared_dir, table
+from quire.session import scratch, table
 from quire.sources import readers, sinks
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-
-
 def _text(c) -> F.Column:
     return c.cast("string")
 
@@ -189,10 +184,10 @@ def history_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path).groupBy("book", "variant").agg(F.count("*").alias("epochs"), F.max("dev_r1").alias("best_dev_r1"))
 
 
-@query("SELECT source AS book_id, doc_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE contains(source, 'e')) WHERE n <= 25")
+@query("SELECT source AS book_id, doc_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE contains(source, '1')) WHERE n <= 25")
 def first_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 25 sections of the books whose id holds a letter (first n is the feature)."""
-    return readers.pick_books(sections(spark, sf_dir), "e", 25).select("book_id", "seq")
+    """The first 25 sections of the books whose id holds a 1 (first n is the feature)."""
+    return readers.pick_books(sections(spark, sf_dir), "1", 25).select("book_id", "seq")
 
 
 @query("SELECT n_name || ':' || v AS cell, CAST(n_nationkey * 2 + k AS INTEGER) AS place FROM nation, (VALUES ('toc', 0), ('no-toc', 1)) AS x(v, k)")

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+RUN = uuid.uuid4().hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below this process's folder in the shared one; release() deletes them all."""
+    return f"{shared_dir(spark)}/quire/{RUN}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder; results that still read it must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quire/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

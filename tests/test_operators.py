@@ -320,3 +320,15 @@ def test_sinks(spark, tmp_path):
     readers.save_sections(rows.drop("seq"), str(tmp_path / "s"))
     assert readers.read_lines(spark, str(tmp_path / "s"), readers.SECTIONS).count() == 3
     assert readers.read_state(spark, str(tmp_path / "none")) == {"done": [], "failed": []}
+
+
+def test_release_deletes_what_was_materialized(spark):
+    from quire.session import RUN, materialize, release, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + f"/quire/{RUN}"
+    assert materialize(spark.range(3), "three").count() == 3
+    import os
+
+    assert os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
