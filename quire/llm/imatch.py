@@ -5,7 +5,7 @@ of shares of all documents (`least_share` to `most_share`), that is, whose inver
 It is complete. Its size is bounded whatever the input: at most (mean distinct terms a document) / least_share
 terms can reach the lower share; it is counted before it is sent, and more than `most_terms` are an error. Document frequencies cover all documents.
 
-The reduced lexicons are the same for every text: each of `subsets` random draws keeps 1, 1/4, 1/16 ... of the lexicon's terms (`LEVELS` of them, nested).
+The reduced lexicons are the same for every text: each of `subsets` random draws keeps 1, 1/2, 1/4 ... of the lexicon's terms (`LEVELS` of them, nested).
 For each draw and level a text's distinct terms of that reduced lexicon, all of them, are sorted and hashed. Likeness at a level is the share of draws
 on which two texts have equal hashes, of those on which either has a term; likeness is its greatest value over the levels at which
 both have a term in half the draws or more, as small texts say nothing at coarse levels. Equal texts have equal fingerprints; a text without any lexicon term
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm.arrow import lean, raw_texts
 from quire.session import materialize
 
-LEVELS, STEP, DIGITS = 6, 2, 4  # levels keep 4^-k of the lexicon; hexadecimal digits of a hash
+LEVELS, STEP, DIGITS = 10, 1, 4  # levels keep 2^-k of the lexicon; hexadecimal digits of a hash
 SEED = 11
 
 

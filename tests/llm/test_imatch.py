@@ -26,13 +26,13 @@ def keeps(draw: int, term: int, level: int) -> bool:
     x ^= x >> 32
     x = (x * 0xD6E8FEB86659FD93) & MASK
     x ^= x >> 32
-    return x % 4**level == 0
+    return x % 2**level == 0
 
 
 def by_hand(text: str, lexicon: set[int]) -> list[list[bytes]]:
     """The terms of each level and draw, sorted by hash; [] for a text without a lexicon term."""
     own = sorted({h for w in text.encode().lower().split() if (h := xxhash.xxh64_intdigest(w, 11)) in lexicon})
-    return [[b"".join(h.to_bytes(8, "little") for h in own if keeps(k, h, level)) for k in range(16)] for level in range(6)] if own else []
+    return [[b"".join(h.to_bytes(8, "little") for h in own if keeps(k, h, level)) for k in range(16)] for level in range(10)] if own else []
 
 
 def alike(a: str, b: str, lexicon: set[int]) -> float:
@@ -86,9 +86,9 @@ def test_lexicon_is_the_band_and_its_size_is_checked(spark):
         imatch.lexicon(df, 52, least_share=0.1, most_share=0.4, most_terms=len(want) - 1)
 
 
-def test_reduced_lexicons_are_nested_and_a_quarter_each():
+def test_reduced_lexicons_are_nested_and_half_each():
     model = imatch.IMatch(np.arange(1, 40_000, dtype=np.uint64))
     levels = model.levels(model.terms)
-    for level in range(1, 5):
+    for level in range(1, 9):
         share = (levels >= level).mean(axis=1)
-        assert (abs(share * 4**level - 1) < 0.2).all()
+        assert (abs(share * 2**level - 1) < 0.2).all()
