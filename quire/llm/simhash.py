@@ -104,11 +104,14 @@ def _offsets(radius: int) -> list[int]:
     return [sum(x * 32**k for k, x in enumerate(reversed(d))) for d in found]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indexes of the edges (i, j) of a spanning forest of least distances d, of n nodes."""
+def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the edges (i, j) of a spanning forest of least distances d (uint8 or uint16), of n nodes, and a label of each node's tree."""
     label, kept = np.arange(n), [np.zeros(0, np.int64)]
-    for level in np.unique(d):
-        at = np.flatnonzero(d == level)
+    order = np.argsort(d, kind="stable")
+    while len(order):
+        level = d[order[0]]
+        stop = int(np.searchsorted(d[order], level, "right"))
+        at = order[:stop]
         while True:
             a, b = label[i[at]], label[j[at]]
             at, a, b = at[a != b], a[a != b], b[a != b]
@@ -120,23 +123,30 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
             kept.append(at[pick])
             while (label != (up := label[label])).any():
                 label = up
-    return np.concatenate(kept)
+        order = order[stop:]
+        order = order[label[i[order]] != label[j[order]]]  # in a dense group nearly all go here
+    return np.concatenate(kept), label
 
 
-def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side: int = 1024, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side: int = 1024, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Rows (numbered own first, then probes) at both ends of a spanning forest, by least distances, of the links among `own` and between `own` and `probes`.
 
     Both are uint64 arrays with a row of words for each fingerprint. Rows are put in order of population counts and compared by tiles, exclusive-or
     and bit counts; tiles whose population counts differ beyond the radius are skipped. fits(i, j) may refuse pairs."""
     values = np.concatenate([own, probes])
     counts = np.bitwise_count(values).sum(axis=1, dtype=np.int64)
-    first, rest = (x[np.argsort(counts[x], kind="stable")] for x in (np.arange(len(own)), np.arange(len(own), len(values))))
-    held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-    size = 0
+    first, rest = (x[np.argsort(counts[x], kind="stable")].astype(np.int32) for x in (np.arange(len(own)), np.arange(len(own), len(values))))
+    held: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))]
+    size, label, widest = 0, None, None
 
     def reduced():
+        """The forest of what is held; pairs of one tree, no nearer than its longest edge, can't change it."""
+        nonlocal label, widest
         i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        keep = forest(len(values), i, j, d)
+        keep, label = forest(len(values), i, j, d)
+        widest = np.zeros(len(values), d.dtype)
+        np.maximum.at(widest, label[i[keep]], d[keep])
+        widest = widest[label]
         return i[keep], j[keep], d[keep]
 
     for a in range(0, len(first), side):
@@ -149,13 +159,16 @@ def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side
                 d = np.zeros((len(x), len(y)), np.uint8 if 64 * values.shape[1] < 256 else np.uint16)
                 for k in range(values.shape[1]):
                     d += np.bitwise_count(values[x, k][:, None] ^ values[y, k][None, :])
-                i, j = np.nonzero(d <= radius)
+                near = d <= radius
+                if label is not None:
+                    near &= (d < widest[x][:, None]) | (label[x][:, None] != label[y][None, :])
+                i, j = np.nonzero(near)
                 dist, i, j = d[i, j], x[i], y[j]
                 keep = i != j
                 if fits is not None:
                     keep &= fits(i, j)
                 if keep.any():
-                    held.append((i[keep], j[keep], dist[keep].astype(np.int64)))
+                    held.append((i[keep], j[keep], dist[keep]))
                     size += int(keep.sum())
                     if size > at_once:
                         held, size = [reduced()], 0

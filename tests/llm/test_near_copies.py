@@ -74,7 +74,8 @@ def test_forest_has_least_distances():
     n = 60
     i, j = r.integers(0, n, 900), r.integers(0, n, 900)
     d = r.integers(0, 9, 900)
-    kept = simhash.forest(n, i, j, d)
+    kept, label = simhash.forest(n, i, j, d.astype(np.uint8))
+    assert len(set(label.tolist())) == n - len(kept)
 
     def count(pairs):
         label = list(range(n))
@@ -97,5 +98,16 @@ def test_a_large_group_sends_few_links():
     r = np.random.default_rng(6)
     values = np.repeat(r.integers(0, 1 << 63, (1, 2), dtype=np.uint64), 1500, axis=0)
     values[:, 0] ^= np.uint64(1) << r.integers(0, 64, 1500).astype(np.uint64)
-    a, b = simhash.tile_links(values, values[:0], 36, at_once=5000)
-    assert len(a) == 1499
+    assert len(simhash.tile_links(values, values[:0], 36, at_once=5000)[0]) == 1499
+
+
+def test_early_reduction_changes_no_distance_of_the_forest():
+    r = np.random.default_rng(7)
+    centres = r.integers(0, 1 << 63, (8, 2), dtype=np.uint64)
+    values = centres[r.integers(0, 8, 900)]
+    for _ in range(14):
+        values[:, 0] ^= (np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64)) * (r.random(900) < 0.6).astype(np.uint64)
+    distance = lambda a, b: sorted(np.bitwise_count(values[a] ^ values[b]).sum(axis=1).tolist())
+    want = distance(*simhash.tile_links(values[:600], values[600:], 30, side=2000, at_once=10**9))
+    assert len(want) > 800
+    assert distance(*simhash.tile_links(values[:600], values[600:], 30, side=50, at_once=300)) == want
