@@ -34,7 +34,7 @@ _loaded: dict = {}
 class RankTokenizer:
     """Byte-level BPE from a rank file, with the special strings of the JSON form of the same vocabulary.
 
-    `tests/llm/test_token_counts.py` holds the counts against the JSON file's own library; the two were also compared on
+    `tests/llm/test_texts.py` holds the counts against the JSON file's own library; the two were also compared on
     every Unicode code point (beside letters, digits, punctuation and spaces) without a difference.
     """
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language, quality, secrets_scan, token_counts
+from quire.llm import decontaminate, language, quality, queries, secrets_scan, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH, PATTERN, SPECIAL = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
@@ -38,6 +38,25 @@ def test_token_counts_match_the_library(spark, library, sf_dir):
     assert all(x.over_limit == (x.n_tokens > 1024) for x in got)
 
 
+def test_query_counts_all_documents_as_the_library_does(spark, library):
+    """The registered query, its own chunk size, over all documents of sf0.1, many of them longer than a chunk."""
+    rows = queries.QUERIES["op9_token_counts"](spark, "/root/testdata/sf0.1").toPandas().set_index("doc_id")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").toPandas()
+    texts = [t or "" for t in docs.text]
+    want = []
+    for k in range(0, len(texts), 500):
+        want += [len(e.ids) for e in library.encode_batch(texts[k : k + 500], add_special_tokens=False)]
+    assert rows.n_tokens.loc[docs.doc_id].tolist() == want and len(rows) == len(docs)
+    assert rows.n_bytes.loc[docs.doc_id].tolist() == [len(t.encode()) for t in texts]
+    assert sum(len(t) > 16_384 for t in texts) > 50
+    assert (rows.over_limit == (rows.n_tokens > 1024)).all()
+
+
+def test_token_counts_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    assert token_counts.count_tokens(df, PATH, PATTERN, SPECIAL).count() == 0
+
+
 def test_resynchronised_tokens_equal_whole_ones():
     tok = token_counts.load_tokenizer(PATH, PATTERN, tuple(SPECIAL.items()))
     for text in HARD:
