@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,9 @@ def depth_capped(sections: DataFrame, max_depth: int = 3) -> DataFrame:
 STRATEGIES = (("full", full), ("truncated", truncated), ("leaves_only", leaves_only), ("depth_capped_3", depth_capped))
 
 
-def fit_toc(sections: DataFrame, budget: int) -> DataFrame:
-    """A row a book: the first strategy within the budget, else the last with fits false (null when it fits); attempts lists those tried."""
-    tries = reduce(DataFrame.unionByName, [f(sections).select("book_id", F.lit(i).alias("prio"), F.lit(name).alias("strategy"), "toc", est_tokens(F.col("toc")).alias("tokens")) for i, (name, f) in enumerate(STRATEGIES)])
+def fit_toc(sections: DataFrame, budget: int, tokens: Callable[[Column], Column] = est_tokens) -> DataFrame:
+    """A row a book: the first strategy within the budget, else the last with fits false (null when it fits); attempts lists those tried. tokens counts a text's tokens: an estimate by length, or a tokenizer's expression."""
+    tries = reduce(DataFrame.unionByName, [f(sections).select("book_id", F.lit(i).alias("prio"), F.lit(name).alias("strategy"), "toc", tokens(F.col("toc")).alias("tokens")) for i, (name, f) in enumerate(STRATEGIES)])
     chosen = tries.groupBy("book_id").agg(
         F.coalesce(F.min(F.when(F.col("tokens") <= budget, F.struct("prio", "strategy", "toc", "tokens"))), F.max(F.struct("prio", "strategy", "toc", "tokens"))).alias("c"),
         F.array_sort(F.collect_list(F.struct("prio", "strategy", "tokens"))).alias("all"),

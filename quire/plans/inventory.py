@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import drivers
 from quire.functions.text import words
 from quire.operators import examples, metrics, querygen, render, reports, retriever
 from quire.plans.common import RANKINGS, SECTIONS, query, rankings, sections
@@ -210,3 +211,36 @@ def total_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = sections(spark, sf_dir).filter(F.length("text") >= 200).groupBy("book_id").agg(F.count("*").alias("n_leaves"))
     sinks.write_manifest(kept, path)
     return reports.total_kept(spark.read.schema(kept.schema).json(path))
+
+
+@query(f"""WITH {RENDERED}, tries AS (
+  SELECT book_id, 0 AS prio, 'full' AS strategy, toc FROM full_toc UNION ALL SELECT book_id, 1, 'truncated', toc FROM cut_toc
+  UNION ALL SELECT book_id, 2, 'leaves_only', toc FROM leaf_toc UNION ALL SELECT book_id, 3, 'depth_capped_3', toc FROM full_toc),
+costed AS (SELECT *, CAST(len(regexp_extract_all(lower(toc), '[a-z0-9]+')) AS INTEGER) AS tokens FROM tries),
+chosen AS (SELECT book_id, coalesce(min(prio) FILTER (WHERE tokens <= 300), 3) AS prio FROM costed GROUP BY 1)
+SELECT c.book_id, c.strategy, c.tokens, c.strategy = 'full' AS lossless FROM costed c JOIN chosen h ON h.book_id = c.book_id AND h.prio = c.prio""")
+def fit_toc_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget counted by a tokenizer (words) in place of the estimate by length."""
+    return render.fit_toc(sections(spark, sf_dir), 300, lambda c: F.size(words(c))).select("book_id", "strategy", "tokens", "lossless")
+
+
+@query(f"""WITH {RANKINGS}, asked AS (SELECT book_id, qid FROM gold WHERE CAST(qid AS BIGINT) % 4 <> 0),
+old AS (SELECT DISTINCT system, qid FROM predictions WHERE sys_seq < 2 OR CAST(qid AS BIGINT) % 2 = 0),
+used AS (SELECT system FROM old WHERE qid IN (SELECT qid FROM asked) GROUP BY 1 HAVING count(*) >= 0.8 * (SELECT count(*) FROM asked))
+SELECT system, {METRICS} FROM judged j WHERE system IN (SELECT system FROM used) AND EXISTS (SELECT 1 FROM asked a WHERE a.book_id = j.book_id AND a.qid = j.qid) GROUP BY 1""")
+def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old runs, read back, that answer four fifths of the queries, evaluated on them."""
+    path = scratch(spark, "old-run")
+    predictions, gold, _ = rankings(spark, sf_dir)
+    old = predictions.filter("sys_seq < 2 OR cast(qid as long) % 2 = 0")
+    sinks.write_run(old, old.limit(0), old.limit(0), path)
+    return drivers.zero_shot(spark, gold.filter("cast(qid as long) % 4 <> 0"), [path])
+
+
+@query(f"""WITH {RANKINGS}, ours AS (SELECT system, {METRICS} FROM judged GROUP BY 1)
+SELECT system, n_queries, r1, r3, ndcg3, answered, round(r1 * n_queries / (n_queries + 79), 2) AS r1_all, round(r3 * n_queries / (n_queries + 79), 2) AS r3_all, round(ndcg3 * n_queries / (n_queries + 79), 2) AS ndcg3_all FROM ours""")
+def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation driver over three systems, with 79 published queries that have no section."""
+    predictions, gold, _ = rankings(spark, sf_dir)
+    found, _ = drivers.evaluate_runs(spark, predictions, gold, gold.count() + 79, scratch(spark, "evaluated"))
+    return found

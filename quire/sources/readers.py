@@ -32,6 +32,19 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     return numbered.select(*[f.name for f in schema], F.shiftleft(F.col("_split").cast("long"), 33).bitwiseOR(F.col("_row")).alias("seq"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at the path, in whatever store?"""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """at, file, book_id (the name without its ending, 60 characters at most) of the files that match, in order of their names; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return named.select((F.row_number().over(Window.orderBy("file", "path")) - 1).alias("at"), "file", F.substring(F.regexp_replace("file", r"\.[^.]*$", ""), 1, 60).alias("book_id"))
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """Predictions (system, qid, ranked) that write_run() left under the path."""
     return spark.read.parquet(f"{path}/predictions")

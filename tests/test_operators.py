@@ -332,3 +332,39 @@ def test_release_deletes_what_was_materialized(spark):
     assert os.path.isdir(folder)
     release(spark)
     assert not os.path.exists(folder)
+
+
+def test_listing_is_in_order_of_names(spark, tmp_path):
+    for name in ("b.pdf", "a.pdf", "c.txt", "A.v2.pdf"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [tuple(r) for r in readers.listing(spark, str(tmp_path)).orderBy("at").collect()] == [(0, "A.v2.pdf", "A.v2"), (1, "a.pdf", "a"), (2, "b.pdf", "b")]
+
+
+def test_drivers(spark, tmp_path):
+    from quire import drivers
+
+    n = spark.createDataFrame([("b", 20)], "book_id string, n_pages int")
+    pages = spark.createDataFrame([("b", k, f"page {k} " + "words of it " * 30) for k in range(20)], "book_id string, page_idx int, text string")
+    made, manifest = drivers.build_corpora(entries(spark, TOC), pages, n, str(tmp_path / "built"))
+    assert sorted(r.docid for r in made.collect()) == ["1.1.1 Deep", "1.2 Next", "Chapter 2"] and manifest.first().leaves_kept == 3
+    assert drivers.audit_books(made, (500, 1)).select("below_500", "below_1").first() == (True, False)
+    asked = []
+
+    def backend(prompt):
+        if "page 2 " in prompt:
+            raise OSError("down")
+        return '["what?", "why so?"]'
+
+    for _ in range(2):
+        stats = drivers.generate_queries(spark, made, "Ask {n}: {text}", backend, str(tmp_path / "cache"), str(tmp_path / "queries"))
+        asked.append(stats.select("sections", "queries", "failed_sections").first())
+    assert asked == [(2, 4, 1)] * 2 and spark.read.json(str(tmp_path / "cache")).count() == 2
+    assert spark.read.json(str(tmp_path / "queries")).count() == 4
+    gold = spark.createDataFrame([("b", "1", "x"), ("b", "2", "y")], "book_id string, qid string, docid string")
+    runs = spark.createDataFrame([("s", 0, "b", "1", ["x"]), ("s", 0, "b", "2", ["z", "y"]), ("t", 1, "b", "1", ["x"])], "system string, sys_seq int, book_id string, qid string, ranked array<string>")
+    found, compared = drivers.evaluate_runs(spark, runs, gold, 4, str(tmp_path / "run"))
+    assert {r.system: (r.r1, r.r1_all) for r in found.collect()} == {"s": (50.0, 25.0), "t": (50.0, 25.0)} and compared.first().n_queries == 2
+    old = drivers.zero_shot(spark, gold, [str(tmp_path / "none"), str(tmp_path / "run")])
+    assert [(r.system, r.r1) for r in old.collect()] == [("s", 50.0)]
+    with pytest.raises(ValueError, match="none of the old runs"):
+        drivers.zero_shot(spark, gold, [str(tmp_path / "none")])
