@@ -233,14 +233,18 @@ class Block:
         inner[starts] = False
         scored = inner.copy()
         scored[(starts + 1)[lead == 2]] = False
-        part = np.repeat(np.arange(len(lengths)), lengths)
+        part = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         at = np.flatnonzero(inner)
         self.part, self.scored = part[at], scored[at]
         learnt = self.scored & self.training[self.part]
         tokens = of_token[tokens]
-        before = np.where(inner[at - 1], tokens[np.maximum(at - 2, 0)], BEGIN)
-        self.key = (tokens[at] << (2 * BITS)) | (tokens[at - 1] << BITS) | before
-        self.keys, self.which = np.unique(self.key, return_inverse=True)
+        key = np.where(inner[at - 1], tokens[np.maximum(at - 2, 0)], BEGIN)
+        key |= tokens[at - 1] << BITS
+        key |= tokens[at] << (2 * BITS)
+        del tokens, part, inner, scored, at  # large: memory is bounded by the block's tokens, a few arrays of them at a time
+        self.keys, which = np.unique(key, return_inverse=True)
+        self.which = which.astype(np.int32)
+        del key, which
         self.times = np.bincount(self.which[learnt], minlength=len(self.keys))
         mask = (1 << BITS) - 1
         pairs = self.keys >> BITS
@@ -358,11 +362,10 @@ def add_up(block: Block, answers: list[tuple[int, int, bytes]], t: Totals) -> tu
     texts = block.count[block.v[block.pair]]
     logs -= np.where(block.u == BEGIN, np.log10((texts + t.triple_mass) / whole), after[place])
     base = np.log10((block.count + 1) / (t.tokens + t.vocabulary + 1))
-    w = block.key >> (2 * BITS)
-    parts = len(block.row)
-    part, keep = block.part[block.scored], block.scored
-    by_part = lambda x: np.bincount(part, x[keep], parts)
-    return np.bincount(part, minlength=parts), by_part((block.count[w] > 0).astype(float)), by_part(base[w]), by_part(logs[block.which])
+    w = block.keys >> (2 * BITS)
+    parts, part, which = len(block.row), block.part[block.scored], block.which[block.scored]
+    by_part = lambda x: np.bincount(part, x[which], parts)
+    return np.bincount(part, minlength=parts), by_part((block.count[w] > 0).astype(float)), by_part(base[w]), by_part(logs)
 
 
 @dataclass
@@ -373,7 +376,7 @@ class Model:
     tries: DataFrame
 
 
-def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", pair_mass: float = 200.0, triple_mass: float = 10.0, block_tokens: int = 3 << 19, shard_bytes: int = 12_000_000, hot_share: int = 256) -> tuple[DataFrame, DataFrame, Totals]:
+def prepare(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", pair_mass: float = 200.0, triple_mass: float = 10.0, block_tokens: int = 3 << 19, shard_bytes: int = 9_000_000, hot_share: int = 256) -> tuple[DataFrame, DataFrame, Totals]:
     """Blocks, their words' numbers, and totals: both tables are written to the shared folder."""
     if not 0 < block_tokens <= (1 << BITS) - 8:
         raise ValueError(f"block_tokens must be positive and at most {(1 << BITS) - 8}")
