@@ -301,11 +301,10 @@ def candidates(prints: DataFrame, least: float = 0.8, radius: int = 36, tile_row
     return rows.groupBy("tile", "part").applyInArrow(lean_group(run), "a long, b long")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more, exactly. Sets are made anew, for one text of each key in a pair."""
+def similar_links(docs: DataFrame, each: DataFrame, pairs: DataFrame, least: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more, exactly. Sets are made anew, for one text of each key in a pair: that of each's k (no_id, id, text_hash)."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    held = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    held = held.select("key", F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash"))
+    held = each.join(wanted, "key", "left_semi").select("key", F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("__own_id"), F.xxhash64(text).alias("__own_hash"), text.alias("text"))
     texts = own.join(held, own["__own_id"].eqNullSafe(held["__quire_id"]) & (own["__own_hash"] == held["__quire_hash"])).select("key", "text")
@@ -335,11 +334,12 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 3
     a group's links, those of least distance that connect it are checked, fewer than it has members for each tile pair. Texts without words are
     copies of each other; null texts count as empty.
     """
-    rows = materialize(set_prints(docs, size, id_col, text_col), "simhash-rows")
-    prints = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
-    pairs = materialize(candidates(prints, least, radius, tile_rows).distinct(), "simhash-candidates")
-    labels = components(similar_links(docs, rows, pairs, least, size, id_col, text_col), "simhash-links")
-    each = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
+    rows = set_prints(docs, size, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k")
+    # copies are one row from here on: a group of them is no hot key of a join
+    each = materialize(rows.groupBy("key").agg(first, *[F.min(c).alias(c) for c in ("n", "f1", "f2")]), "simhash-distinct")
+    pairs = materialize(candidates(each, least, radius, tile_rows).distinct(), "simhash-candidates")
+    labels = components(similar_links(docs, each, pairs, least, size, id_col, text_col), "simhash-links")
     named = each.join(labels, each["key"] == labels["node"], "left").select("k", F.coalesce("label", "key").alias("label"))
     first = named.groupBy("label").agg(F.min("k").alias("k"))
     kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash")), "simhash-kept")
