@@ -30,6 +30,21 @@ def evaluate(predictions: DataFrame, gold: DataFrame, by: list[str], valid: Data
     return (rows.groupBy(*by) if by else rows.groupBy()).agg(*out)
 
 
+def systems_of(predictions: DataFrame, most: int = 1000) -> list[tuple[str, int]]:
+    """The systems (name, order) of a run: a handful, which is checked."""
+    order = F.min("sys_seq") if "sys_seq" in predictions.columns else F.lit(0)
+    found = predictions.groupBy("system").agg(order.alias("o")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} systems")
+    return sorted(((r["system"], r["o"]) for r in found), key=lambda x: (x[1], x[0]))
+
+
+def for_systems(gold: DataFrame, systems: list[tuple[str, int]]) -> DataFrame:
+    """gold once for each system (system, sys_seq): rows are multiplied in place, nothing is joined."""
+    each = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(k).alias("sys_seq")) for s, k in systems])
+    return gold.withColumn("_s", F.explode(each)).select(*gold.columns, "_s.system", "_s.sys_seq")
+
+
 def evaluate_dev(predictions: DataFrame, gold: DataFrame, by: list[str], n: int, order: str = "seq") -> DataFrame:
     """evaluate() over the first n gold queries of each book, in order; 0: all."""
     from quire.sources.readers import first_of
@@ -68,10 +83,9 @@ def shared_coverage(queries: DataFrame, old: DataFrame, least: float = 0.8) -> D
     return shared.join(F.broadcast(n)).filter(F.col("n_shared") >= least * F.col("n_queries"))
 
 
-def compare(predictions: DataFrame, gold: DataFrame, k: int = 1) -> DataFrame:
-    """Every pair of systems (system, sys_seq) on gold (book_id, qid, docid): the exact test on hits at k."""
+def compare(predictions: DataFrame, gold: DataFrame, k: int = 1, systems: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Every pair of systems (system, sys_seq) on gold (book_id, qid, docid): the exact test on hits at k. systems: if they are known; else they are looked up."""
     from quire.operators import significance
 
-    systems = predictions.select("system", "sys_seq").distinct()
-    scores = per_query(predictions, gold.join(F.broadcast(systems)), ["system", "sys_seq", "book_id", "qid"], k)
+    scores = per_query(predictions, for_systems(gold, systems or systems_of(predictions)), ["system", "sys_seq", "book_id", "qid"], k)
     return significance.exact(significance.pairs(scores.withColumn("qid", F.concat_ws(":", "book_id", "qid")))).withColumn("k", F.lit(k))

@@ -41,11 +41,14 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(books)
 
 
+SYSTEMS = [("by_line", 0), ("by_quantity", 1), ("by_part", 2)]
+
+
 def rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Predictions, gold and valid ids from orders: an order asks for its dearest line's supplier; three systems rank its suppliers."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.select(F.col("o_orderpriority").alias("book_id"), F.col("l_orderkey").cast("string").alias("qid"), F.col("l_suppkey").cast("string").alias("docid"), "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
-    orders = {"by_line": ("l_linenumber",), "by_quantity": ("l_quantity", "l_linenumber"), "by_part": ("l_partkey", "l_linenumber")}
+    orders = dict(zip((s for s, _ in SYSTEMS), (("l_linenumber",), ("l_quantity", "l_linenumber"), ("l_partkey", "l_linenumber")), strict=True))
     rank = lambda cols: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*cols, "docid"))), lambda x: x["docid"]))
     ranked = lines.groupBy("book_id", "qid").agg(*[rank(c).alias(s) for s, c in orders.items()], F.max_by("docid", F.struct("l_extendedprice", "l_linenumber", "docid")).alias("gold"))
     systems = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.lit(i).alias("sys_seq"), F.col(s).alias("ranked")) for i, s in enumerate(orders)])).alias("s")

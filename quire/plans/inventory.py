@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire import drivers
 from quire.functions.text import words
 from quire.operators import examples, metrics, querygen, render, reports, retriever
-from quire.plans.common import RANKINGS, SECTIONS, query, rankings, sections
+from quire.plans.common import RANKINGS, SECTIONS, SYSTEMS, query, rankings, sections
 from quire.plans.retrieval import METRICS
 from quire.plans.sectioning import RENDERED
 from quire.plans.training import HISTORY, INGEST, RETRIEVE, history
@@ -89,8 +89,8 @@ def run_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run written with its metrics and comparisons, and evaluated from what was written."""
     path = scratch(spark, "run")
     predictions, gold, _ = rankings(spark, sf_dir)
-    each = gold.join(F.broadcast(predictions.select("system").distinct()))
-    sinks.write_run(predictions, metrics.evaluate(predictions, each, ["system"]), metrics.compare(predictions, gold), path)
+    each = metrics.for_systems(gold, SYSTEMS).drop("sys_seq")
+    sinks.write_run(predictions, metrics.evaluate(predictions, each, ["system"]), metrics.compare(predictions, gold, systems=SYSTEMS), path)
     return metrics.evaluate(readers.read_run(spark, path), each, ["system"])
 
 
@@ -99,7 +99,7 @@ SELECT system, book_id, {METRICS} FROM judged j WHERE EXISTS (SELECT 1 FROM earl
 def evaluate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics over the first 200 queries of each book (first n is the feature)."""
     predictions, gold, _ = rankings(spark, sf_dir)
-    each = gold.join(F.broadcast(predictions.select("system").distinct())).withColumn("seq", F.col("qid").cast("long"))
+    each = metrics.for_systems(gold, SYSTEMS).drop("sys_seq").withColumn("seq", F.col("qid").cast("long"))
     return metrics.evaluate_dev(predictions, each, ["system", "book_id"], 200)
 
 
@@ -200,7 +200,7 @@ def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT system, rpad(system, 24, ' ') || lpad(printf('%.2f', r1), 12, ' ') || lpad(printf('%.2f', r3), 12, ' ') || lpad(printf('%.2f', ndcg3), 12, ' ') || repeat(' ', 12) AS line FROM m""")
 def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, gold, _ = rankings(spark, sf_dir)
-    found = metrics.evaluate(predictions, gold.join(F.broadcast(predictions.select("system").distinct())), ["system"])
+    found = metrics.evaluate(predictions, metrics.for_systems(gold, SYSTEMS).drop("sys_seq"), ["system"])
     return reports.metric_lines(found.withColumn("hallucination_rate", F.lit(None).cast("double")))
 
 

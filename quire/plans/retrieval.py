@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators import bm25, metrics, reports, significance, trie
-from quire.plans.common import RANKINGS, SECTIONS, benchmark_queries, query, rankings, sections
+from quire.plans.common import RANKINGS, SECTIONS, SYSTEMS, benchmark_queries, query, rankings, sections
 from quire.session import table
 
 BM25 = f"""{SECTIONS},
@@ -104,8 +104,7 @@ HALLUCINATED = "round(100.0::DOUBLE * count(*) FILTER (WHERE answered AND NOT to
 
 def _by_system(spark: SparkSession, sf_dir: str, by: list[str], with_valid: bool = True) -> DataFrame:
     predictions, gold, valid = rankings(spark, sf_dir)
-    systems = predictions.select("system").distinct()
-    return metrics.evaluate(predictions, gold.join(F.broadcast(systems)), by, valid if with_valid else None)
+    return metrics.evaluate(predictions, metrics.for_systems(gold, SYSTEMS).drop("sys_seq"), by, valid if with_valid else None)
 
 
 @query(f"WITH {RANKINGS} SELECT system, {METRICS} FROM judged GROUP BY 1")
@@ -153,8 +152,7 @@ summed AS (SELECT a, b, count(*) AS n_queries, round(100 * avg(sa), 2) AS mean_a
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, gold, _ = rankings(spark, sf_dir)
-    systems = predictions.select("system", "sys_seq").distinct()
-    scores = metrics.per_query(predictions, gold.join(F.broadcast(systems)), ["system", "sys_seq", "book_id", "qid"])
+    scores = metrics.per_query(predictions, metrics.for_systems(gold, SYSTEMS), ["system", "sys_seq", "book_id", "qid"])
     return significance.pairs(scores.select("system", "sys_seq", F.concat_ws(":", "book_id", "qid").alias("qid"), "score"))
 
 
@@ -230,4 +228,4 @@ SELECT a.system AS a, b.system AS b, 3 AS k, count(*) AS n_queries, count(*) FIL
 FROM hits a JOIN hits b ON a.qid = b.qid AND a.sys_seq < b.sys_seq GROUP BY 1, 2""")
 def compare_systems_at_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, gold, _ = rankings(spark, sf_dir)
-    return metrics.compare(predictions, gold, 3).select("a", "b", "k", "n_queries", "n_discordant", "observed_diff")
+    return metrics.compare(predictions, gold, 3, SYSTEMS).select("a", "b", "k", "n_queries", "n_discordant", "observed_diff")
