@@ -40,14 +40,21 @@ def exact(paired: DataFrame) -> DataFrame:
     return rows.withColumn("p_value", F.round("_p", 6)).withColumn("significant", F.col("_p") < 0.05).drop("_p")
 
 
+BITS = 60  # signs in a digest's first fifteen hexadecimal digits
+
+
 def monte_carlo(paired: DataFrame, n_iter: int = 10_000, seed: int = 42) -> DataFrame:
-    """summary with a sampled p_value: signs from a hash of (seed, iteration, query), so partitioning has no say. Queries that agree add nothing and are left out."""
-    d = paired.withColumn("d", F.col("sa") - F.col("sb")).filter("d <> 0").select("a", "b", "qid", "d")
-    signs = d.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
-    bit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "iter", "qid"), 17).bitwiseAND(F.lit(1))
-    totals = signs.groupBy("a", "b", "iter").agg(F.sum(F.when(bit == 1, F.col("d")).otherwise(-F.col("d"))).alias("t"))
+    """summary with a sampled p_value: signs from a digest of (seed, 60 iterations, query), so partitioning has no say. Queries that agree add nothing and are left out.
+
+    A query's digest holds its signs in 60 iterations, which are 60 sums of one aggregation: no row is made for an iteration."""
+    blocks = -(-n_iter // BITS)
+    d = paired.withColumn("d", F.col("sa") - F.col("sb")).filter("d <> 0").select("a", "b", "qid", "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    drawn = d.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("block"), F.col("qid"))), 1, 15), 16, 10).cast("long"))
+    sign = lambda j: F.shiftright("h", j).bitwiseAND(F.lit(1)) == 1
+    totals = drawn.groupBy("a", "b", "block").agg(*[F.sum(F.when(sign(j), F.col("d")).otherwise(-F.col("d"))).alias(f"t{j}") for j in range(BITS)])
     rows = summary(paired)
-    hits = totals.join(rows.select("a", "b", "net"), ["a", "b"]).groupBy("a", "b").agg(F.count_if(F.abs("t") >= F.abs("net") - 1e-9).alias("hits"))
+    hit = lambda j: ((F.col("block") * BITS + j < n_iter) & (F.abs(f"t{j}") >= F.abs("net") - 1e-9)).cast("long")
+    hits = totals.join(rows.select("a", "b", "net"), ["a", "b"]).groupBy("a", "b").agg(F.sum(sum((hit(j) for j in range(1, BITS)), hit(0))).alias("hits"))
     p = F.coalesce((F.col("hits") + 1) / F.lit(n_iter + 1), F.lit(1.0))
     return rows.join(hits, ["a", "b"], "left").withColumn("p_value", F.round(p, 4)).withColumn("significant", p < 0.05).drop("hits")
 

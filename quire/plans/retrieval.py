@@ -170,7 +170,11 @@ def exact_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.exact(_paired(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SCORES}, drawn AS (
+  SELECT a, b, sa - sb AS d, block, CAST('0x' || substr(md5('42:' || block || ':' || qid), 1, 15) AS BIGINT) AS h FROM paired, (SELECT unnest(range(0, 167)) AS block) WHERE sa <> sb),
+totals AS (SELECT a, b, block, {", ".join(f"sum(CASE WHEN (h >> {j}) & 1 = 1 THEN d ELSE -d END) AS t{j}" for j in range(60))} FROM drawn GROUP BY 1, 2, 3),
+counted AS (SELECT t.a, t.b, sum({" + ".join(f"CASE WHEN block * 60 + {j} < 10000 AND abs(t{j}) >= abs(net) - 1e-9 THEN 1 ELSE 0 END" for j in range(60))}) AS hits FROM totals t JOIN summed s ON s.a = t.a AND s.b = t.b GROUP BY 1, 2)
+SELECT s.*, round(coalesce((hits + 1) / 10001.0::DOUBLE, 1.0), 4) AS p_value, coalesce((hits + 1) / 10001.0::DOUBLE, 1.0) < 0.05 AS significant FROM summed s LEFT JOIN counted c ON c.a = s.a AND c.b = s.b""")
 def monte_carlo_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.monte_carlo(_paired(spark, sf_dir))
 
