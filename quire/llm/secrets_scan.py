@@ -207,6 +207,8 @@ def scan_batch(data: np.ndarray, offsets: np.ndarray, model: MarkovPair) -> dict
     if len(data):
         for kind, members, least in ((2, _members(HEX), 24), (3, _members(RUN), model.min_run)):
             starts, ends = long_runs(data, offsets, members, least)
+            if kind == 3:
+                starts, ends = _hopeful(data, offsets, starts, ends, model, found)
             rows = np.searchsorted(offsets, starts, "right") - 1
             for i, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 a = int(offsets[i])
@@ -225,6 +227,26 @@ def scan_batch(data: np.ndarray, offsets: np.ndarray, model: MarkovPair) -> dict
     return found
 
 
+def _hopeful(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: MarkovPair, found: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs those that may hold a secret: the positive ratios of a run, summed, exceed the threshold, as every stretch's sum does; or its text has base spans."""
+    if not len(starts):
+        return starts, ends
+    sizes = ends - starts
+    passed = np.cumsum(sizes)
+    gains = np.empty(len(starts))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(passed, np.arange(1 << 20, passed[-1], 1 << 20)), [len(starts)]]))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # about a million bytes at a time
+        own = sizes[lo:hi]
+        first = np.cumsum(own) - own
+        codes = model.codes[data[np.repeat(starts[lo:hi] - first, own) + np.arange(own.sum())]]
+        before = np.concatenate([[0], codes[:-1]])
+        before[first] = 0
+        gains[lo:hi] = np.add.reduceat(np.maximum(model.ratio[before, codes], 0.0), first)
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    keep = (gains > model.threshold - 1e-6) | np.isin(rows, np.fromiter(found, np.int64, len(found)))
+    return starts[keep], ends[keep]
+
+
 def code_points(text: np.ndarray, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The spans with code points in place of bytes."""
     at = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
