@@ -60,6 +60,20 @@ def comparison_lines(compared: DataFrame) -> DataFrame:
     return compared.select("a", "b", F.concat(F.rpad(F.concat_ws(" vs ", "a", "b"), 26, " "), F.lpad(F.concat(sign, F.format_string("%.2f", "observed_diff")), 9, " "), F.lpad(F.format_string("%.4f", "p_value"), 9, " "), F.lit("  "), verdict).alias("line"))
 
 
+#: The report's head and the width of its rule.
+HEAD = (("comparison", -26), ("diff", 9), ("p", 9))
+RULE = 62
+
+
+def comparison_report(compared: DataFrame) -> DataFrame:
+    """at, line: a head, a rule and a line for each pair of systems, by name. Pairs without a p-value (they share no query) have no line."""
+    spark = compared.sparkSession
+    head = "".join(word.ljust(-n) if n < 0 else word.rjust(n) for word, n in HEAD) + "  verdict"
+    lines = comparison_lines(compared.filter("p_value is not null"))
+    numbered = lines.select((F.row_number().over(Window.orderBy("a", "b")) + 1).alias("at"), "line")  # a row for each pair of systems
+    return spark.createDataFrame([(0, head), (1, "-" * RULE)], "at int, line string").unionByName(numbered)
+
+
 def audit(rendered: DataFrame, budgets: tuple[int, ...] = (14_000, 8_000, 4_000)) -> DataFrame:
     """rendered (book_id, toc): estimated tokens and whether they are below each budget."""
     from quire.functions.text import est_tokens
