@@ -190,9 +190,9 @@ def comparison_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.comparison_lines(significance.exact(_paired(spark, sf_dir)))
 
 
-@query(f"""WITH {EXACT}, lines AS (SELECT a, b, rpad(a || ' vs ' || b, 26, ' ') || lpad(printf('%+.2f', observed_diff), 9, ' ') || lpad(printf('%.4f', round(p, 6)), 9, ' ') || '  ' ||
+@query(f"""WITH {EXACT}, shown AS (SELECT a, b, rpad(a || ' vs ' || b, 26, ' ') || lpad(printf('%+.2f', observed_diff), 9, ' ') || lpad(printf('%.4f', round(p, 6)), 9, ' ') || '  ' ||
   CASE WHEN p < 0.05 THEN 'SIGNIFICANT' ELSE 'not significant — consistent with noise' END AS line FROM summed s JOIN summed_p USING (a, b))
-SELECT CAST(row_number() OVER (ORDER BY a, b) + 1 AS INTEGER) AS at, line FROM lines
+SELECT CAST(row_number() OVER (ORDER BY a, b) + 1 AS INTEGER) AS at, line FROM shown
 UNION ALL SELECT 0, rpad('comparison', 26, ' ') || lpad('diff', 9, ' ') || lpad('p', 9, ' ') || '  verdict' UNION ALL SELECT 1, repeat('-', 62)""")
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.comparison_report(significance.exact(_paired(spark, sf_dir)))
