@@ -32,6 +32,7 @@ from quire.llm.components import components
 from quire.session import materialize
 
 LANES = 4
+FORESTS = 3  # of links that are checked exactly: a group falls apart only if all of them do
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -128,8 +129,9 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndar
     return np.concatenate(kept), label
 
 
-def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side: int = 1024, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (numbered own first, then probes) at both ends of a spanning forest, by least distances, of the links among `own` and between `own` and `probes`.
+def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, forests: int = 1, side: int = 1024, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (numbered own first, then probes) at both ends of a spanning forest, by least distances, of the links among `own` and between `own` and `probes`;
+    with more `forests`, also of a forest of the links that the one before leaves, and so on.
 
     Both are uint64 arrays with a row of words for each fingerprint. Rows are put in order of population counts and compared by tiles, exclusive-or
     and bit counts; tiles whose population counts differ beyond the radius are skipped. fits(i, j) may refuse pairs."""
@@ -140,13 +142,19 @@ def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side
     size, label, widest = 0, None, None
 
     def reduced():
-        """The forest of what is held; pairs of one tree, no nearer than its longest edge, can't change it."""
+        """The forests of what is held; pairs of one tree of the last one, no nearer than its longest edge, can't change any."""
         nonlocal label, widest
         i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        keep, label = forest(len(values), i, j, d)
+        left, kept = np.arange(len(d)), []
+        for _ in range(forests):
+            keep, label = forest(len(values), i[left], j[left], d[left])
+            keep = left[keep]
+            kept.append(keep)
+            left = np.setdiff1d(left, keep, assume_unique=True)
         widest = np.zeros(len(values), d.dtype)
         np.maximum.at(widest, label[i[keep]], d[keep])
         widest = widest[label]
+        keep = np.concatenate(kept)
         return i[keep], j[keep], d[keep]
 
     for a in range(0, len(first), side):
@@ -295,7 +303,7 @@ def candidates(prints: DataFrame, least: float = 0.8, radius: int = 36, tile_row
         order = np.lexsort((key, ~own))
         key, n, words = key[order], n[order], np.stack([f1, f2], axis=1)[order].view(np.uint64)
         fits = lambda i, j: np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
-        a, b = tile_links(words[: own.sum()], words[own.sum() :], radius, fits)
+        a, b = tile_links(words[: own.sum()], words[own.sum() :], radius, fits, FORESTS)
         return pa.table({"a": key[a], "b": key[b]})
 
     return rows.groupBy("tile", "part").applyInArrow(lean_group(run), "a long, b long")
@@ -331,7 +339,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 3
 
     Near copies are texts whose sets of `size`-word shingles have a Jaccard similarity of `least` or more, or a chain of such. The search is by
     128-bit fingerprints within `radius` bits, which a pair of similarity 0.8 exceeds about once in ten thousand times (and pairs of a few shingles each more often); links are then checked exactly. Of
-    a group's links, those of least distance that connect it are checked, fewer than it has members for each tile pair. Texts without words are
+    a group's links, three forests of least distances are checked, fewer than three times its members for each tile pair. Texts without words are
     copies of each other; null texts count as empty.
     """
     rows = set_prints(docs, size, id_col, text_col)

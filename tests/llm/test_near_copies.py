@@ -111,3 +111,31 @@ def test_early_reduction_changes_no_distance_of_the_forest():
     want = distance(*simhash.tile_links(values[:600], values[600:], 30, side=2000, at_once=10**9))
     assert len(want) > 800
     assert distance(*simhash.tile_links(values[:600], values[600:], 30, side=50, at_once=300)) == want
+
+
+def test_more_forests_are_disjoint_and_each_connects_what_is_left():
+    r = np.random.default_rng(8)
+    values = r.integers(0, 1 << 63, (1, 1), dtype=np.uint64) ^ (np.uint64(1) << r.integers(0, 64, (120, 1)).astype(np.uint64))
+    values = np.unique(values, axis=0)
+    n = len(values)
+    a, b = simhash.tile_links(values, values[:0], 3, forests=3, side=10, at_once=50)
+    pairs = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    # all distances are equal: each forest is a star, whose hub has no link left for the next one
+    assert len(pairs) == len(a) == (n - 1) + (n - 2) + (n - 3)
+
+
+def test_a_link_beside_a_nearer_pair_that_fails_is_kept():
+    """Three texts: one has a partner of similarity 0.8, and a third text with a nearer fingerprint, but less similar."""
+    found = None
+    for seed in range(4000):
+        r = np.random.default_rng(seed)
+        base = r.integers(0, 1 << 64, 40, dtype=np.uint64, endpoint=False)
+        sets = [base, np.concatenate([base[:36], r.integers(0, 1 << 64, 4, dtype=np.uint64, endpoint=False)]), np.concatenate([base[:30], r.integers(0, 1 << 64, 10, dtype=np.uint64, endpoint=False)])]
+        p = simhash.wide_prints(sets)
+        d = [int(np.bitwise_count(p[i] ^ p[j]).sum()) for i, j in ((0, 1), (0, 2), (1, 2))]
+        if d[1] < d[0] and d[2] < d[0] <= 36:
+            found = p
+            break
+    assert found is not None
+    links = {frozenset(x) for x in zip(*[v.tolist() for v in simhash.tile_links(found, found[:0], 36, None, simhash.FORESTS)], strict=True)}
+    assert frozenset((0, 1)) in links and frozenset((0, 1)) not in {frozenset(x) for x in zip(*[v.tolist() for v in simhash.tile_links(found, found[:0], 36)], strict=True)}
