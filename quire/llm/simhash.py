@@ -168,16 +168,18 @@ def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, fore
                 for k in range(values.shape[1]):
                     d += np.bitwise_count(values[x, k][:, None] ^ values[y, k][None, :])
                 near = d <= radius
+                if others is first and b < a + len(x):  # each pair once
+                    near &= np.arange(b, b + len(y))[None, :] > np.arange(a, a + len(x))[:, None]
                 if label is not None:
                     near &= (d < widest[x][:, None]) | (label[x][:, None] != label[y][None, :])
                 i, j = np.nonzero(near)
                 dist, i, j = d[i, j], x[i], y[j]
-                keep = i != j
                 if fits is not None:
-                    keep &= fits(i, j)
-                if keep.any():
-                    held.append((i[keep], j[keep], dist[keep]))
-                    size += int(keep.sum())
+                    keep = fits(i, j)
+                    i, j, dist = i[keep], j[keep], dist[keep]
+                if len(i):
+                    held.append((i, j, dist))
+                    size += len(i)
                     if size > at_once:
                         held, size = [reduced()], 0
     i, j, _ = reduced()
