@@ -42,17 +42,18 @@ from quire.llm.packing import pack, smallest, unpack
 from quire.session import materialize
 
 SEED = 5
-END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty
 UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers of words
 BITS = 21  # of a word's number within its block
 KIND = "block long, shard int, kind tinyint, payload binary"
 BODY, REQUEST, ANSWER, STATS, FOUND = range(5)
 
 
-class _Hashes(dict):
+class _Numbers(dict):
+    """Numbers of words, in the order in which they come; the end is an empty word, 0."""
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
+        k = self[word] = len(self)
+        return k
 
 
 @dataclass
@@ -89,19 +90,27 @@ def _of_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
     return sorted(x[1:] for x in rows if x[0] == kind)
 
 
-def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: str, text_col: str, block_tokens: int) -> DataFrame:
+def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: str, text_col: str, block_tokens: int, most_words: int = 400_000) -> DataFrame:
     """BODY rows: parts of texts (row, id, null id, held out, tokens, of which context) with their tokens as numbers of the block's words, the frequent ones first;
-    REQUEST rows: the block's words of a shard (increasing hashes) with their training counts. A block's rows are of one task's output."""
+    REQUEST rows: the block's words of a shard (increasing hashes) with their training counts. A block's rows are of one task's output. A task numbers its words anew
+    after a block when there are more than `most_words`; nothing depends on it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(True)).alias("training"), F.col(text_col).alias("text"))
 
     def run(batches):
-        cache, part = _Hashes(), TaskContext.get().partitionId() << 32
+        cache, part = _Numbers({b"": 0}), TaskContext.get().partitionId() << 32
         block, row, size, held = part, part, 0, []
 
         def out():
             nonlocal block, size, held
             tokens = np.concatenate([h for *_, h in held])
-            words, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            # numbers of the task's words become places among the block's, by hash
+            met = np.flatnonzero(np.bincount(tokens, minlength=len(cache)))
+            known = [*cache]
+            words, place = np.unique(np.fromiter((xxhash.xxh64_intdigest(known[k], SEED) for k in met.tolist()), np.uint64, len(met)), return_inverse=True)
+            of = np.empty(len(cache), np.int32)
+            of[met] = place
+            at = of[tokens]
+            n = np.bincount(at, minlength=len(words))
             lengths = np.array([len(h) for *_, h in held])
             lead = np.array([x[3] for x in held])
             scored = np.ones(len(tokens), bool)
@@ -119,23 +128,27 @@ def token_blocks(docs: DataFrame, training: Column, word_shards: int, id_col: st
             for s, a, b in _pieces(shard):
                 found.append((block, s, REQUEST, pack([*hash_steps(words[a:b]), smallest(counts[a:b])])))
             block, size, held = block + 1, 0, []
-            if len(cache) > 400_000:
-                cache.clear()
             return pa.RecordBatch.from_arrays([c.combine_chunks() for c in _rows(found).columns], names=["block", "shard", "kind", "payload"])
 
         for b in batches:
             for key, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), strict=True):
-                hashes = np.array([END, *[cache[w] for w in text.lower().split()], END], np.uint64)
-                at = 1
-                while at < len(hashes):
-                    own = hashes[max(0, at - 2) : at + block_tokens - size]
+                found = text.lower().split()
+                numbers = np.zeros(len(found) + 2, np.int32)
+                numbers[1:-1] = np.fromiter(map(cache.__getitem__, found), np.int32, len(found))
+                at, ended = 1, False
+                while at < len(numbers):
+                    own = numbers[max(0, at - 2) : at + block_tokens - size]
                     lead = min(at, 2)
                     held.append((row, key, learn, lead, own))
                     at += len(own) - lead
                     size += len(own) - lead
                     if size >= block_tokens:
                         yield out()
+                        ended = True
                 row += 1
+                if ended and len(cache) > most_words:  # only this text has parts in the next block
+                    known, cache = [*cache], _Numbers({b"": 0})
+                    held = [(*x[:4], np.fromiter((cache[known[k]] for k in x[4].tolist()), np.int32, len(x[4]))) for x in held]
         if held:
             yield out()
 
@@ -218,7 +231,8 @@ def _open_numbers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """A block's tokens with its words' numbers and counts; every stage that makes one makes the same."""
 
-    def __init__(self, body: bytes, answers: list[bytes], t: Totals):
+    def __init__(self, body: bytes, answers: list[bytes], t: Totals, scores: bool = False):
+        """With `scores` the key of each scored token is kept (which), without it the keys' training counts (times, total)."""
         self.row, self.id, null, training, lengths, lead, order, tokens = unpack(body)
         self.null, self.training = null.astype(bool), training.astype(bool)
         number, count = (np.concatenate(x) for x in zip(*map(_open_numbers, answers), strict=True))
@@ -242,10 +256,19 @@ class Block:
         key |= tokens[at - 1] << BITS
         key |= tokens[at] << (2 * BITS)
         del tokens, part, inner, scored, at  # large: memory is bounded by the block's tokens, a few arrays of them at a time
-        self.keys, which = np.unique(key, return_inverse=True)
-        self.which = which.astype(np.int32)
-        del key, which
-        self.times = np.bincount(self.which[learnt], minlength=len(self.keys))
+        if scores:
+            self.keys, which = np.unique(key, return_inverse=True)
+            self.which = which.astype(np.int32)
+            del key, which
+        else:
+            # 63 bits of a key and whether it counts
+            both = np.sort((key.view(np.uint64) << np.uint64(1)) | learnt)
+            del key
+            self.keys = (both >> np.uint64(1)).view(np.int64)
+            first = np.flatnonzero(np.diff(self.keys, prepend=-1))
+            self.times = np.add.reduceat((both & np.uint64(1)).view(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            self.keys = self.keys[first]
+            del both
         mask = (1 << BITS) - 1
         pairs = self.keys >> BITS
         new = np.ones(len(pairs), bool)
@@ -253,7 +276,8 @@ class Block:
         self.pair = np.cumsum(new) - 1  # of each key
         self.w, self.v = pairs[new] >> BITS, pairs[new] & mask  # of each pair
         self.u = self.keys & mask
-        self.total = np.bincount(self.pair, self.times, len(self.w)).astype(np.int64)
+        if not scores:
+            self.total = np.bincount(self.pair, self.times, len(self.w)).astype(np.int64)
         # shards of pairs
         numbers = self.word
         mix = (numbers[self.w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (numbers[self.v].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -268,7 +292,7 @@ class Block:
 
     def requests(self):
         """(shard, keys' places, pairs' places). A frequent pair goes to all the shards it is spread over."""
-        order = np.argsort(self.shard, kind="stable")
+        order = np.argsort(smallest(self.shard), kind="stable")  # of narrow numbers: by radix
         at = np.searchsorted(self.shard[order], np.arange(self.shards + 1))
         spread = np.flatnonzero(self.hot)
         more = np.repeat(spread, self.spread), ((self.base[spread][:, None] + np.arange(self.spread)) % self.shards).ravel()
@@ -282,8 +306,13 @@ class Block:
 
     def request(self, keys: np.ndarray, pairs: np.ndarray) -> bytes:
         sizes = np.bincount(np.searchsorted(pairs, self.pair[keys]), minlength=len(pairs))
-        words, place = np.unique(np.concatenate([self.w[pairs], self.v[pairs], self.u[keys]]), return_inverse=True)
-        w, v, u = np.split(place, [len(pairs), 2 * len(pairs)])
+        own = self.w[pairs], self.v[pairs], self.u[keys]
+        met = np.zeros(len(self.word), bool)
+        for x in own:
+            met[x] = True
+        words = np.flatnonzero(met)
+        place = np.cumsum(met) - 1
+        w, v, u = (place[x] for x in own)
         new = np.diff(w, prepend=-1) > 0
         return pack([steps(self.word[words], np.zeros(len(words), bool)), smallest(self.count[words]), steps(w, np.zeros(len(w), bool)), steps(v, new), smallest(sizes), smallest(self.total[pairs]), steps(u, _starts(sizes)), smallest(self.times[keys])])
 
@@ -302,26 +331,33 @@ def open_request(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(words.astype(np.int64)), count.astype(np.int64), w, sums(v, np.diff(w, prepend=-1) > 0), sizes.astype(np.int64), total, sums(u, _starts(sizes.astype(np.int64))), times]
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, increasing, and the sums of their n (both from 0 on); by one sort of both together, where they fit in 63 bits."""
+    if not len(keys):
+        return keys.astype(np.int64), np.zeros(0)
+    bits = int(n.max()).bit_length()
+    if int(keys.max()).bit_length() + bits > 63:
+        keys, which = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(which, n.astype(np.float64), len(keys))
+    both = np.sort((keys.astype(np.int64) << bits) | n.astype(np.int64))
+    keys = both >> bits
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(both & ((1 << bits) - 1), first).astype(np.float64)
+
+
 def build_trie(pieces: list[list[np.ndarray]], t: Totals) -> NgramTrie:
     """From a shard's requests."""
     own = [p[0] for p in pieces]
     words, first = np.unique(np.concatenate(own), return_index=True)
     counts = np.concatenate([p[1] for p in pieces])[first]
     n = len(words)
-    pair_keys, pair_totals, triple_keys, triple_times = [], [], [], []
-    for x, p in zip(own, pieces, strict=True):
-        x = np.searchsorted(words, x)
-        keys = x[p[2]] * n + x[p[3]]
-        learnt = p[5] > 0
-        pair_keys.append(keys[learnt])
-        pair_totals.append(p[5][learnt].astype(np.float64))
-        learnt = p[7] > 0
-        triple_keys.append((np.repeat(keys, p[4])[learnt], x[p[6][learnt]]))
-        triple_times.append(p[7][learnt].astype(np.float64))
-    pairs, which = np.unique(np.concatenate(pair_keys), return_inverse=True)
-    totals = np.bincount(which, np.concatenate(pair_totals), len(pairs))
-    triples, which = np.unique(np.concatenate([np.searchsorted(pairs, k) * n + u for k, u in triple_keys]), return_inverse=True)
-    times = np.bincount(which, np.concatenate(triple_times), len(triples))
+    own = [np.searchsorted(words, x) for x in own]
+    each = [x[p[2]] * n + x[p[3]] for x, p in zip(own, pieces, strict=True)]
+    pairs, totals = summed(np.concatenate([k[p[5] > 0] for k, p in zip(each, pieces, strict=True)]), np.concatenate([p[5][p[5] > 0] for p in pieces]))
+    # a triple that counts is of a pair that counts
+    triples, times = summed(
+        np.concatenate([(np.repeat(np.searchsorted(pairs, k), p[4]) * n + x[p[6]])[p[7] > 0] for k, x, p in zip(each, own, pieces, strict=True)]), np.concatenate([p[7][p[7] > 0] for p in pieces])
+    )
     p1 = t.unigram(counts)
     p2 = (totals + t.pair_mass * p1[pairs // n]) / (counts[pairs % n] + t.pair_mass) if n else totals
     whole = t.tokens + t.triple_mass
@@ -402,8 +438,8 @@ def _met(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     return blocks.filter(F.col("kind") == BODY).select("block", F.col("payload").alias("body")).join(told, "block")
 
 
-def _block(met: pa.Table, t: Totals) -> Block:
-    return Block(met.column("body")[0].as_py(), [x["payload"] for x in met.column("numbers")[0].as_py()], t)
+def _block(met: pa.Table, t: Totals, scores: bool = False) -> Block:
+    return Block(met.column("body")[0].as_py(), [x["payload"] for x in met.column("numbers")[0].as_py()], t, scores)
 
 
 def _requests(met: DataFrame, shared) -> DataFrame:
@@ -422,7 +458,7 @@ def _add_up(met: DataFrame, answers: DataFrame, shared, id_col: str) -> DataFram
     def tell(one: pa.Table, told: pa.Table) -> pa.Table:
         if not one.num_rows:
             return schema.empty_table()
-        block = _block(one, shared.value)
+        block = _block(one, shared.value, True)
         n, known, base, logs = add_up(block, _of_kind(told, FOUND), shared.value)
         return pa.table([pa.array(block.row), pa.array(block.id, mask=block.null), pa.array(~block.training), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs)], schema=schema)
 
