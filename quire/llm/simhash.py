@@ -11,8 +11,8 @@ A tile pair gives a spanning forest of its links (of least distances), not all p
 links for each tile pair. Components come from alternating stars.
 
 keep_one() is the pipeline's stage: the same comparison over 128-bit fingerprints of sets of five-word shingles, tiled by size, with an exact check
-of the similarity of what it links. Forests of links are checked first; then all other pairs within the radius whose texts the links found so far don't connect,
-so none is left out.
+of the similarity of what it links. Fingerprints alone are compared first; only sets that have one within the radius are sent on with their parities. Of their
+pairs forests of links are checked first; then all others within the radius whose texts the links found so far don't connect, so none is left out.
 
 Copies share a fingerprint and are one node. Null texts count as empty; texts without words have fingerprint zero,
 linked like any other. Null ids: their fingerprints link like others; component_id is the smallest id that isn't null.
@@ -25,7 +25,8 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import lean, lean_group, raw_texts
@@ -35,6 +36,8 @@ from quire.session import materialize
 LANES = 4
 FORESTS = 3  # of links that are checked first; what they leave apart is compared pair by pair
 PARITIES = 8, 64, 1 << 16  # bits of a set's parities: for each member, at least, at most
+WORDS = 1 << 21  # of 64 bits, at most, in the bitmap by which texts are chosen before they are sent
+SIDE = 512  # rows of a tile that are compared at once with four times as many
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -156,7 +159,7 @@ def near_tiles(values: np.ndarray, own: int, radius: int, side: int, start: int
                 yield number, x, y, d, near
 
 
-def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, forests: int = 1, side: int = 1024, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, forests: int = 1, side: int = SIDE, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Rows (numbered own first, then probes) at both ends of a spanning forest, by least distances, of the links among `own` and between `own` and `probes`;
     with more `forests`, also of a forest of the links that the one before leaves, and so on.
 
@@ -199,7 +202,27 @@ def tile_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, fore
     return i, j
 
 
-def parted_pairs(own: np.ndarray, probes: np.ndarray, label: np.ndarray, radius: int, fits=None, start: int = 0, most: int = 1_000_000, side: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+def near_links(own: np.ndarray, probes: np.ndarray, radius: int, fits=None, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (numbered as in tile_links) at both ends of links that connect what the pairs within the radius connect: fewer than there are rows."""
+    values = np.concatenate([own, probes])
+    label, kept = np.arange(len(values)), [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for _, x, y, _, near in near_tiles(values, len(own), radius, side):
+        i, j = np.nonzero(near)
+        i, j = x[i], y[j]
+        new = label[i] != label[j]
+        i, j = i[new], j[new]
+        if fits is not None:
+            new = fits(i, j)
+            i, j = i[new], j[new]
+        if len(i):
+            keep, up = forest(len(values), label[i], label[j], np.zeros(len(i), np.uint8))
+            kept.append((i[keep], j[keep]))
+            label = up[label]
+    i, j = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return i, j
+
+
+def parted_pairs(own: np.ndarray, probes: np.ndarray, label: np.ndarray, radius: int, fits=None, start: int = 0, most: int = 1_000_000, side: int = SIDE) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows (numbered as in tile_links) at both ends of all pairs within the radius whose labels differ, of the pairs of tiles from number `start` on, and the number to go on with
     (-1: these are all): a call ends after the pair of tiles with which there are `most`."""
     found, size = [(np.zeros(0, np.int32), np.zeros(0, np.int32))], 0
@@ -322,11 +345,17 @@ def parity_rows(odd: list[bytes]) -> np.ndarray:
     return out
 
 
-def possible(n: np.ndarray, odd: np.ndarray, least: float, at_once: int = 1 << 22):
+def comparable(n: np.ndarray, least: float):
+    """fits(i, j) for near_links: refuses pairs whose sizes rule out a similarity of `least`, and no others."""
+    return lambda i, j: np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+
+
+def possible(n: np.ndarray, odd: np.ndarray, least: float, at_once: int = 1 << 20):
     """fits(i, j) for tile_links: refuses pairs whose sizes or parities rule out a similarity of `least`, and no others."""
+    sizes = comparable(n, least)
 
     def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        keep = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        keep = sizes(i, j)
         at, step = np.flatnonzero(keep), max(1, at_once // odd.shape[1])
         for k in range(0, len(at), step):
             part = at[k : k + step]
@@ -337,90 +366,138 @@ def possible(n: np.ndarray, odd: np.ndarray, least: float, at_once: int = 1 << 2
     return fits
 
 
+def _key(members: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(members.tobytes(), 11)
+
+
 def set_prints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, key (a hash of the shingle set), n (its size), f1, f2 (the set's 128-bit fingerprint), odd (its parities) of every whole text. One pass, no shuffle."""
+    """id, text_hash, key (a hash of the shingle set), n (its size), f1, f2 (the set's 128-bit fingerprint), odd (its parities, compressed) of every whole text. One pass, no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b, sets in _sets(batches, size):
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 11) for s in sets], np.uint64).view(np.int64)
+            keys = np.array([_key(s) for s in sets], np.uint64).view(np.int64)
             prints = wide_prints(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([parities(s) for s in sets], pa.binary())], names=["id", "text_hash", "key", "n", "f1", "f2", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([pack(parities(s)) for s in sets], pa.binary())], names=["id", "text_hash", "key", "n", "f1", "f2", "odd"])
 
     return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, key long, n long, f1 long, f2 long, odd binary")
 
 
-def _dealt(prints: DataFrame, least: float, tile_rows: int) -> DataFrame:
-    """prints' rows as they are sent to tiles and parts of them (tile, part), and whether as own rows or as probes (own).
+def _grade(least: float) -> Column:
+    """Class of sizes (n), the next one beginning at 1 / `least` times the size: a partner lies in the same or the next class."""
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(-np.log(least))) + 1e-9).cast("int")
 
-    Sets are dealt by classes of size, the next class beginning at 1 / `least` times the size, so a partner lies in the same or the next class; a class
-    of more than about `tile_rows` is split by a hash, and what is compared with it is sent to each part."""
-    grade = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(-np.log(least))) + 1e-9).cast("int")
-    graded = prints.withColumn("own_tile", grade)
-    # a row for each class of sizes: some 60, whatever the input
-    parts = graded.groupBy(F.col("own_tile").alias("tile")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
-    sent = graded.withColumn("tile", F.explode(F.array(F.col("own_tile"), F.col("own_tile") + 1)))
-    split = sent.join(F.broadcast(parts), "tile").withColumn("home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+def _dealt(prints: DataFrame, tile_rows: int) -> DataFrame:
+    """prints' rows (key, region, own_tile, others) as they are sent to tiles of their region and parts of them (tile, part), and whether as own rows or as probes (own).
+
+    A row goes to its own tile and as a probe to the next; a tile of more than about `tile_rows` is split by a hash, and what is compared with it is sent to each part."""
+    # a row for each tile: some 60 classes of sizes of all rows or of a large cluster, and the buckets
+    parts = prints.groupBy("region", F.col("own_tile").alias("tile")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
+    sent = prints.withColumn("tile", F.explode(F.array(F.col("own_tile"), F.col("own_tile") + 1)))
+    split = sent.join(F.broadcast(parts), ["region", "tile"]).withColumn("home", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     sequence = F.sequence(F.lit(0), F.col("parts") - 1)
-    # parts of one class are compared with each other once: a row also probes the parts before its own
+    # parts of one tile are compared with each other once: a row also probes the parts before its own
     dealt = split.withColumn("own", F.col("tile") == F.col("own_tile")).withColumn("part", F.explode(F.when(F.col("own"), F.filter(sequence, lambda p: p <= F.col("home"))).otherwise(sequence)))
-    return dealt.select(*prints.columns, (F.col("own") & (F.col("home") == F.col("part"))).alias("own"), "tile", "part")
+    return dealt.select(*[c for c in prints.columns if c not in ("region", "own_tile")], (F.col("own") & (F.col("home") == F.col("part"))).alias("own"), "region", "tile", "part")
 
 
-def _opened(group: pa.Table, least: float):
-    """A tile part's keys, own and probing fingerprints, fits, and the order that its rows are taken in."""
+def _ordered(group: pa.Table):
+    """A tile part's keys, sizes, own and probing fingerprints, and the order that its rows are taken in."""
     key, n, f1, f2 = (group.column(c).to_numpy() for c in ("key", "n", "f1", "f2"))
     own = group.column("own").to_numpy(zero_copy_only=False)
     order = np.lexsort((key, ~own))
     words = np.stack([f1, f2], axis=1)[order].view(np.uint64)
-    odd = parity_rows(group.column("odd").to_pylist())[order]
-    return key[order], words[: own.sum()], words[own.sum() :], possible(n[order], odd, least), order
+    return key[order], n[order], words[: own.sum()], words[own.sum() :], order
 
 
-def candidates(prints: DataFrame, least: float = 0.8, radius: int = 36, tile_rows: int = 32_768) -> DataFrame:
-    """prints: key, n, f1, f2, odd, a row for each distinct set. a, b (keys): forests of the pairs within the radius whose sizes and parities allow a similarity of `least`."""
+def _opened(group: pa.Table, least: float):
+    """A tile part's keys, own and probing fingerprints, fits, and the order that its rows are taken in."""
+    key, n, own, probes, order = _ordered(group)
+    unpack = zstandard.ZstdDecompressor().decompress
+    odd = parity_rows([unpack(x) for x in group.column("odd").to_pylist()])[order]
+    return key, own, probes, possible(n, odd, least), order
+
+
+def clusters(prints: DataFrame, least: float = 0.8, radius: int = 36, tile_rows: int = 32_768) -> DataFrame:
+    """prints: key, n, f1, f2, a row for each distinct set. node (a key), label: what the pairs within the radius connect whose sizes allow a similarity of `least`; keys without such a pair are left out."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, n, own, probes, _ = _ordered(group)
+        a, b = near_links(own, probes, radius, comparable(n, least))
+        return pa.table({"a": key[a], "b": key[b]})
+
+    rows = _dealt(prints.select("key", "n", "f1", "f2", F.lit(0).cast("long").alias("region"), _grade(least).alias("own_tile")), tile_rows)
+    return components(rows.groupBy("region", "tile", "part").applyInArrow(lean_group(run), "a long, b long"), "simhash-near")
+
+
+def placed(prints: DataFrame, labels: DataFrame, least: float, tile_rows: int) -> DataFrame:
+    """The rows of prints that are in a cluster (labels), with region and own_tile: a cluster of over an eighth of `tile_rows` is tiled by classes of size, the others
+    are put whole into buckets of about that many rows (any two of a bucket are compared)."""
+    near = materialize(prints.select("key", "n", "f1", "f2", "odd").join(labels, F.col("key") == F.col("node")).drop("node").withColumnRenamed("label", "cluster"), "simhash-near")
+    held = max(1, tile_rows // 8)
+    large = near.groupBy("cluster").count().filter(F.col("count") > held).select("cluster", F.lit(True).alias("large"))
+    buckets = -(-near.count() // held) or 1
+    rows = near.join(F.broadcast(large), "cluster", "left")
+    region = F.when(F.col("large"), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
+    tile = F.when(F.col("large"), _grade(least)).otherwise(F.lit(0))
+    return materialize(rows.select("key", "n", "f1", "f2", "odd", region.alias("region"), tile.alias("own_tile")), "simhash-placed")
+
+
+def candidates(near: DataFrame, least: float = 0.8, radius: int = 36, tile_rows: int = 32_768) -> DataFrame:
+    """near: placed()'s rows. a, b (keys): forests of the pairs within the radius whose sizes and parities allow a similarity of `least`."""
 
     def run(group: pa.Table) -> pa.Table:
         key, own, probes, fits, _ = _opened(group, least)
         a, b = tile_links(own, probes, radius, fits, FORESTS)
         return pa.table({"a": key[a], "b": key[b]})
 
-    rows = _dealt(prints.select("key", "n", "f1", "f2", "odd"), least, tile_rows)
-    return rows.groupBy("tile", "part").applyInArrow(lean_group(run), "a long, b long")
+    return _dealt(near, tile_rows).groupBy("region", "tile", "part").applyInArrow(lean_group(run), "a long, b long")
 
 
-def parted(prints: DataFrame, labels: DataFrame, starts: dict | None, least: float, radius: int, tile_rows: int, most: int) -> DataFrame:
+def parted(near: DataFrame, labels: DataFrame, starts: dict | None, least: float, radius: int, tile_rows: int, most: int) -> DataFrame:
     """a, b: the pairs that candidates() has its forests from, all whose labels (node, label; others are their own) differ. A tile part goes on with its number in `starts`
-    (None: all from the beginning) and ends after about `most` pairs; a row with tile, part and next is where it is to go on."""
-    named = prints.select("key", "n", "f1", "f2", "odd").join(labels, F.col("key") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "key"))
+    (None: all from the beginning) and ends after about `most` pairs; a row with region, tile, part and next is where it is to go on."""
+    named = near.join(labels, F.col("key") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "key"))
+    kinds = {"region": pa.int64(), "tile": pa.int32(), "part": pa.int32(), "next": pa.int32()}
 
     def run(group: pa.Table) -> pa.Table:
-        where = group.column("tile")[0].as_py(), group.column("part")[0].as_py()
+        where = tuple(group.column(c)[0].as_py() for c in ("region", "tile", "part"))
         a, b, after = [], [], -1
         if starts is None or where in starts:
             key, own, probes, fits, order = _opened(group, least)
             a, b, after = parted_pairs(own, probes, group.column("label").to_numpy()[order], radius, fits, 0 if starts is None else starts[where], most)
             a, b = key[a], key[b]
-        pairs = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "tile": pa.nulls(len(a), pa.int32()), "part": pa.nulls(len(a), pa.int32()), "next": pa.nulls(len(a), pa.int32())})
+        pairs = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())} | {c: pa.nulls(len(a), kind) for c, kind in kinds.items()})
         if after < 0:
             return pairs
-        return pa.concat_tables([pairs, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "tile": pa.array([where[0]], pa.int32()), "part": pa.array([where[1]], pa.int32()), "next": pa.array([after], pa.int32())})])
+        go_on = {c: pa.array([v], kind) for (c, kind), v in zip(kinds.items(), (*where, after), strict=True)}
+        return pa.concat_tables([pairs, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())} | go_on)])
 
-    return _dealt(named, least, tile_rows).groupBy("tile", "part").applyInArrow(lean_group(run), "a long, b long, tile int, part int, next int")
+    return _dealt(named, tile_rows).groupBy("region", "tile", "part").applyInArrow(lean_group(run), "a long, b long, region long, tile int, part int, next int")
+
+
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (mark, others) whose mark is one of marks' (mark), and by chance a few others: a bitmap of marks is broadcast, of at most WORDS rows, whatever the input."""
+    place = lambda df: df.withColumn("__word", F.col("mark").bitwiseAND(F.lit(WORDS - 1)).cast("int")).withColumn("__bit", F.expr("shiftleft(1L, cast(shiftrightunsigned(mark, 58) as int))"))
+    bitmap = place(marks).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = place(rows).join(F.broadcast(bitmap), "__word").filter(F.col("__bits").bitwiseAND(F.col("__bit")) != 0)
+    return found.select(*rows.columns)
 
 
 def similar_links(docs: DataFrame, each: DataFrame, pairs: DataFrame, least: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more, exactly. Sets are made anew, for one text of each key in a pair: that of each's k (no_id, id, text_hash)."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more, exactly. Sets are made anew, for one text of each key in a pair: that of each's k (no_id, id, text_hash);
+    other texts are left where they are, but for a few that a bitmap lets through."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    held = each.join(wanted, "key", "left_semi").select("key", F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash"))
+    held = each.join(wanted, "key", "left_semi").select(F.xxhash64("k.id", "k.text_hash").alias("mark"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("__own_id"), F.xxhash64(text).alias("__own_hash"), text.alias("text"))
-    texts = own.join(held, own["__own_id"].eqNullSafe(held["__quire_id"]) & (own["__own_hash"] == held["__quire_hash"])).select("key", "text")
+    texts = marked(docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text)).alias("mark"), text.alias("text")), held).select("text")
 
     def run(batches):
-        for b, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
+        for _, sets in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
 
     def check(batches):
         for t in batches:
@@ -448,12 +525,13 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 3
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k")
     # copies are one row from here on: a group of them is no hot key of a join
     each = materialize(rows.groupBy("key").agg(first, *[F.min(c).alias(c) for c in ("n", "f1", "f2", "odd")]), "simhash-distinct")
-    pairs = materialize(candidates(each, least, radius, tile_rows).distinct(), "simhash-candidates")
+    near = placed(each, clusters(each, least, radius, tile_rows), least, tile_rows)
+    pairs = materialize(candidates(near, least, radius, tile_rows), "simhash-candidates")
     links = materialize(similar_links(docs, each, pairs, least, size, id_col, text_col), "simhash-similar")
     labels, starts = components(links, "simhash-links"), None
     while starts is None or starts:
-        rest = materialize(parted(each, labels, starts, least, radius, tile_rows, most), "simhash-rest")
-        starts = {(r["tile"], r["part"]): r["next"] for r in rest.filter("next is not null").select("tile", "part", "next").collect()}  # a row for each tile part
+        rest = materialize(parted(near, labels, starts, least, radius, tile_rows, most), "simhash-rest")
+        starts = {(r["region"], r["tile"], r["part"]): r["next"] for r in rest.filter("next is not null").select("region", "tile", "part", "next").collect()}  # a row for each tile part
         # what a forest had is known not to be similar
         new = materialize(rest.filter("next is null").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "simhash-candidates")
         if not new.isEmpty():
@@ -461,7 +539,8 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 3
             labels = components(links, "simhash-links")
     named = each.join(labels, each["key"] == labels["node"], "left").select("k", F.coalesce("label", "key").alias("label"))
     first = named.groupBy("label").agg(F.min("k").alias("k"))
-    kept = materialize(first.select(F.col("k.id").alias("__quire_id"), F.col("k.text_hash").alias("__quire_hash")), "simhash-kept")
-    own = docs.withColumn("__quire_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = own.join(kept, own[id_col].eqNullSafe(kept["__quire_id"]) & (own["__quire_text"] == kept["__quire_hash"]), "left_semi")
-    return found.dropDuplicates([id_col, "__quire_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = materialize(first.select(F.struct(F.col("k.id").alias("id")).alias("__quire_id"), F.col("k.text_hash").alias("__quire_text")), "simhash-kept")
+    # null ids are equal within a struct; both steps have the same keys, so texts are sent once
+    own = docs.withColumns({"__quire_id": F.struct(F.col(id_col).alias("id")), "__quire_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    found = own.join(kept, ["__quire_id", "__quire_text"], "left_semi")
+    return found.dropDuplicates(["__quire_id", "__quire_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
