@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import draws
+from quire.session import materialize
+
 
 def pairs(scores: DataFrame) -> DataFrame:
     """scores (system, sys_seq, qid, score): a row for each pair of systems and query that both have."""
@@ -59,18 +62,97 @@ def monte_carlo(paired: DataFrame, n_iter: int = 10_000, seed: int = 42) -> Data
     return rows.join(hits, ["a", "b"], "left").withColumn("p_value", F.round(p, 4)).withColumn("significant", p < 0.05).drop("hits")
 
 
+PIECE, SEGMENT, TURN = 1 << 18, 1 << 22, 200  # differences in a packed row, queries and iterations of a task
+
+
+def _packed(paired: DataFrame) -> DataFrame:
+    """a, b, start, n, net, some, whole, data: each pair's differences in the queries' order, in pieces: a byte each where all are -1, 0 or 1 (whole), else eight."""
+    rows = materialize(paired.select("a", "b", "qid", (F.col("sa") - F.col("sb")).cast("double").alias("d")), "differences")
+    schema = "a string, b string, part int, piece int, n long, net double, some boolean, whole boolean, data binary"
+
+    def pack(batches):
+        held, key, count = [], None, 0
+
+        def row(d):
+            whole = bool(np.isin(d, (-1.0, 0.0, 1.0)).all())
+            return (*key, len(d), float(d.sum()), bool(d.any()), whole, (d.astype(np.int8) if whole else d).tobytes())
+
+        for batch in batches:
+            out, pdf = [], batch.to_pandas()
+            for new, one in pdf.groupby(["a", "b", "part"], sort=False):
+                if key is not None and (key[:3] != new or sum(map(len, held)) >= PIECE):
+                    out.append(row(np.concatenate(held)))
+                    held, count = [], count + 1
+                key = (*new, count)
+                held.append(one["d"].to_numpy())
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=ARROW)
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row(np.concatenate(held)), strict=True))], schema=ARROW)
+
+    ordered = rows.repartitionByRange("a", "b", "qid").sortWithinPartitions("a", "b", "qid").select("a", "b", F.spark_partition_id().alias("part"), "d")
+    packed = materialize(ordered.mapInArrow(pack, schema), "packed")
+    before = Window.partitionBy("a", "b").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = packed.select("a", "b", "part", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return packed.join(F.broadcast(starts), ["a", "b", "part", "piece"])  # a row for each quarter of a million queries
+
+
+NAMES = ["a", "b", "part", "piece", "n", "net", "some", "whole", "data"]
+ARROW = pa.schema(list(zip(NAMES, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.binary()], strict=True)))
+
+
+def _totals(pieces: pd.DataFrame, of: int, segment: int, turn: int, n_iter: int, seed: int, size: int) -> pd.DataFrame:
+    """a, b, i, total: the signed sums of a segment's differences in a turn's iterations. All pairs of `of` queries see the same draws."""
+    first, stride = segment * size, 2 * of  # a draw takes two words
+    m = min(size, of - first)
+    found = {}
+    for (a, b), rows in pieces.groupby(["a", "b"]):
+        d = np.zeros(m, dtype=np.int8 if rows["whole"].all() else np.float64)
+        for at, whole, data in zip(rows["start"], rows["whole"], rows["data"], strict=True):
+            x = np.frombuffer(data, dtype=np.int8 if whole else np.float64)
+            lo, hi = max(at, first), min(at + len(x), first + m)
+            d[lo - first : hi - first] = x[lo - at : hi - at]
+        found[a, b] = (d, np.packbits(d > 0), np.packbits(d < 0)) if d.dtype == np.int8 else (d, None, None)
+    stream, buffer, out = draws.Stream(), np.empty(min(m, 1 << 15)), []
+    state = draws.jump(draws.start(seed), draws.ahead(stride * turn * TURN + 2 * first)) if turn or first else draws.start(seed)
+    stream.at(state)
+    for i in range(turn * TURN, min(n_iter, (turn + 1) * TURN)):
+        sums = dict.fromkeys(found, 0.0)
+        for lo in range(0, m, len(buffer)):
+            minus = stream.random(buffer[: min(len(buffer), m - lo)]) >= 0.5
+            bits = np.packbits(minus)
+            for key, (d, above, below) in found.items():
+                if above is None:
+                    part = d[lo : lo + len(minus)]
+                    sums[key] += float(part.sum() - 2 * part[minus].sum())
+                else:
+                    at = slice(lo // 8, lo // 8 + len(bits))
+                    flipped = int(np.bitwise_count(bits & above[at]).sum()) - int(np.bitwise_count(bits & below[at]).sum())
+                    sums[key] -= 2 * flipped
+        out += [(*key, i, t + float(d.sum(dtype=np.float64)) if above is not None else t) for (key, t), (d, above, _) in zip(sums.items(), found.values(), strict=True)]
+        if of > m:  # past the other segments' draws
+            state = draws.jump(state, draws.ahead(stride))
+            stream.at(state)
+    return pd.DataFrame(out, columns=["a", "b", "i", "total"])
+
+
 def seeded(paired: DataFrame, n_iter: int = 10_000, seed: int = 42) -> DataFrame:
-    """a, b, p_value with the draws of a seeded generator over queries in order, one pair of systems a task; agreeing queries consume draws too."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("qid")
-        diffs = (rows["sa"] - rows["sb"]).tolist()
-        target, rng, hits = abs(sum(diffs) / len(diffs)), random.Random(seed), 0
-        if any(diffs):
-            for _ in range(n_iter):
-                total = sum(x if rng.random() < 0.5 else -x for x in diffs)
-                hits += abs(total / len(diffs)) >= target - 1e-12
-        p = (hits + 1) / (n_iter + 1) if any(diffs) else 1.0
-        return pd.DataFrame({"a": [rows["a"].iloc[0]], "b": [rows["b"].iloc[0]], "p_value": [round(p, 4)], "significant": [p < 0.05]})
-
-    return paired.groupBy("a", "b").applyInPandas(run, "a string, b string, p_value double, significant boolean")
+    """a, b, p_value with the draws of a seeded generator over queries in order, for each pair of systems anew; agreeing queries consume draws too.
+
+    A task makes the draws of one segment of the queries and one turn of the iterations: the generator is set there without making those before."""
+    packed = _packed(paired)
+    whole = packed.groupBy("a", "b").agg(F.sum("n").alias("of"), F.sum("net").alias("net"), F.max("some").alias("some"))
+    turns = F.sequence(F.lit(0), F.lit(-(-n_iter // TURN) - 1))
+    parts = packed.join(F.broadcast(whole.filter("some").select("a", "b", "of")), ["a", "b"]).withColumn("segment", F.explode(F.sequence(F.floor(F.col("start") / SEGMENT), F.floor((F.col("start") + F.col("n") - 1) / SEGMENT))))
+    parts = parts.select("of", "segment", F.explode(turns).alias("turn"), "a", "b", "start", "whole", "data")
+
+    size = SEGMENT
+
+    def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        return _totals(pieces, int(key[0]), int(key[1]), int(key[2]), n_iter, seed, size)
+
+    totals = parts.groupBy("of", "segment", "turn").applyInPandas(run, "a string, b string, i int, total double").groupBy("a", "b", "i").agg(F.sum("total").alias("total"))
+    hit = F.abs(F.col("total") / F.col("of")) >= F.abs(F.col("net") / F.col("of")) - 1e-12
+    hits = totals.join(F.broadcast(whole), ["a", "b"]).groupBy("a", "b").agg(F.count_if(hit).alias("hits"))
+    p = F.coalesce((F.col("hits") + 1) / F.lit(n_iter + 1), F.lit(1.0))
+    return whole.join(hits, ["a", "b"], "left").select("a", "b", F.round(p, 4).alias("p_value"), (p < 0.05).alias("significant"))
