@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import metrics, querygen, render, reports
 from quire.operators import sections as so
+from quire.session import materialize
 from quire.sources import readers, sinks
 
 
@@ -39,7 +40,7 @@ def generate_queries(spark: SparkSession, sections: DataFrame, template: str, ba
 def evaluate_runs(spark: SparkSession, predictions: DataFrame, gold: DataFrame, published: int, out: str, k: int = 1) -> tuple[DataFrame, DataFrame]:
     """predictions (system, sys_seq, book_id, qid, ranked): (metrics of each system, also over all published queries; comparisons of every pair), written with the run."""
     systems = metrics.systems_of(predictions)
-    found = metrics.evaluate(predictions, metrics.for_systems(gold, systems).drop("sys_seq"), ["system"])
+    found = materialize(metrics.evaluate(predictions, gold, ["system"], systems=systems), "metrics")  # a row a system, read by what follows
     every = metrics.over_published(found, found.select("system", F.lit(published).alias("published")), ["system"])
     sinks.write_run(predictions, found.join(every, "system"), metrics.compare(predictions, gold, k, systems), out)
     return spark.read.parquet(f"{out}/metrics"), spark.read.parquet(f"{out}/comparisons")
@@ -55,4 +56,4 @@ def zero_shot(spark: SparkSession, gold: DataFrame, old: list[str], least: float
         runs = runs.unionByName(more)
     used = metrics.shared_coverage(gold.select("qid"), runs.select("system", "qid"), least).select("system")
     kept = runs.join(used, "system", "left_semi")
-    return metrics.evaluate(kept, metrics.for_systems(gold, metrics.systems_of(kept)).drop("sys_seq"), ["system"])
+    return metrics.evaluate(kept, gold, ["system"], systems=metrics.systems_of(kept))

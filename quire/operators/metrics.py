@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from quire.functions.text import ndcg_at, recall_at
 
 
-def per_query(predictions: DataFrame, gold: DataFrame, keys: list[str], k: int = 1) -> DataFrame:
-    """predictions (keys + ranked), gold (keys + docid): a score of 1 or 0 for each gold row."""
-    rows = gold.join(predictions, keys, "left")
+def each_system(predictions: DataFrame, gold: DataFrame, systems: list[tuple[str, int]]) -> DataFrame:
+    """gold (book_id, qid, docid) once for each system (system, sys_seq) with what it ranked, empty for none. Predictions meet gold once a query, whatever the number of systems."""
+    held = predictions.groupBy("book_id", "qid").agg(F.collect_list(F.struct("system", "ranked")).alias("_p"))
+    rows = for_systems(gold.join(held, ["book_id", "qid"], "left"), systems)
+    own = F.transform(F.filter("_p", lambda x: x["system"] == F.col("system")), lambda x: x["ranked"])
+    rows = rows.withColumn("ranked", F.explode_outer(own)).drop("_p")
+    return rows.withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+
+
+def per_query(predictions: DataFrame, gold: DataFrame, keys: list[str], k: int = 1, systems: list[tuple[str, int]] | None = None) -> DataFrame:
+    """predictions (keys + ranked), gold (keys + docid): a score of 1 or 0 for each gold row. systems: gold is without them and scored for each."""
+    rows = gold.join(predictions, keys, "left") if systems is None else each_system(predictions, gold, systems)
     return rows.select(*keys, recall_at(F.coalesce("ranked", F.array().cast("array<string>")), F.col("docid"), k).alias("score"))
 
 
-def evaluate(predictions: DataFrame, gold: DataFrame, by: list[str], valid: DataFrame | None = None) -> DataFrame:
-    """predictions (by, book_id, qid, ranked), gold (by, book_id, qid, docid), valid (book_id, docid): one row for each `by`."""
+def evaluate(predictions: DataFrame, gold: DataFrame, by: list[str], valid: DataFrame | None = None, systems: list[tuple[str, int]] | None = None) -> DataFrame:
+    """predictions (by, book_id, qid, ranked), gold (by, book_id, qid, docid), valid (book_id, docid): one row for each `by`. systems: gold is without them and judged for each."""
     keys = list(dict.fromkeys([*by, "book_id", "qid"]))
-    rows = gold.join(predictions, keys, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>"))).withColumn("_top", F.get("ranked", F.lit(0)))
+    rows = gold.join(predictions, keys, "left") if systems is None else each_system(predictions, gold, systems)
+    rows = rows.withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>"))).withColumn("_top", F.get("ranked", F.lit(0)))
     answered = F.size("ranked") > 0
     if valid is not None:
         ids = valid.select("book_id", F.col("docid").alias("_top"), F.lit(True).alias("_valid")).distinct()
@@ -45,12 +55,12 @@ def for_systems(gold: DataFrame, systems: list[tuple[str, int]]) -> DataFrame:
     return gold.withColumn("_s", F.explode(each)).select(*gold.columns, "_s.system", "_s.sys_seq")
 
 
-def evaluate_dev(predictions: DataFrame, gold: DataFrame, by: list[str], n: int, order: str = "seq") -> DataFrame:
+def evaluate_dev(predictions: DataFrame, gold: DataFrame, by: list[str], n: int, order: str = "seq", systems: list[tuple[str, int]] | None = None) -> DataFrame:
     """evaluate() over the first n gold queries of each book, in order; 0: all."""
     from quire.sources.readers import first_of
 
     kept = first_of(gold.select("book_id", "qid", order).distinct(), n, ["book_id"], order).select("book_id", "qid")
-    return evaluate(predictions, gold.join(kept, ["book_id", "qid"], "left_semi").drop(order), by)
+    return evaluate(predictions, gold.join(kept, ["book_id", "qid"], "left_semi").drop(order), by, systems=systems)
 
 
 def over_published(metrics: DataFrame, published: DataFrame, by: list[str]) -> DataFrame:
@@ -87,5 +97,5 @@ def compare(predictions: DataFrame, gold: DataFrame, k: int = 1, systems: list[t
     """Every pair of systems (system, sys_seq) on gold (book_id, qid, docid): the exact test on hits at k. systems: if they are known; else they are looked up."""
     from quire.operators import significance
 
-    scores = per_query(predictions, for_systems(gold, systems or systems_of(predictions)), ["system", "sys_seq", "book_id", "qid"], k)
-    return significance.exact(significance.pairs(scores.withColumn("qid", F.concat_ws(":", "book_id", "qid")))).withColumn("k", F.lit(k))
+    scores = per_query(predictions, gold, ["system", "sys_seq", "book_id", "qid"], k, systems or systems_of(predictions))
+    return significance.exact(significance.pairs(scores, ["book_id", "qid"])).withColumn("k", F.lit(k))

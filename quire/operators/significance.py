@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,10 +15,14 @@ from quire.operators import draws
 from quire.session import materialize
 
 
-def pairs(scores: DataFrame) -> DataFrame:
-    """scores (system, sys_seq, qid, score): a row for each pair of systems and query that both have."""
-    a, b = (scores.select(F.col("qid"), F.col("system").alias(x), F.col("sys_seq").alias(f"{x}_seq"), F.col("score").alias(f"s{x}")) for x in "ab")
-    return a.join(b, "qid").filter(F.col("a_seq") < F.col("b_seq"))
+def pairs(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """scores (system, sys_seq, qid, score): a row for each pair of systems and query that both have. keys: columns that make up the qid, if it isn't one."""
+    by = keys or ["qid"]
+    held = scores.groupBy(*by).agg(F.collect_list(F.struct("system", "sys_seq", "score")).alias("_s"))
+    pair = lambda x, y: F.struct(x["system"].alias("a"), x["sys_seq"].alias("a_seq"), x["score"].alias("sa"), y["system"].alias("b"), y["sys_seq"].alias("b_seq"), y["score"].alias("sb"))
+    both = F.flatten(F.transform("_s", lambda x: F.transform(F.filter("_s", lambda y: x["sys_seq"] < y["sys_seq"]), lambda y: pair(x, y))))
+    qid = F.concat_ws(":", *by) if keys else F.col("qid")
+    return held.select(qid.alias("qid"), F.explode(both).alias("_b")).filter("qid is not null").select("qid", "_b.*")
 
 
 def summary(paired: DataFrame) -> DataFrame:
@@ -44,20 +51,128 @@ def exact(paired: DataFrame) -> DataFrame:
 
 
 BITS = 60  # signs in a digest's first fifteen hexadecimal digits
+TURNS = tuple([*row] for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)))
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+class Heads:
+    """The first eight bytes, as one number, of the MD5 of something + each text: all texts of one length at once where they fit one block of 64 bytes."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts, lengths = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        self.groups = [(int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths)]
+        self.bytes = [np.frombuffer(b"".join(texts[i] for i in at), dtype=np.uint8).reshape(len(at), n) for n, at in self.groups]
+        self.laid: tuple[int, list] = (-1, [])
+
+    def _words(self, before: int) -> list:
+        """Each group's blocks as sixteen rows of words, with room for so many bytes before the texts."""
+        if self.laid[0] != before:
+            out = []
+            for (n, at), x in zip(self.groups, self.bytes, strict=True):
+                size = before + n
+                if size > 55:
+                    out.append(None)
+                    continue
+                block = np.zeros((len(at), 64), dtype=np.uint8)
+                block[:, before:size] = x
+                block[:, size] = 128
+                block[:, 56:58] = (size * 8 & 255, size * 8 >> 8)
+                out.append(np.ascontiguousarray(block.view("<u4").T))
+            self.laid = (before, out)
+        return self.laid[1]
+
+    def after(self, before: bytes) -> np.ndarray:
+        out, first = np.empty(len(self.texts), dtype=np.uint64), np.frombuffer(before + b"\0" * (-len(before) % 4), dtype="<u4")
+        for (_, at), words in zip(self.groups, self._words(len(before)), strict=True):
+            if words is None:
+                out[at] = [int.from_bytes(hashlib.md5(before + self.texts[i], usedforsecurity=False).digest()[:8], "big") for i in at]
+                continue
+            for lo in range(0, len(at), 16_384):
+                w = [words[k, lo : lo + 16_384] for k in range(16)]
+                out[at[lo : lo + 16_384]] = _md5([x | first[k] if k < len(first) else x for k, x in enumerate(w)])
+        return out
+
+
+def _md5(w: list[np.ndarray]) -> np.ndarray:
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(len(w[0]), x, dtype=np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += w[g]
+        f += np.uint32(SINES[i])
+        r = TURNS[i // 16][i % 4]
+        high = f >> np.uint32(32 - r)
+        f <<= np.uint32(r)
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return (a + start[0]).byteswap().astype(np.uint64) << np.uint64(32) | (b + start[1]).byteswap()
+
+
+TAKEN = 200_000  # rows whose digests are made together
+
+
+def _gathered(batches):
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TAKEN:
+            yield pa.Table.from_batches(held).to_pandas()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).to_pandas()
+
+
+def _signed_sums(batches, blocks: int, seed: int):
+    """a, b, block, t (a sum for each of the block's signs) over batches of (a, b, qid, d). A query's digest is made once for all its pairs."""
+    totals: dict[tuple[str, str], np.ndarray] = {}
+    for pdf in _gathered(batches):
+        code, qids = pd.factorize(pdf["qid"])
+        heads, parts = Heads([q.encode() for q in qids]), []
+        for (a, b), one in pdf.groupby(["a", "b"]):
+            at, d = code[one.index], one["d"].to_numpy()
+            into = totals.setdefault((a, b), np.zeros((blocks, BITS)))
+            if np.isin(d, (-1.0, 1.0)).all() and len(np.unique(at)) == len(at):
+                masks = np.zeros((2, len(qids)), dtype=bool)
+                masks[0, at[d > 0]] = masks[1, at[d < 0]] = True
+                parts.append((into, *np.packbits(masks, axis=1), None))
+            else:
+                parts.append((into, at, d, len(qids)))
+        for block in range(blocks):
+            whole = np.ascontiguousarray(heads.after(f"{seed}:{block}:".encode()).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+            signs = np.stack([np.packbits(whole[j // 8] & np.uint8(1 << j % 8)) for j in range(64 - BITS, 64)])  # a row for each bit of the sixty, the lowest first
+            for into, x, y, n in parts:
+                if n is None:
+                    plus, minus = (np.bitwise_count(signs & m).sum(axis=1, dtype=np.int64) for m in (x, y))
+                    into[block] += 2.0 * (plus - minus) - (int(np.bitwise_count(x).sum(dtype=np.int64)) - int(np.bitwise_count(y).sum(dtype=np.int64)))
+                else:
+                    into[block] += np.unpackbits(signs, axis=1, count=n)[:, x] @ (2 * y) - y.sum()
+    for (a, b), t in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([a] * blocks), pa.array([b] * blocks), pa.array(range(blocks), pa.int32()), pa.array(list(t), pa.list_(pa.float64()))], ["a", "b", "block", "t"])
 
 
 def monte_carlo(paired: DataFrame, n_iter: int = 10_000, seed: int = 42) -> DataFrame:
     """summary with a sampled p_value: signs from a digest of (seed, 60 iterations, query), so partitioning has no say. Queries that agree add nothing and are left out.
 
-    A query's digest holds its signs in 60 iterations, which are 60 sums of one aggregation: no row is made for an iteration."""
+    A query's digest holds its signs in 60 iterations. Tasks make the digests of many queries at once and pass on sums only: no row is made for a block or an iteration of a query."""
     blocks = -(-n_iter // BITS)
-    d = paired.withColumn("d", F.col("sa") - F.col("sb")).filter("d <> 0").select("a", "b", "qid", "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    drawn = d.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("block"), F.col("qid"))), 1, 15), 16, 10).cast("long"))
-    sign = lambda j: F.shiftright("h", j).bitwiseAND(F.lit(1)) == 1
-    totals = drawn.groupBy("a", "b", "block").agg(*[F.sum(F.when(sign(j), F.col("d")).otherwise(-F.col("d"))).alias(f"t{j}") for j in range(BITS)])
+    d = paired.select("a", "b", "qid", (F.col("sa") - F.col("sb")).cast("double").alias("d")).filter("d <> 0")
+    context = paired.sparkSession.sparkContext
+    d = d.repartition(max(2 * context.defaultParallelism, int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "qid")  # much work for few bytes: not to be coalesced
+    drawn = d.mapInArrow(lambda rows: _signed_sums(rows, blocks, seed), "a string, b string, block int, t array<double>")
+    totals = drawn.groupBy("a", "b", "block").agg(*[F.sum(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(BITS)])
     rows = summary(paired)
     hit = lambda j: ((F.col("block") * BITS + j < n_iter) & (F.abs(f"t{j}") >= F.abs("net") - 1e-9)).cast("long")
-    hits = totals.join(rows.select("a", "b", "net"), ["a", "b"]).groupBy("a", "b").agg(F.sum(sum((hit(j) for j in range(1, BITS)), hit(0))).alias("hits"))
+    hits = totals.join(F.broadcast(rows.select("a", "b", "net")), ["a", "b"]).groupBy("a", "b").agg(F.sum(sum((hit(j) for j in range(1, BITS)), hit(0))).alias("hits"))
     p = F.coalesce((F.col("hits") + 1) / F.lit(n_iter + 1), F.lit(1.0))
     return rows.join(hits, ["a", "b"], "left").withColumn("p_value", F.round(p, 4)).withColumn("significant", p < 0.05).drop("hits")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import words
 from quire.operators import bm25, metrics, reports, significance, trie
 from quire.plans.common import RANKINGS, SECTIONS, SYSTEMS, benchmark_queries, query, rankings, sections
-from quire.session import table
+from quire.session import materialize, table
 
 BM25 = f"""{SECTIONS},
 queries AS (SELECT b.book_id, CAST(item_id AS VARCHAR) AS qid, text FROM benchmark, (SELECT DISTINCT source AS book_id FROM documents) b),
@@ -104,7 +104,7 @@ HALLUCINATED = "round(100.0::DOUBLE * count(*) FILTER (WHERE answered AND NOT to
 
 def _by_system(spark: SparkSession, sf_dir: str, by: list[str], with_valid: bool = True) -> DataFrame:
     predictions, gold, valid = rankings(spark, sf_dir)
-    return metrics.evaluate(predictions, metrics.for_systems(gold, SYSTEMS).drop("sys_seq"), by, valid if with_valid else None)
+    return metrics.evaluate(predictions, gold, by, valid if with_valid else None, SYSTEMS)
 
 
 @query(f"WITH {RANKINGS} SELECT system, {METRICS} FROM judged GROUP BY 1")
@@ -141,7 +141,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RANKINGS}, per_book AS (SELECT system, book_id, {METRICS} FROM judged GROUP BY 1, 2) SELECT system, book_id, round(r1 * n_queries / (n_queries + 17), 2) AS r1_all, round(r3 * n_queries / (n_queries + 17), 2) AS r3_all, round(ndcg3 * n_queries / (n_queries + 17), 2) AS ndcg3_all FROM per_book")
 def metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over 17 more published queries than have a section."""
-    found = _by_system(spark, sf_dir, ["system", "book_id"], False)
+    found = materialize(_by_system(spark, sf_dir, ["system", "book_id"], False), "metrics")
     return metrics.over_published(found, found.select("system", "book_id", (F.col("n_queries") + 17).alias("published")), ["system", "book_id"])
 
 
@@ -152,8 +152,7 @@ summed AS (SELECT a, b, count(*) AS n_queries, round(100 * avg(sa), 2) AS mean_a
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, gold, _ = rankings(spark, sf_dir)
-    scores = metrics.per_query(predictions, metrics.for_systems(gold, SYSTEMS), ["system", "sys_seq", "book_id", "qid"])
-    return significance.pairs(scores.select("system", "sys_seq", F.concat_ws(":", "book_id", "qid").alias("qid"), "score"))
+    return significance.pairs(metrics.per_query(predictions, gold, ["system", "sys_seq", "book_id", "qid"], systems=SYSTEMS), ["book_id", "qid"])
 
 
 @query(f"WITH {SCORES} SELECT * FROM summed")
