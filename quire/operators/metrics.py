@@ -9,8 +9,8 @@ from quire.functions.text import ndcg_at, recall_at
 
 
 def each_system(predictions: DataFrame, gold: DataFrame, systems: list[tuple[str, int]]) -> DataFrame:
-    """gold (book_id, qid, docid) once for each system (system, sys_seq) with what it ranked, empty for none. Predictions meet gold once a query, whatever the number of systems."""
-    held = predictions.groupBy("book_id", "qid").agg(F.collect_list(F.struct("system", "ranked")).alias("_p"))
+    """gold (book_id, qid, docid) once for each system (system, sys_seq) with what it ranked, empty for none. Predictions meet gold once a query, whatever the number of systems. They may come so already: (book_id, qid, _p)."""
+    held = predictions if "_p" in predictions.columns else predictions.groupBy("book_id", "qid").agg(F.collect_list(F.struct("system", "ranked")).alias("_p"))
     rows = for_systems(gold.join(held, ["book_id", "qid"], "left"), systems)
     own = F.transform(F.filter("_p", lambda x: x["system"] == F.col("system")), lambda x: x["ranked"])
     rows = rows.withColumn("ranked", F.explode_outer(own)).drop("_p")

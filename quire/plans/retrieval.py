@@ -103,7 +103,7 @@ HALLUCINATED = "round(100.0::DOUBLE * count(*) FILTER (WHERE answered AND NOT to
 
 
 def _by_system(spark: SparkSession, sf_dir: str, by: list[str], with_valid: bool = True) -> DataFrame:
-    predictions, gold, valid = rankings(spark, sf_dir)
+    predictions, gold, valid = rankings(spark, sf_dir, held=True)
     return metrics.evaluate(predictions, gold, by, valid if with_valid else None, SYSTEMS)
 
 
@@ -151,7 +151,7 @@ summed AS (SELECT a, b, count(*) AS n_queries, round(100 * avg(sa), 2) AS mean_a
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions, gold, _ = rankings(spark, sf_dir)
+    predictions, gold, _ = rankings(spark, sf_dir, held=True)
     return significance.pairs(metrics.per_query(predictions, gold, ["system", "sys_seq", "book_id", "qid"], systems=SYSTEMS), ["book_id", "qid"])
 
 
